@@ -103,10 +103,13 @@ HTML_LITERALS = [
 HTML_PATTERNS = {
     "BigCommerce": ("bigcommerce", r"(?i)cdn\d*\.bigcommerce"),
     "Magento": ("static/version", r"(?i)static/version\d"),
-    "Next.js": ("next", r"__NEXT_DATA__|_next/static"),
-    "Nuxt": ("nuxt", r"__NUXT__|_nuxt/"),
     "WPBakery": ("vc_row", r"(?i)\bvc_row\b"),
-    "Divi": ("", r"et_pb_|et_divi|/themes/[Dd]ivi|divi-builder"),
+}
+# literals searched in the html as it is
+HTML_CASED_LITERALS = {
+    "Next.js": ["__NEXT_DATA__", "_next/static"],
+    "Nuxt": ["__NUXT__", "_nuxt/"],
+    "Divi": ["et_pb_", "et_divi", "/themes/Divi", "/themes/divi", "divi-builder"],
 }
 # (label, pattern over "name: value" header lines)
 HEADER_FINGERPRINTS = [

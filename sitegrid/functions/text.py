@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,21 +142,19 @@ def detect_platform(html: Column, headers: Column) -> Column:
     Literal searches do the work; a regex runs only behind one."""
     lines = F.array_join(
         F.transform(F.map_entries(headers), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n")
-    low = F.lower(html)
 
-    def hit(label: str, literals: list[str]) -> Column:
+    def found(label: str, literals: list[str], low: Column) -> Column:
         tests = [F.contains(low, F.lit(lit)) for lit in literals]
+        tests += [F.contains(html, F.lit(lit)) for lit in V.HTML_CASED_LITERALS.get(label, [])]
         if label in V.HTML_PATTERNS:
             guard, rx = V.HTML_PATTERNS[label]
-            tests.append((F.contains(low, F.lit(guard)) if guard else F.lit(True)) & html.rlike(rx))
-        found = tests[0]
-        for t in tests[1:]:
-            found = found | t
-        return F.when(found, F.lit(label))
-
-    hits = [hit(label, literals) for label, literals in V.HTML_LITERALS]
-    hits += [F.when(F.coalesce(lines, F.lit("")).rlike(rx), F.lit(label)) for label, rx in V.HEADER_FINGERPRINTS]
-    return F.array_distinct(F.array_compact(F.array(*hits)))
+            tests.append(F.contains(low, F.lit(guard)) & html.rlike(rx))
+        return F.when(reduce(or_, tests), F.lit(label))
+
+    in_html = bind(F.lower(html), lambda low: F.array(*[found(n, lits, low) for n, lits in V.HTML_LITERALS]))
+    in_headers = F.array(*[F.when(F.coalesce(lines, F.lit("")).rlike(rx), F.lit(n))
+                           for n, rx in V.HEADER_FINGERPRINTS])
+    return F.array_distinct(F.array_compact(F.concat(in_html, in_headers)))
 
 
 def slug_words(url: Column) -> Column:
