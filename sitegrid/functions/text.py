@@ -44,7 +44,7 @@ def word_count(text: Column) -> Column:
 def squashed_word_count(text: Column) -> Column:
     """Words of text that is already collapsed and trimmed."""
     gaps = F.length(text) - F.length(F.translate(text, " ", ""))
-    return F.when((text == "") | text.isNull(), F.lit(0)).otherwise(gaps + 1)
+    return F.when(text == "", F.lit(0)).otherwise(gaps + 1)
 
 
 def content_hash(text: Column) -> Column:

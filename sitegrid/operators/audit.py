@@ -17,6 +17,7 @@ from .. import fixed_values as V
 from ..functions import text as X
 from ..functions import urls as U
 from ..plans.rule_catalog import rule_catalog
+from ..session import stage_table
 from . import dedupe, links as L
 from .ranking import top_per_key
 
@@ -356,7 +357,7 @@ def with_money(pages: DataFrame, money_urls: DataFrame | None) -> DataFrame:
 
 
 def rule_hits(t: AuditInput, extra: list[PageRule] = (), near_duplicates: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(hits counted by the rules, every affected URL)."""
+    """(hits counted by the rules, members of the grouping rules' sets)."""
     pages = with_money(t.pages, t.money_urls)
     links = t.links
     if links is None:
@@ -372,16 +373,16 @@ def rule_hits(t: AuditInput, extra: list[PageRule] = (), near_duplicates: bool =
         single.append(sitemap_hits(pages, t.sitemap))
     if t.crawls is not None:
         single.append(crawl_hits(t.crawls, t.sitemap, t.robots_rules))
-    single = reduce(DataFrame.unionByName, single)
-    urls = single.select(*KEY, "rule", "url", "detail").unionByName(members)
-    return single.unionByName(grouped), urls
+    return reduce(DataFrame.unionByName, [*single, grouped]), members
 
 
 def run_audit(t: AuditInput, extra: list[PageRule] = (), extra_catalog: list[tuple] = (),
               near_duplicates: bool = True) -> tuple[DataFrame, DataFrame]:
-    """All rules: (findings, finding_urls). Findings count hits per rule with
-    partial aggregation and keep the rules that reach their minimum."""
-    hits, urls = rule_hits(t, extra, near_duplicates)
+    """All rules: (findings, finding_urls). The hits are written once; findings
+    count them per rule with partial aggregation and keep the rules that reach
+    their minimum, finding_urls lists every affected URL of those."""
+    hits, members = rule_hits(t, extra, near_duplicates)
+    hits = stage_table(hits)
     catalog = rule_catalog(t.pages.sparkSession, list(extra_catalog))
     totals = t.pages.groupBy(*KEY).agg(F.count_if(is_html()).alias("n_html"))
     counted = hits.groupBy(*KEY, "rule").agg(
@@ -398,6 +399,8 @@ def run_audit(t: AuditInput, extra: list[PageRule] = (), extra_catalog: list[tup
         *KEY, "rule", severity.alias("severity"), "stage", "owner", "effort", "evidence", "n_urls", "total", "most",
         F.concat_ws(" ", F.col("n_urls").cast("string"), "what").alias("title"),
         "example_url", "what", "why", "fix", "acceptance")
+    grouped = [rule for rule, *_ in group_keys()]
+    urls = hits.filter(~F.col("rule").isin(grouped)).select(*KEY, "rule", "url", "detail").unionByName(members)
     finding_urls = urls.join(findings.select(*KEY, "rule"), [*KEY, "rule"], "left_semi")
     return findings, finding_urls
 

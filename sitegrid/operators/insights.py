@@ -76,9 +76,8 @@ def response_percentiles(pages: DataFrame) -> DataFrame:
     """p50, p75, p95 of response times, only from more than four samples."""
     timed = pages.filter(F.col("response_ms") > 0)
     return timed.groupBy(*KEY).agg(
-        F.count("*").alias("samples"), X.upper_quantile("response_ms", 0.5).alias("p50"),
-        X.upper_quantile("response_ms", 0.75).alias("p75"), X.upper_quantile("response_ms", 0.95).alias("p95")
-    ).filter(F.col("samples") > 4)
+        F.count("*").alias("samples"), *[X.upper_quantile("response_ms", q / 100).cast("bigint").alias(f"p{q}")
+                                         for q in (50, 75, 95)]).filter(F.col("samples") > 4)
 
 
 def response_distribution(pages: DataFrame) -> DataFrame:
@@ -95,7 +94,7 @@ def indexability_split(pages: DataFrame) -> DataFrame:
 
 def findings_by_stage(findings: DataFrame) -> DataFrame:
     """Stage by severity, and the earliest stage with a serious finding."""
-    per = findings.groupBy(*KEY, "stage").pivot("severity", V.SEVERITIES).agg(F.count("*")).fillna(0)
+    per = findings.groupBy(*KEY, "stage").pivot("severity", V.SEVERITIES).agg(F.count(F.lit(1))).fillna(0)
     first = findings.filter(severity_rank() <= 2).groupBy(*KEY).agg(F.min(stage_rank()).alias("first_serious_stage"))
     return per.join(first, KEY, "left")
 

@@ -131,16 +131,17 @@ def log_findings(hits: DataFrame, pages: DataFrame | None = None, bot: str = "go
     waste = crawl_waste(hits, bot, by)
     share = {n: F.col(n) / F.col("hits") for n in ("errors", "redirects", "params")}
     claims = F.col("verified") + F.col("spoofed")
+
+    def finding(rule: str, severity: str, n: str, rate: str | Column) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col(n).alias("n"),
+                        (F.col(rate) if isinstance(rate, str) else rate).alias("share"))
+
     rows = F.array_compact(F.array(
-        F.when((F.col("spoofed") > 0) & (F.col("verified") > 0), F.struct(
-            F.lit("log-spoofed-bot").alias("rule"), F.lit("High").alias("severity"), F.col("spoofed").alias("n"),
-            X.percent(F.col("spoofed"), claims).alias("share"))),
-        F.when(share["errors"] > 0.05, F.struct(F.lit("log-error-waste"), F.lit("High"), F.col("errors"),
-                                                F.col("error_share"))),
-        F.when(share["redirects"] > 0.15, F.struct(F.lit("log-redirect-waste"), F.lit("Medium"), F.col("redirects"),
-                                                   F.col("redirect_share"))),
-        F.when(share["params"] > 0.2, F.struct(F.lit("log-param-waste"), F.lit("High"), F.col("params"),
-                                               F.col("param_share")))))
+        F.when((F.col("spoofed") > 0) & (F.col("verified") > 0), finding(
+            "log-spoofed-bot", "High", "spoofed", X.percent(F.col("spoofed"), claims))),
+        F.when(share["errors"] > 0.05, finding("log-error-waste", "High", "errors", "error_share")),
+        F.when(share["redirects"] > 0.15, finding("log-redirect-waste", "Medium", "redirects", "redirect_share")),
+        F.when(share["params"] > 0.2, finding("log-param-waste", "High", "params", "param_share"))))
     out = waste.select(*by, F.explode(rows).alias("f")).select(*by, "f.*")
     per_url = crawl_by_url(hits, bot, by)
     order = [F.desc("hits"), F.col("url")]

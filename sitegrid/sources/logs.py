@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 
 _JSON = ("url string, uri string, request string, ClientRequestURI string, path string, ip string, "
-         "remote_addr string, ClientIP string, clientIp string, time string, timestamp string, "
+         "remote_addr string, ClientIP string, time string, timestamp string, "
          "EdgeStartTimestamp string, method string, ClientRequestMethod string, status string, "
          "EdgeResponseStatus string, response_code string, bytes string, EdgeResponseBytes string, "
          "body_bytes_sent string, user_agent string, ua string, ClientRequestUserAgent string, duration string, "
@@ -86,7 +86,7 @@ def json_hit(line: Column) -> Column:
     at = F.when(epoch.isNotNull(), F.timestamp_millis(epoch.cast("bigint"))).otherwise(stamp.try_cast("timestamp"))
     empty = F.lit("")
     return F.when(url.isNotNull(), _hit(
-        ip=F.coalesce(any_of("ip", "remote_addr", "ClientIP", "clientIp"), empty), at=at,
+        ip=F.coalesce(any_of("ip", "remote_addr", "ClientIP"), F.get_json_object(line, "$.clientIp"), empty), at=at,
         method=F.coalesce(any_of("method", "ClientRequestMethod"), F.lit("GET")), url=url,
         status=_number(any_of("status", "EdgeResponseStatus", "response_code")),
         bytes=_number(any_of("bytes", "EdgeResponseBytes", "body_bytes_sent")),

@@ -128,7 +128,9 @@ def sitemap_entries(pages: DataFrame, per_file: int = V.SITEMAP_LIMIT) -> DataFr
                       & F.coalesce("robots_allowed", F.lit(True))
                       & (F.col("canonical").isNull() | (F.col("canonical") == F.col("url")))
                       & F.col("content_type").rlike("(?i)text/html"))
-    stamp = F.try_to_timestamp(F.element_at("headers", "last-modified"), F.lit("EEE, dd MMM yyyy HH:mm:ss z"))
+    stamp = F.try_to_timestamp(F.regexp_extract(
+        F.element_at("headers", "last-modified"), r"(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2})", 1),
+        F.lit("d MMM yyyy HH:mm:ss"))
     esc = F.col("url")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         esc = F.replace(esc, F.lit(a), F.lit(b))

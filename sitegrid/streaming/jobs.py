@@ -44,42 +44,45 @@ ALERT_SCHEMA = "site string, run_id string, change string, rule string, severity
 
 
 class RunDiff(StatefulProcessor):
-    """Keeps the findings of a site's last run and emits regressions of the next.
+    """Keeps a site's last two runs and emits what got worse in the newer one.
 
-    One finding per rule bounds the state of a site.
+    One finding per rule bounds the state of a site. Rows of one run may arrive
+    in several micro-batches.
     """
 
     def __init__(self, alert_on: tuple[str, ...]):
         self.alert_on = alert_on
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "rule string", "severity string")
-        self.run = handle.getValueState("run", "run_id string")
+        self.earlier = handle.getMapState("earlier", "rule string", "severity string")
+        self.current = handle.getMapState("current", "rule string", "severity string")
+        self.run = handle.getValueState("run", "run_id string, baseline boolean")
+
+    def _turn_over(self) -> None:
+        old = {k[0]: v[0] for k, v in self.current.iterator()}
+        self.earlier.clear()
+        self.current.clear()
+        for rule, severity in old.items():
+            self.earlier.updateValue((rule,), (severity,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows), ignore_index=True)
         out = []
-        for _, run in frame.groupby(["run_at", "run_id"], sort=True):
-            run_id = run["run_id"].iloc[0]
-            now = dict(zip(run["rule"], run["severity"]))
-            known = self.run.exists()
-            if known and self.run.get()[0] == run_id:
-                before = {}
-            else:
-                before = {k[0]: v[0] for k, v in self.last.iterator()} if known else {}
-            for rule, sev in now.items():
-                if not known or sev not in self.alert_on or rule is None:
+        for (_, run_id), run in frame.groupby(["run_at", "run_id"], sort=True):
+            seen = self.run.get() if self.run.exists() else None
+            baseline = seen is None or (seen[0] == run_id and seen[1])
+            if seen is not None and seen[0] != run_id:
+                self._turn_over()
+            self.run.update((run_id, baseline))
+            for rule, severity in zip(run["rule"], run["severity"]):
+                self.current.updateValue((rule,), (severity,))
+                if baseline or severity not in self.alert_on:
                     continue
-                was = before.get(rule)
+                was = self.earlier.getValue((rule,))[0] if self.earlier.containsKey((rule,)) else None
                 if was is None:
-                    out.append((key[0], run_id, "appeared", rule, sev, None))
-                elif _RANK[sev] < _RANK[was]:
-                    out.append((key[0], run_id, "worsened", rule, sev, was))
-            for rule in before:
-                self.last.removeKey((rule,))
-            for rule, sev in now.items():
-                self.last.updateValue((rule,), (sev,))
-            self.run.update((run_id,))
+                    out.append((key[0], run_id, "appeared", rule, severity, None))
+                elif _RANK[severity] < _RANK[was]:
+                    out.append((key[0], run_id, "worsened", rule, severity, was))
         yield pd.DataFrame(out, columns=["site", "run_id", "change", "rule", "severity", "from_severity"])
 
     def close(self) -> None:
@@ -88,7 +91,6 @@ class RunDiff(StatefulProcessor):
 
 def stream_run_alerts(runs: DataFrame, alert_on: tuple[str, ...] = ("Critical", "High")) -> DataFrame:
     """Regressions per run of a stream of findings (``RUN_SCHEMA``); the first run
-    of a site is the baseline and stays silent. A run must arrive within one
-    micro-batch. Needs the RocksDB state store."""
+    of a site is the baseline and stays silent. Needs the RocksDB state store."""
     return runs.groupBy("site").transformWithStateInPandas(
         RunDiff(tuple(alert_on)), outputStructType=ALERT_SCHEMA, outputMode="Append", timeMode="None")
