@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ["page_queries", "log_queries", "search_queries", "graph_queries", "text_queries"]
+QUERY_MODULES = ["page_queries", "log_queries", "search_queries", "graph_queries", "text_queries", "run_queries"]
 
 
 def load_queries() -> None:

@@ -328,13 +328,13 @@ def render_gap(spark, sf):
 
 # --- duplicates over documents ---------------------------------------------------------------------
 
-_DOCS = r"""dd AS (SELECT doc_id, 'doc' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS url, source AS site, text, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w,
+_DOCS = r"""dd AS (SELECT doc_id, 'doc' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS url, lang AS site, text, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w,
   sha1(substr(regexp_replace(lower(trim(regexp_replace(text, '[\s\x{00a0}]+', ' ', 'g'))), '[^a-z0-9 ]+', '', 'g'), 1, 20000)) AS chash FROM documents)"""
 
 
 def docs(spark, sf):
     d = A.table(spark, sf, "documents")
-    return d.select(F.lit("r1").alias("run_id"), F.col("source").alias("site"), "doc_id", "lang",
+    return d.select(F.lit("r1").alias("run_id"), F.col("lang").alias("site"), "doc_id", "lang",
                     F.concat(F.lit("doc"), F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("url"), "text",
                     X.content_hash(X.squash(F.col("text"))).alias("content_hash"))
 

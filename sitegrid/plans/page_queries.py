@@ -514,7 +514,7 @@ def fix_findings(spark, sf):
     return O.fix_findings(findings, urls, p, links_of(p)).select("site", "rule", "url", "field", "proposed")
 
 
-@query("subjects", f"""WITH {PAGES}, s AS (SELECT site, text FROM (SELECT site, unnest([lower(trim(regexp_split_to_array(title, '\s[|\-–—·]\s')[1])), lower(h1)]) AS text FROM pg WHERE html_type)
+@query("subjects", rf"""WITH {PAGES}, s AS (SELECT site, text FROM (SELECT site, unnest([lower(trim(regexp_split_to_array(title, '\s[|\-–—·]\s')[1])), lower(h1)]) AS text FROM pg WHERE html_type)
   WHERE length(text) > 2 GROUP BY ALL HAVING count(*) > 1) SELECT site, text FROM s""")
 def subjects(spark, sf):
     """Strings several titles or H1s of a site share."""

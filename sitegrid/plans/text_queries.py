@@ -98,14 +98,14 @@ def excerpt(spark, sf):
 # --- answers ----------------------------------------------------------------------------------------
 
 _SC = f"""{ANSWERS}, sc AS (SELECT *, ok AND regexp_matches(answer, '(?i)(^|[^a-z0-9])Acme([^a-z0-9]|$)') AS named, ok AND regexp_matches(answer, '(?i)(^|[^a-z0-9.-])acme\\.com([^a-z0-9-]|$)') AS cited,
-  CASE conv_id % 5 WHEN 0 THEN 10.0 WHEN 1 THEN 5.0 END AS sentiment FROM ans)"""
+  CASE conv_id % 5 WHEN 0 THEN 10.0::DOUBLE WHEN 1 THEN 5.0::DOUBLE END AS sentiment FROM ans)"""
 
 
 def _scored(spark, sf):
     return J.score_answers(A.answers(spark, sf), "Acme", "https://www.acme.com/", ["Beta Works"])
 
 
-@query("score_answers", f"WITH {_SC} SELECT conv_id, turn, coalesce(named, FALSE) AS named, coalesce(cited, FALSE) AS cited, CASE WHEN ok AND named THEN sentiment ELSE -1 END AS sentiment FROM sc")
+@query("score_answers", f"WITH {_SC} SELECT conv_id, turn, coalesce(named, FALSE) AS named, coalesce(cited, FALSE) AS cited, CASE WHEN ok AND named THEN sentiment ELSE -1.0::DOUBLE END AS sentiment FROM sc")
 def score_answers(spark, sf):
     no = F.lit(False)
     return _scored(spark, sf).select("conv_id", "turn", F.coalesce("named", no).alias("named"), F.coalesce("cited", no).alias("cited"),

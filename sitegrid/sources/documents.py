@@ -87,7 +87,8 @@ def field_rows(docs: DataFrame, column: str = "json") -> DataFrame:
     m = r.select(F.coalesce("r.key.origin", "r.key.url").alias("site"), F.col("r.key.formFactor").alias("form_factor"),
                  F.col("r.collectionPeriods").alias("periods"), F.explode("r.metrics").alias("metric", "node"))
     zipped = F.arrays_zip(F.col("periods").alias("d"), F.col("node.percentilesTimeseries.p75s").alias("p"),
-                          F.get("node.histogramTimeseries", F.lit(0))["densities"].alias("g"))
+                          F.coalesce(F.get("node.histogramTimeseries", F.lit(0))["densities"],
+                                     F.array().cast("array<double>")).alias("g"))
     return m.select("site", "metric", "form_factor", F.explode(zipped).alias("z")).select(
         "site", "metric", "form_factor",
         F.make_date("z.d.lastDate.year", "z.d.lastDate.month", "z.d.lastDate.day").alias("period_end"),
