@@ -272,3 +272,8 @@ def _markup(html: pa.Array, base: pa.Array) -> pa.Array:
 
 # Never pushed into filters or evaluated twice.
 markup = _markup.asNondeterministic()
+
+
+def register_sql(spark) -> None:
+    """Makes the walk available to SQL as ``html_extract(html, base_url)``."""
+    spark.udf.register("html_extract", _markup)

@@ -82,10 +82,14 @@ def images_without_alt() -> Column:
     return F.filter("images", lambda i: ~i["decorative"] & (~i["has_alt"] | (F.trim(F.coalesce(i["alt"], F.lit(""))) == "")))
 
 
+def with_flags(pages: DataFrame) -> DataFrame:
+    """The three tests most rules start from, evaluated once per row."""
+    return pages.withColumns({"_html": is_html(), "_idx": is_indexable(), "_bloat": is_bloat()})
+
+
 def page_rules() -> list[PageRule]:
-    """Every rule that one page row decides."""
-    html, idx, bloat = is_html(), is_indexable(), is_bloat()
-    money = F.col("is_money")
+    """Every rule that one page row decides, over a table ``with_flags``."""
+    html, idx, bloat, money = F.col("_html"), F.col("_idx"), F.col("_bloat"), F.col("is_money")
     ident = F.concat_ws(" ", "title", F.array_join("h1s", " "), F.col("url"))
     said = F.concat_ws(" ", "title", F.array_join("h1s", " "), F.substring("body_text", 1, 500))
     other = F.col("canonical").isNotNull() & (F.col("canonical") != F.col("url"))
@@ -154,7 +158,8 @@ def page_hits(pages: DataFrame, rules: list[PageRule]) -> DataFrame:
             (r.weight if r.weight is not None else F.lit(1)).cast("bigint").alias("weight"),
             F.coalesce(r.escalate if r.escalate is not None else F.lit(False), F.lit(False)).alias("escalate")))
 
-    return pages.select(*KEY, "url", F.explode(F.array_compact(F.array(*[struct(r) for r in rules]))).alias("h")) \
+    return with_flags(pages).select(
+        *KEY, "url", F.explode(F.array_compact(F.array(*[struct(r) for r in rules]))).alias("h")) \
         .select(*KEY, "h.rule", "url", "h.detail", "h.weight", "h.escalate")
 
 
