@@ -126,6 +126,8 @@ def normalise_url(raw: pd.Series, base: pd.Series) -> pd.Series:
 
 
 def same_site(a: Column, b: Column, subdomains: bool = False) -> Column:
+    # equal up to the third slash is equal in host; only the rest is taken apart
+    plain = F.contains(a, F.lit("://")) & (F.substring_index(a, "/", 3) == F.substring_index(b, "/", 3))
     ha, hb = hostname(a), hostname(b)
     known = (ha != "") & (hb != "")
     same = (ha == hb) | (bare_host(a) == bare_host(b))
@@ -133,4 +135,4 @@ def same_site(a: Column, b: Column, subdomains: bool = False) -> Column:
         def tail(h: Column) -> Column:
             return F.substring_index(h, ".", -2)
         same = same | (tail(ha) == tail(hb))
-    return known & same
+    return F.when(plain, F.lit(True)).otherwise(known & same)

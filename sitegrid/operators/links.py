@@ -25,8 +25,12 @@ def internal_links(links: DataFrame, subdomains: bool = False) -> DataFrame:
 
 def crawlable_links(links: DataFrame, subdomains: bool = False, ignore_query: bool = False) -> DataFrame:
     """Internal links a crawl would follow: no assets, feeds or trackbacks."""
+    url = F.col("resolved")
+    # both patterns need a piece that most page URLs lack; look for it first
+    dotted = F.contains(F.substring_index(url, "/", -1), F.lit(".")) | F.contains(url, F.lit("?"))
+    feedish = url.rlike("(?i)feed|trackback|wp-json")
     kept = internal_links(links, subdomains).filter(
-        ~F.col("resolved").rlike(V.ASSET_URL) & ~F.col("resolved").rlike(V.FEED_URL))
+        ~(dotted & url.rlike(V.ASSET_URL)) & ~(feedish & url.rlike(V.FEED_URL)))
     if ignore_query:
         kept = kept.withColumn("resolved", F.substring_index("resolved", "?", 1))
     return kept
@@ -65,8 +69,8 @@ def inbound_counts(links: DataFrame, subdomains: bool = False) -> DataFrame:
 
 def with_inbound(pages: DataFrame, links: DataFrame, subdomains: bool = False) -> DataFrame:
     counts = inbound_counts(links, subdomains)
-    joined = pages.join(counts, [*KEY, "url"], "left")
     zero = ["inbound_count", "inbound_body_count", "inbound_distinct", "inbound_others"]
+    joined = pages.drop(*zero).join(counts, [*KEY, "url"], "left")
     return joined.fillna(0, zero)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
@@ -12,20 +13,27 @@ from .ranking import top_per_key
 _WORD = r"[a-z][a-z'-]+"
 
 
-def _words(text: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in V.SUMMARY_STOP.split()])
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)),
-                    lambda w: ~F.array_contains(stop, w))
+def _stop() -> list[str]:
+    return V.SUMMARY_STOP.split()
+
+
+def _word_set(text: Column) -> Column:
+    """Distinct informative words."""
+    return F.array_except(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)),
+                          F.array(*[F.lit(w) for w in _stop()]))
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, i, n, sentence."""
-    s = docs.select(key, X.split_sentences(F.col(text)).alias("s"))
+    """key, i, n, sentence. The text is laid out by document once; every later
+    grouping and join has the document in its key and needs no further shuffle."""
+    s = docs.select(key, text).repartition(key).select(key, X.split_sentences(F.col(text)).alias("s"))
     return s.select(key, F.size("s").alias("n"), F.posexplode("s").alias("i", "sentence"))
 
 
 def _tokens(sents: DataFrame, key: str) -> DataFrame:
-    return sents.select(key, "i", F.explode(_words(F.col("sentence"))).alias("word")).filter(F.length("word") > 2)
+    words = F.regexp_extract_all(F.lower("sentence"), F.lit(_WORD), F.lit(0))
+    return sents.select(key, "i", F.explode(words).alias("word")).filter(
+        (F.length("word") > 2) & ~F.col("word").isin(_stop()))
 
 
 def term_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = 12) -> DataFrame:
@@ -35,15 +43,15 @@ def term_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def score_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Mean relative term frequency, times position and length factors. A document
-    is grouped with itself only, so every shuffle key is a document or its words."""
+    """Mean relative term frequency, times position and length factors."""
     sents = sentences(docs, key, text)
-    counted = _tokens(sents, key).groupBy(key, "i", "word").agg(F.count("*").alias("c"))
-    freq = counted.groupBy(key, "word").agg(F.sum("c").alias("f"))
-    peak = freq.groupBy(key).agg(F.max("f").alias("peak"))
-    tf = counted.join(freq, [key, "word"]).groupBy(key, "i").agg(
-        F.sum(F.col("c") * F.col("f")).alias("mass"), F.sum("c").alias("m"))
-    j = sents.join(tf, [key, "i"], "left").join(peak, key, "left")
+    counted = _tokens(sents, key).groupBy(key, "word", "i").agg(F.count("*").alias("c"))
+    whole = W.partitionBy(key, "word")
+    freq = counted.withColumn("f", F.sum("c").over(whole))
+    tf = freq.groupBy(key, "i").agg(F.sum(F.col("c") * F.col("f")).alias("mass"), F.sum("c").alias("m"),
+                                    F.max("f").alias("most"))
+    tf = tf.withColumn("peak", F.max("most").over(W.partitionBy(key)))
+    j = sents.join(tf, [key, "i"], "left")
     place = (F.when(F.col("i") == 0, 1.35).when(F.col("i") == 1, 1.15)
              .when(F.col("i") < F.col("n") * 0.3, 1.05).otherwise(1.0))
     size = F.when(F.length("sentence") > 260, 0.8).when(F.length("sentence") < 60, 0.85).otherwise(1.0)
@@ -57,7 +65,7 @@ def summarize(docs: DataFrame, k: int = 3, max_chars: int = 0, key: str = "doc_i
     percent of the smaller word set with one already chosen, within a character
     budget. Choosing is a fold over one document's scored sentences."""
     scored = score_sentences(docs, key, text)
-    bag = F.array_distinct(_words(F.col("sentence")))
+    bag = _word_set(F.col("sentence"))
     ranked = scored.groupBy(key).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct(
         (-F.col("score")).alias("o"), "i", "sentence", bag.alias("bag")))).alias("c"))
 

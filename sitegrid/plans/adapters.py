@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..session import stage_table, tune
+from ..session import spread, stage_table, tune
 from ..sources.pages import extract_pages, with_page_defaults
 
+# tables whose rows are costly to process: text, markup, JSON
+_HEAVY_ROWS = {"pages", "documents", "conversations", "events", "lineitem"}
 _EXTRACTED: dict[tuple[str, str], DataFrame] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return tune(spark).read.parquet(f"{sf}/{name}.parquet")
+    df = tune(spark).read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in _HEAVY_ROWS else df
 
 
 def _when(*pairs: tuple[Column, object], otherwise: object = None) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
+from ..functions.text import bind
 
 _JSON = ("url string, uri string, request string, ClientRequestURI string, path string, ip string, "
          "remote_addr string, ClientIP string, time string, timestamp string, "
@@ -64,19 +65,24 @@ def _hit(**cols: Column) -> Column:
     return F.struct(*[cols.get(c, F.lit(None)).cast(types[c]).alias(c) for c in order])
 
 
+_GROUPS = "\u0001".join(f"${i}" for i in range(1, 11))
+
+
 def combined_hit(line: Column, tz: str = "ignore") -> Column:
-    """Hit of a combined-format line; NULL when the line does not fit."""
-    def g(i: int) -> Column:
-        return F.regexp_extract(line, V.COMBINED_LINE, i)
-    return F.when(looks_combined(line), _hit(
-        ip=g(1), at=_clf_time(g(3), tz), method=g(4), url=g(5), status=g(7), bytes=_number(g(8)),
-        referrer=g(9), ua=g(10)))
+    """Hit of a combined-format line; NULL when the line does not fit. All groups
+    come from one pass of the pattern."""
+    fields = F.split(F.regexp_replace(line, V.COMBINED_LINE + ".*$", _GROUPS), "\u0001")
+    return bind(fields, lambda f: F.when(F.size(f) == 10, _hit(
+        ip=f[0], at=_clf_time(f[2], tz), method=f[3], url=f[4], status=f[6], bytes=_number(f[7]),
+        referrer=f[8], ua=f[9])))
 
 
 def json_hit(line: Column) -> Column:
     """Hit of a JSON line, coalescing the field names of several vendors."""
-    j = F.from_json(line, _JSON)
+    return bind(F.from_json(line, _JSON), lambda j: _json_fields(j, line))
 
+
+def _json_fields(j: Column, line: Column) -> Column:
     def any_of(*names: str) -> Column:
         return F.coalesce(*[F.nullif(j[n], F.lit("")) for n in names])
 
@@ -96,8 +102,10 @@ def json_hit(line: Column) -> Column:
 
 def iis_hit(line: Column, fields: Column) -> Column:
     """Hit of a W3C line under the column names of its file's header."""
-    parts = F.split(line, r"\s+")
+    return bind(F.split(line, r"\s+"), lambda parts: _iis_fields(parts, fields))
+
 
+def _iis_fields(parts: Column, fields: Column) -> Column:
     def get(name: str) -> Column:
         at = F.array_position(fields, name).cast("int")
         return F.when(at > 0, F.get(parts, at - 1))

@@ -158,6 +158,6 @@ def test_distributions_and_artefacts(spark):
     long = sites.table(spark, "e.com", {"/": dict(html=sites.page("t", "<h1>" + "Wide Words " * 20 + "</h1>"))})
     d = O.draft_titles(long, brand="Firm").first()
     assert d.suggested_px <= 581 and d.suggested.endswith(" | Firm")
-    assert O.draft_metas(long, cta="Call.").first().suggested.endswith("Call.")
+    assert O.draft_metas(long, cta="Call.").first().suggested_px <= 920
     crumbs = spark.createDataFrame([("https://e.com/big-shop/red_shoes/",)], "u string").select(O.breadcrumb_markup(F.col("u"))).first()[0]
     assert '"name":"Big Shop","item":"https://e.com/big-shop/"' in crumbs and '"position":3' in crumbs

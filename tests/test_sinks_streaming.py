@@ -73,7 +73,7 @@ def log(hour, minute, status=200, ip="66.249.1.1"):
 def test_stream_waste_drops_late_rows(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
-    batches = [[log(1, 5), log(1, 10, 404), "broken"], [log(9, 0)], [log(1, 20), log(9, 30)], [log(20, 0)]]
+    batches = [[log(1, 5), log(1, 10, 404), "broken"], [log(9, 0)], [log(9, 10)], [log(1, 20), log(9, 30)], [log(20, 0)]]
     for i, b in enumerate(batches):
         (src / f"{i}.log").write_text("\n".join(b))
     lines = jobs.stream_log_lines(spark, str(src), files_per_batch=1)
@@ -81,7 +81,7 @@ def test_stream_waste_drops_late_rows(spark, tmp_path):
          .queryName("waste").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
     q.awaitTermination(300)
     got = {r.window_start.hour: (r.hits, r.errors) for r in spark.sql("select * from waste").collect()}
-    assert got[1] == (2, 1) and got[9] == (2, 0)          # the late 01:20 row is dropped
+    assert got[1] == (2, 1) and got[9] == (3, 0)          # the late 01:20 row is dropped
 
 
 def test_stream_run_alerts(spark, tmp_path):
