@@ -56,26 +56,30 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.85, block: int = BLOCK
     ``rows``: run_id, site, url, content_hash, shingles. Copies are folded first,
     so a pair stands for ``copies_a * copies_b`` page pairs. Exact prefix
     filtering: shingles ordered rarest first, two sets that reach the threshold
-    share one of their first ``n - ceil(t*n) + 1``. A shingle held by many sets
+    share one of their first ``n - ceil(t*n) + 1``. One document holds at most a
+    few hundred shingles, which bounds its ordered list. A shingle held by many sets
     is split into blocks that meet pairwise in separate cells, so no task holds
     it whole and no pair is lost.
     """
     groups = cut_lineage(content_groups(rows).withColumn("n", F.size("sh")))
     tokens = groups.select(*KEY, "content_hash", "n", F.explode("sh").alias("tok"))
-    freq = tokens.groupBy(*KEY, "tok").agg(F.count("*").alias("df"))
+    # a shingle held once ranks before all others and matches nothing, so it only
+    # counts towards the prefix; shared shingles alone are joined and ordered
+    shared = tokens.groupBy(*KEY, "tok").agg(F.count("*").alias("df")).filter("df > 1")
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
-    ordered = (tokens.join(freq, [*KEY, "tok"])
+    own = F.col("n") - F.size("o")
+    ordered = (tokens.join(shared, [*KEY, "tok"])
                .groupBy(*KEY, "content_hash").agg(
                    F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"), F.max("n").alias("n"))
-               .select(*KEY, "content_hash", "n", F.posexplode(F.slice(F.col("o"), F.lit(1), keep.cast("int")))
-                       .alias("p", "t")))
+               .select(*KEY, "content_hash", "n", own.alias("own"), F.posexplode(F.slice(
+                   F.col("o"), F.lit(1), F.greatest(keep - own, F.lit(0)).cast("int"))).alias("q", "t"))
+               .withColumn("p", F.col("own") + F.col("q")))
     blocks = F.ceil(F.col("t.df") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64("content_hash"), blocks).cast("int")
     cells = F.when(F.col("b") == 1, F.array(F.lit(0))).otherwise(F.transform(
         F.sequence(F.lit(0), F.col("b") - 1),
         lambda x: F.least(x, F.col("me")) * F.col("b") + F.greatest(x, F.col("me"))))
-    spread = (ordered.filter("t.df > 1")
-              .select(*KEY, "content_hash", "n", "p", F.col("t.tok").alias("tok"), blocks.alias("b"),
+    spread = (ordered.select(*KEY, "content_hash", "n", "p", F.col("t.tok").alias("tok"), blocks.alias("b"),
                       mine.alias("me"))
               .withColumn("cell", F.explode(cells)))
     a, b = spread.alias("a"), spread.alias("b")

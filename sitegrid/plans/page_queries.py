@@ -202,9 +202,10 @@ def unchecked_stages(spark, sf):
     return D.unchecked_stages(_findings(spark, sf)[0], A.pages(spark, sf), checked).select("site", "stage", "findings", "state")
 
 
-@query("finding_urls")
+@query("finding_urls", _audit_sql("""SELECT al.site, al.rule, al.url FROM al JOIN fd ON fd.site = al.site AND fd.rule = al.rule WHERE al.rule NOT IN (SELECT DISTINCT rule FROM g)
+  UNION ALL SELECT g.site, g.rule, g.url FROM g JOIN gs ON gs.site = g.site AND gs.rule = g.rule AND gs.value = g.value JOIN fd ON fd.site = g.site AND fd.rule = g.rule"""))
 def finding_urls(spark, sf):
-    return _findings(spark, sf)[1].select("site", "rule", "url", "detail")
+    return _findings(spark, sf)[1].select("site", "rule", "url")
 
 
 @query("site_stats", f"""WITH {PAGES}, {LINKS} SELECT site, count(*) AS crawled, count(*) FILTER (WHERE is_html) AS html, count(*) FILTER (WHERE idx) AS indexable,
