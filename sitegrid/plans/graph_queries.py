@@ -294,8 +294,9 @@ def _redirect_inputs(spark, sf):
     return old, new
 
 
-@query("redirect_map", f"""WITH {_RM} SELECT old AS from_url, CASE WHEN score < 0.25 THEN '' ELSE url END AS to_url, CAST(floor(score * 100 + 0.5::DOUBLE) AS BIGINT) AS score,
-  CASE WHEN score < 0.25 THEN 'none' WHEN score > 0.7::DOUBLE THEN 'high' WHEN score > 0.45::DOUBLE THEN 'medium' ELSE 'low' END AS confidence FROM bs WHERE r = 1""")
+@query("redirect_map", f"""WITH {_RM}, q AS (SELECT o.old, coalesce(score, 0.0::DOUBLE) AS score, url FROM (SELECT DISTINCT old FROM ol) o LEFT JOIN bs ON bs.old = o.old AND r = 1)
+  SELECT old AS from_url, CASE WHEN score < 0.25 THEN '' ELSE url END AS to_url, CAST(floor(score * 100 + 0.5::DOUBLE) AS BIGINT) AS score,
+  CASE WHEN score < 0.25 THEN 'none' WHEN score > 0.7::DOUBLE THEN 'high' WHEN score > 0.45::DOUBLE THEN 'medium' ELSE 'low' END AS confidence FROM q""")
 def redirect_map(spark, sf):
     return O.redirect_map(*_redirect_inputs(spark, sf)).select("from_url", "to_url", "score", "confidence")
 

@@ -60,18 +60,16 @@ def read_sitemaps(docs: DataFrame, roots: DataFrame | None = None, max_depth: in
     typed = docs.select(*KEY, "url", "body",
                         F.regexp_like("body", F.lit("(?i)<sitemapindex")).alias("is_index"),
                         F.regexp_extract_all("body", F.lit(_BLOCK), F.lit(0)).alias("blocks"))
-    reached = typed if roots is None else typed.join(
-        roots.select(*KEY, F.col("sitemap").alias("url")).distinct(), [*KEY, "url"], "left_semi")
+    reached = typed
     if roots is not None:
         children = typed.filter("is_index").select(*KEY, "url", F.explode("blocks").alias("block")).select(
             *KEY, "url", _tag("loc").alias("child"))
-        level = reached
-        for _ in range(max_depth):
-            names = level.filter("is_index").select(*KEY, "url").join(children, [*KEY, "url"]).select(
-                *KEY, F.col("child").alias("url")).distinct()
-            level = typed.join(names, [*KEY, "url"], "left_semi")
-            reached = reached.unionByName(level)
-        reached = reached.dropDuplicates([*KEY, "url"])
+        level = roots.select(*KEY, F.col("sitemap").alias("url")).distinct()
+        names = level
+        for _ in range(max_depth):      # names only; the documents are joined once
+            level = level.join(children, [*KEY, "url"]).select(*KEY, F.col("child").alias("url")).distinct()
+            names = names.unionByName(level)
+        reached = typed.join(names.distinct(), [*KEY, "url"], "left_semi")
     sets = reached.filter(~F.col("is_index"))
     entries = sets.select(*KEY, F.col("url").alias("source"), F.posexplode("blocks").alias("pos", "block")).select(
         *KEY, "source", "pos", _tag("loc").alias("loc"), _tag("lastmod").alias("lastmod"),
