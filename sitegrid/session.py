@@ -1,4 +1,4 @@
-"""Session helpers: runtime settings, lineage cuts, size-checked broadcast."""
+"""Session helpers: runtime settings, lineage cuts, layout."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Runtime SQL settings every job wants; none of them fixes a partition count,
 # AQE coalesces or splits from the sizes it sees.
@@ -17,7 +16,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
 }
-BROADCAST_ROWS = 100_000
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -73,10 +71,3 @@ def spread(df: DataFrame) -> DataFrame:
     cluster size have more and pass through without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only after counting that the side is small; otherwise the
-    side is left alone and the join shuffles."""
-    seen = df.limit(rows + 1).count()
-    return F.broadcast(df) if seen <= rows else df
