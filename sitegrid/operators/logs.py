@@ -79,9 +79,7 @@ def crawl_by_section(hits: DataFrame, bot: str = "googlebot", by: list[str] = ()
 def crawl_budget_sets(hits: DataFrame, bot: str = "googlebot") -> DataFrame:
     """Status and section totals from one scan by grouping sets."""
     tagged = bot_hits(hits, bot).withColumn("section", U.section(F.col("clean")))
-    tagged.createOrReplaceTempView("_budget")
-    return tagged.sparkSession.sql(
-        "SELECT status, section, count(*) AS hits FROM _budget GROUP BY GROUPING SETS ((status), (section))")
+    return tagged.groupingSets([["status"], ["section"]], "status", "section").agg(F.count("*").alias("hits"))
 
 
 def waste_columns() -> list[Column]:

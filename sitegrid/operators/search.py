@@ -76,9 +76,12 @@ def cannibalisation(perf: DataFrame, preset: str = "export", by: list[str] = ())
     share = F.col("impressions") / F.col("total_impressions")
     if preset == "export":
         big = totals.filter((F.col("total_impressions") >= 60) & (F.col("n_pages") >= 2))
-        sharing = perf.join(big, keys).filter(share > 0.15)     # at most six rows of a query
-        enough = sharing.groupBy(*keys).agg(F.count("*").alias("competing")).filter("competing >= 2")
-        return sharing.join(enough, keys).withColumn("share", X.half_up(share * 100)).drop("n_pages")
+        sharing = perf.join(big, keys).filter(share > 0.15).withColumn("share", X.half_up(share * 100)).drop("n_pages")
+        rest = [c for c in sharing.columns if c not in keys]
+        # shares above 0.15 add up to at most one, so a query has at most six such rows
+        packed = sharing.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("rows")).filter(F.size("rows") >= 2)
+        return packed.select(*keys, F.size("rows").cast("bigint").alias("competing"), F.explode("rows").alias("r")).select(
+            *keys, "competing", "r.*")
     big = totals.filter((F.col("total_impressions") >= 50) & (F.col("n_pages") >= 2))
     top = top_per_key(perf.join(big, keys, "left_semi"), keys, [F.desc("impressions"), F.col("page")], 5)
     lead = top.groupBy(*keys).agg(F.max(F.when(F.col("rank") == 1, F.col("impressions"))).alias("first"),
