@@ -16,8 +16,6 @@ from . import adapters as A
 from .registry import query
 from .sql import GRAPH, rx, text_of
 
-_SAME = "TRUE"
-
 
 @query("inbound_links", f"""WITH {GRAPH} SELECT site, resolved AS url, count(*) AS inbound_count, count(*) FILTER (WHERE NOT in_nav AND NOT in_footer) AS inbound_body_count,
   count(DISTINCT from_url) AS inbound_distinct FROM gl GROUP BY ALL""")
@@ -90,10 +88,10 @@ def crawlable_links(spark, sf):
 
 
 @query("link_rules", f"""WITH {GRAPH}, f AS (SELECT * FROM gl WHERE from_url IN (SELECT url FROM gp WHERE status = 200)),
-  h AS (SELECT site, 'internal-links-to-redirects' AS rule FROM f WHERE resolved IN (SELECT url FROM gp WHERE hops > 0)
+  h AS (SELECT site, 'internal-links-to-redirects' AS rule FROM f WHERE resolved IN (SELECT url FROM gp WHERE status = 301)
    UNION ALL SELECT site, 'generic-anchors' FROM f WHERE anchor = 'read more' AND NOT in_nav AND NOT in_footer
    UNION ALL SELECT site, 'links-to-noindex' FROM f WHERE NOT nofollow AND resolved IN (SELECT url FROM gp WHERE status = 200 AND noindex) GROUP BY site, from_url)
-  SELECT site, rule, count(*) AS n FROM h GROUP BY ALL""".replace("CAST(p_size * 10", "CAST(p_size * 10").replace("WHERE hops > 0", "WHERE status = 301"))
+  SELECT site, rule, count(*) AS n FROM h GROUP BY ALL""")
 def link_rules(spark, sf):
     p = A.graph_pages(spark, sf).withColumns({"hops": F.when(F.col("status") == 301, 1).otherwise(0),
                                               "x_robots_tag": F.lit(None).cast("string")})

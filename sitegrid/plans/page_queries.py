@@ -22,8 +22,6 @@ from . import sql as S
 from .registry import query
 from .sql import CRAWLS, LINKS, PAGES, SITEMAP, pct, px, rx
 
-_HTMLTEXT = "is_html"
-
 
 @query("extract_pages", f"""WITH {PAGES} SELECT url, site, title, h1, CAST(words AS INTEGER) AS word_count, chash AS content_hash,
   CASE WHEN html_type THEN regexp_extract(html, '<html lang="([^"]*)"', 1) END AS lang, noindex,
@@ -499,8 +497,8 @@ def crawl_export(spark, sf):
         "URL", "Status", "Hops", "Depth", "Indexable", "Title", "H1", "Canonical")
 
 
-@query("workitem_export", _audit_sql("""SELECT rule, 'Task' AS kind, CASE severity WHEN 'Critical' THEN 1 WHEN 'High' THEN 2 WHEN 'Medium' THEN 3 ELSE 4 END AS priority,
-  count(*) AS n FROM fd GROUP BY ALL""").replace("SELECT rule,", "SELECT stage,").replace("GROUP BY ALL", "GROUP BY ALL"))
+@query("workitem_export", _audit_sql("""SELECT stage, 'Task' AS kind, CASE severity WHEN 'Critical' THEN 1 WHEN 'High' THEN 2 WHEN 'Medium' THEN 3 ELSE 4 END AS priority,
+  count(*) AS n FROM fd GROUP BY ALL"""))
 def workitem_export(spark, sf):
     findings, urls = _findings(spark, sf)
     t = sinks.workitem_table(findings, urls)
