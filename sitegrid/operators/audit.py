@@ -387,7 +387,7 @@ def run_audit(t: AuditInput, extra: list[PageRule] = (), extra_catalog: list[tup
     count them per rule with partial aggregation and keep the rules that reach
     their minimum, finding_urls lists every affected URL of those."""
     hits, members = rule_hits(t, extra, near_duplicates)
-    hits = stage_table(hits)
+    hits = stage_table(hits.hint("rebalance"))      # few well-sized files from many small inputs
     catalog = rule_catalog(t.pages.sparkSession, list(extra_catalog))
     totals = t.pages.groupBy(*KEY).agg(F.count_if(is_html()).alias("n_html"))
     counted = hits.groupBy(*KEY, "rule").agg(
