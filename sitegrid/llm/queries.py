@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import packing, pii, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 QUALITY_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, source, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
@@ -69,3 +74,35 @@ def op1_host_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op7_simhash_anchors(spark: SparkSession, folder: str) -> DataFrame:
     grouped = simhash.group(table(spark, folder, "documents", "doc_id", "text"))
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _count(spans: str, kind: int) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def _digest(spans: Column, kinds: list[str], at: str = "kind") -> Column:
+    name = F.array(*[F.lit(k) for k in kinds])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s[at]), s["start"], s["end"])), ",")
+
+
+@query("op4_blob_ledger")
+def op4_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find(table(spark, folder, "documents", "doc_id", "text"))
+    base = F.filter("found", lambda s: s["kind"] < len(secrets.BASE))
+    return found.select(
+        "doc_id", *[_count("found", i).alias(f"n_{k}") for i, k in enumerate(secrets.BASE)],
+        F.sha2(secrets.spelled(base), 256).alias("base_sha256"), secrets.spelled(F.col("found")).alias("spans"))
+
+
+@query("op8_deobfuscate")
+def op8_deobfuscate(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id", *[_count("base", i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)],
+        F.sha2(_digest(F.col("base"), pii.KINDS), 256).alias("base_sha256"), _digest(F.col("found"), pii.KINDS).alias("spans"))
+
+
+@query("op9_linear_grouping")
+def op9_linear_grouping(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, folder, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
