@@ -72,7 +72,7 @@ def test_plan_covers_every_rank():
             total += b[0][2]
         least = -(-sum(n * c for n, c in counts.items()) // 2048)
         if len(counts) > 500:
-            assert total <= 1.025 * least + 1, (total, least)
+            assert total <= 1.01 * least + sum(c for n, c in counts.items() if n > 256) / packing.GROUPS + 1, (total, least)  # what rounding can cost
 
 
 def test_chunks_as_the_tokenizer():
