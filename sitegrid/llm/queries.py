@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pii, quality, secrets, simhash
+from . import bpe, packing, pii, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,3 +106,12 @@ def op8_deobfuscate(spark: SparkSession, folder: str) -> DataFrame:
 def op9_linear_grouping(spark: SparkSession, folder: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, folder, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op3_distinct_words")
+def op3_distinct_words(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(table(spark, folder, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    decoded = bpe.decode(encoded, ranks)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
