@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, pii, quality, secrets, simhash
+from . import bpe, embeddings, packing, pii, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,3 +115,8 @@ def op3_distinct_words(spark: SparkSession, folder: str) -> DataFrame:
     encoded = bpe.encode(table(spark, folder, "documents", "doc_id", "text"), ranks, public_tokenizers.PATTERN)
     decoded = bpe.decode(encoded, ranks)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query("op10_e8_lattice")
+def op10_e8_lattice(spark: SparkSession, folder: str) -> DataFrame:
+    return embeddings.group(table(spark, folder, "embeddings", "vec_id", "embedding", "label"))
