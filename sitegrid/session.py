@@ -58,11 +58,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stage_table(df: DataFrame) -> DataFrame:
+def stage_table(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Written columnar table in the shared folder, for wide tables that several
     later steps read by column."""
     path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
