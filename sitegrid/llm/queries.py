@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, packing, pii, quality, secrets, simhash
+from . import bpe, embeddings, extract, packing, pii, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -120,3 +120,8 @@ def op3_distinct_words(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_e8_lattice")
 def op10_e8_lattice(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.group(table(spark, folder, "embeddings", "vec_id", "embedding", "label"))
+
+
+@query("op5_page_differences")
+def op5_page_differences(spark: SparkSession, folder: str) -> DataFrame:
+    return extract.extract(table(spark, folder, "pages", "page_id", "url", "html"))
