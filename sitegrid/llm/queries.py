@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, extract, packing, pii, quality, secrets, simhash
+from . import bpe, embeddings, extract, lines, packing, pii, quality, secrets, simhash, suffixes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,3 +125,15 @@ def op10_e8_lattice(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_page_differences")
 def op5_page_differences(spark: SparkSession, folder: str) -> DataFrame:
     return extract.extract(table(spark, folder, "pages", "page_id", "url", "html"))
+
+
+@query("op2_fuzzy_lines")
+def op2_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.dedupe_lines(table(spark, folder, "documents", "doc_id", "text"))
+    return found.select("doc_id", "line", F.lpad(F.lower(F.hex("root")), 16, "0").alias("class_id"), "kept")
+
+
+@query("op6_two_stage_suffixes")
+def op6_two_stage_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
