@@ -71,42 +71,47 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
 
-def link_buckets(members: DataFrame, linked: Column, rounds: int = 3) -> DataFrame:
+def link_buckets(members: DataFrame, linked: Column | None = None, rounds: int = 3, large: int = 1000,
+                 verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components of nodes that share a bucket and satisfy ``linked``.
 
     ``members``: bucket, node, home (boolean) and what ``linked`` compares, as
-    columns of aliases ``x`` (a home member) and ``y``. Only pairs with a home
-    member are due. Every due pair that links ends in one component, yet the pairs
-    of a large family are not all visited: in each round, each bucket tries one
-    member as a centre against the rest, and buckets that lie in one component are
-    done. What is left is compared pair by pair across components, exactly.
-    Returns ``node, root`` for linked nodes only.
+    columns of aliases ``x`` (a home member) and ``y``; a written table. ``verify``
+    keeps the pairs (a, b) that link where that takes more than the columns. Only pairs
+    with a home member are due. Buckets of up to ``large`` members are compared pair
+    by pair. In larger ones the pairs of a large family are not all visited: in each
+    round, each bucket tries one member as a centre against the rest, and buckets
+    that lie in one component are done; what is left after the rounds is compared
+    pair by pair across components. Either way every due pair that links ends in one
+    component. Returns ``node, root`` for linked nodes only.
     """
-    edges: DataFrame | None = None
-    roots: DataFrame | None = None
-
-    def open_members() -> DataFrame:
-        if roots is None:
-            wide = members.withColumn("root", F.col("node"))
-        else:
-            wide = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        live = wide.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"),
-                                          F.max("home").alias("_home")).filter("_lo <> _hi and _home").select("bucket")
-        return wide.join(live, "bucket", "left_semi")
-
+    same = F.col("x.bucket") == F.col("y.bucket")
+    if linked is not None:
+        same = same & linked
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        a, b = F.col("x.node"), F.col("y.node")
+        found = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+        return found if verify is None else verify(found)
+
+    hot = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > large).select("bucket"))
+    some = not hot.isEmpty()
+    few = members.join(hot, "bucket", "left_anti") if some else members
+    edges = cut_lineage(ends(few.filter("home").alias("x").join(few.alias("y"), same & (F.col("x.node") != F.col("y.node")))))
+    if not some:
+        return components(edges)
+    many = cut_lineage(members.join(hot, "bucket", "left_semi"))
     for r in range(rounds + 1):
-        at = cut_lineage(open_members())
+        roots = components(edges)
+        at = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        live = at.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"),
+                                        F.max("home").alias("_home")).filter("_lo <> _hi and _home").select("bucket")
+        at = cut_lineage(at.join(live, "bucket", "left_semi"))
         if at.isEmpty():
-            break
+            return roots
+        x = at.filter("home")
         if r < rounds:
-            rank = F.xxhash64(F.col("node"), F.lit(r))
-            centre = at.filter("home").groupBy("bucket").agg(F.min_by("node", rank).alias("node"))
-            x = at.filter("home").join(centre, ["bucket", "node"], "left_semi").distinct().alias("x")
-        else:
-            x = at.filter("home").alias("x")
-        y = at.alias("y")
-        on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & linked
-        new = x.join(y, on).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        edges = cut_lineage(new if edges is None else edges.union(new))
-        roots = cut_lineage(components(edges))
-    return roots if roots is not None else members.select("node", F.col("node").alias("root")).limit(0)
+            centre = x.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(r))).alias("node"))
+            x = x.join(centre, ["bucket", "node"], "left_semi").distinct()
+        edges = cut_lineage(edges.union(ends(x.alias("x").join(at.alias("y"), same & (F.col("x.root") != F.col("y.root"))))))
+    return components(edges)

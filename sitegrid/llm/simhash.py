@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -10,12 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stage_table
+from ..session import cut_lineage, stage_table
 from .common import link_buckets, row_key, whole
 
 THRESHOLD = 4
-#: Bit ranges of the fingerprint; one of three differs in at most one of four bits.
-BLOCKS = [(0, 22), (22, 21), (43, 21)]
+#: Blocks of the fingerprint and how many of them make a part: of four differing bits
+#: at most one lies in the best part. Fewer anchors suit fewer fingerprints; the
+#: second layout's are 32 times as many, for tables above ``MANY`` fingerprints.
+LAYOUTS = [(3, 1), (5, 2)]
+MANY = 1 << 21
 CODE = 15
 _UPPER = bytes(range(256)).translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
 
@@ -63,13 +67,13 @@ def _flip(x: np.ndarray, syndrome: np.ndarray) -> np.ndarray:
 
 
 def anchors(value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The home anchor of each block value, and all anchors within covering radius
+    """The home anchor of each value of a part, and all anchors within covering radius
     plus one differing bit.
 
-    The covering code of a block is the Hamming code on its first 15 bits (radius
-    1) times all words on the others (radius 0). A value within one bit of x has
-    x's home within distance 2 on the coded part with the rest equal, or within
-    distance 1 with one other bit off.
+    The covering code of a part is the Hamming code on its first 15 bits (radius 1)
+    times all words on the others (radius 0). A value within one bit of x has x's home
+    within distance 2 on the coded bits with the rest equal, or within distance 1 with
+    one other bit off.
     """
     low, rest = value & ((1 << CODE) - 1), value >> CODE
     near = _flip(low, _syndrome(low))
@@ -83,41 +87,53 @@ def anchors(value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return home, np.stack(out, axis=1)
 
 
-def covered(fps: DataFrame) -> DataFrame:
+def parts(layout: tuple[int, int]) -> list[list[tuple[int, int]]]:
+    """Bit ranges (first, width) of each part: every choice of blocks."""
+    blocks, chosen = layout
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    return [[(cuts[b], cuts[b + 1] - cuts[b]) for b in c] for c in combinations(range(blocks), chosen)]
+
+
+def covered(fps: DataFrame, layout: tuple[int, int] = LAYOUTS[0]) -> DataFrame:
     """bucket, node, home: each fingerprint at every anchor due."""
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             node = pdf["node"].to_numpy(np.int64)
             v = node.view(np.uint64)
-            for b, (at, width) in enumerate(BLOCKS):
-                home, each = anchors(((v >> np.uint64(at)) & np.uint64((1 << width) - 1)).astype(np.int64), width)
+            for k, ranges in enumerate(parts(layout)):
+                value, width = np.zeros(len(v), np.int64), 0
+                for at, w in ranges:
+                    value |= ((v >> np.uint64(at)) & np.uint64((1 << w) - 1)).astype(np.int64) << width
+                    width += w
+                home, each = anchors(value, width)
                 each = np.sort(each, axis=1)
                 fresh = np.ones(each.shape, bool)
                 fresh[:, 1:] = each[:, 1:] != each[:, :-1]
-                yield pd.DataFrame({"bucket": each[fresh] + (b << 32), "node": np.repeat(node, fresh.sum(axis=1)),
+                yield pd.DataFrame({"bucket": each[fresh] + (k << 40), "node": np.repeat(node, fresh.sum(axis=1)),
                                     "home": (each == home[:, None])[fresh]})
     return fps.select("node").mapInPandas(spread, "bucket long, node long, home boolean")
 
 
 def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
-    """k1, k2, doc_id, fp, component_id for each row of ``docs``.
+    """k1, k2, doc_id, fp, root, component_id for each row of ``docs``.
 
     Equal fingerprints are folded to one node with its least doc_id first, so
     copies never meet as pairs; then anchors bring every pair within the threshold
-    together (``BLOCKS`` suits thresholds up to 5). component_id is the least
-    doc_id reachable; a null doc_id counts as the largest value, so a component of
+    together (the layouts suit
+    thresholds up to 4). root names the component and component_id is the
+    least doc_id reachable; a null doc_id counts as the largest value, so a component of
     nulls has a null id. Repeated rows get equal verdicts; an empty table gives an
     empty result.
     """
-    if threshold >= 2 * len(BLOCKS):
-        raise ValueError("the blocks guarantee a block within one bit only up to 5 differing bits")
+    if threshold > THRESHOLD:
+        raise ValueError("the layouts leave at most one of four differing bits in a part")
     own = stage_table(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
                       .select(*row_key(), "doc_id", "fp"))
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumnRenamed("fp", "node")
-    members = stage_table(covered(nodes.select("node")))
+    nodes = cut_lineage(own.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumnRenamed("fp", "node"))
+    members = stage_table(covered(nodes.select("node"), LAYOUTS[nodes.count() > MANY]))
     close = F.bit_count(F.col("x.node").bitwiseXOR(F.col("y.node"))) <= threshold
     roots = link_buckets(members, close)
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     label = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(label, "root").select(F.col("node").alias("fp"), "component_id")
-    return own.join(by_fp, "fp").select("k1", "k2", "doc_id", "fp", "component_id")
+    by_fp = named.join(label, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    return own.join(by_fp, "fp").select("k1", "k2", "doc_id", "fp", "root", "component_id")

@@ -59,6 +59,8 @@ def test_links_at_every_distance(spark):
     fps = spark.createDataFrame([(s,) for s in signed.values()], "node long")
     from pyspark.sql import functions as F
     close = F.bit_count(F.col("x.node").bitwiseXOR(F.col("y.node"))) <= 4
-    got = {x.node: x.root for x in common.link_buckets(simhash.covered(fps), close, rounds=1).collect()}
     want = roots(sorted(signed.values()), [(signed[a], signed[b]) for a in values for b in values if a < b and (a ^ b).bit_count() <= 4])
-    assert {n: got.get(n, n) for n in want} == want
+    for layout in simhash.LAYOUTS:
+        for large in (3, 1000):
+            got = {x.node: x.root for x in common.link_buckets(simhash.covered(fps, layout), close, rounds=1, large=large).collect()}
+            assert {n: got.get(n, n) for n in want} == want
