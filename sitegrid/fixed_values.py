@@ -129,6 +129,9 @@ UPPER_CHARS, UPPER_W = "ABCDEFGHIJKLNOPQRSTUVXYZ", 62
 DIGIT_CHARS, DIGIT_W = "0123456789", 55
 OTHER_W = 50
 TITLE_MAX_PX, TITLE_MIN_PX, META_MAX_PX, META_MAX_CHARS = 580, 285, 920, 155
+# Fixes: H2s short enough for a title, sentences and drafts long enough for a
+# description, leads wide enough alone, texts that are articles, headline length.
+TITLE_SECOND_CHARS, META_SENTENCE_CHARS, META_MIN_CHARS, META_LEAD_PX, ARTICLE_WORDS, HEADLINE_CHARS = 46, 25, 50, 400, 900, 110
 
 # --- audit rules -----------------------------------------------------------------------
 STAGES = ["eligibility", "indexation", "intent", "onpage", "linking", "schema", "performance", "offpage"]

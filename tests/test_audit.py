@@ -32,7 +32,7 @@ def test_broken_site(spark):
     fixes = O.fix_findings(findings, urls, p, links_of(p)).collect()
     by_rule = {r.rule for r in fixes}
     assert {"title-duplicate", "h1-missing", "canonical-cross", "broken-links", "noindex-present"} <= by_rule
-    proposed = [r.proposed for r in fixes if r.field in ("Title tag", "Headings") and r.rule != "h1-multiple"]
+    proposed = [r.proposed for r in fixes if r.field in ("title", "h1s") and r.rule != "h1-multiple"]
     assert proposed and not any("broken.example.com" in t or t == "<h1>Firm</h1>" for t in proposed)
 
 
