@@ -65,7 +65,6 @@ BLOCKING_STYLE = r"""(?i)<link[^>]+rel=["']?stylesheet["']?(?![^>]*media=["']?pr
 BLOCKING_SCRIPT = r"""(?i)<script(?![^>]*\b(?:async|defer|type=["']?module)\b)[^>]+src="""
 PHONE = r"(?:\+?1[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}"
 SHINGLE_WORDS, SHINGLE_STEP, SHINGLE_CAP = 5, 2, 400
-HASH_CHARS = 20000
 
 # (label, literals searched in the lower-cased html)
 HTML_LITERALS = [

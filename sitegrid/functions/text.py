@@ -49,7 +49,7 @@ def squashed_word_count(text: Column) -> Column:
 
 def content_hash(text: Column) -> Column:
     plain = F.regexp_replace(F.lower(text), "[^a-z0-9 ]+", "")
-    return F.sha1(F.substring(plain, 1, V.HASH_CHARS))
+    return F.sha1(plain)
 
 
 def alnum_tokens(text: Column) -> Column:

@@ -70,10 +70,11 @@ def field_rating(readings: DataFrame, thresholds: DataFrame | None = None) -> Da
         (F.col("p75") <= F.col("good")).alias("good"), _rating(F.col("p75"), F.col("good"), F.col("fair")).alias("rating"))
 
 
-def lab_series(lab_runs: DataFrame, keep: int = 400) -> DataFrame:
-    """Runs per URL with the latest ``keep`` points in time order."""
+def lab_series(lab_runs: DataFrame, keep: int | None = None) -> DataFrame:
+    """Runs per URL with their points in time order; the latest ``keep`` if given."""
     from .ranking import top_per_key
     counts = lab_runs.groupBy("url").agg(F.count("*").alias("runs"))
-    last = top_per_key(lab_runs, ["url"], [F.desc("at")], keep).groupBy("url").agg(F.array_sort(F.collect_list(
+    latest = lab_runs if keep is None else top_per_key(lab_runs, ["url"], [F.desc("at")], keep)
+    last = latest.groupBy("url").agg(F.array_sort(F.collect_list(
         F.struct("at", "performance", "lcp", "cls", "tbt"))).alias("points"))
     return counts.join(last, "url")

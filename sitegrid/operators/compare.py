@@ -50,11 +50,12 @@ def site_types(pages: DataFrame) -> DataFrame:
         F.count("*").alias("n"))
 
 
-def site_sections(pages: DataFrame, k: int = 12) -> DataFrame:
+def site_sections(pages: DataFrame, k: int | None = None) -> DataFrame:
+    """Pages per top folder; all of them, or the ``k`` largest for a report."""
     seg = U.section(F.col("url"))
     per = _live(pages).select(*KEY, seg.alias("name")).filter(F.col("name") != "/").groupBy(*KEY, "name").agg(
         F.count("*").alias("n"))
-    return top_per_key(per, KEY, [F.desc("n"), F.col("name")], k).drop("rank")
+    return per if k is None else top_per_key(per, KEY, [F.desc("n"), F.col("name")], k).drop("rank")
 
 
 def site_platforms(pages: DataFrame) -> DataFrame:

@@ -124,12 +124,13 @@ def cluster_keywords(keywords: DataFrame) -> DataFrame:
     return summarise_clusters(cluster_members(keywords))
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node name reachable over undirected edges (columns a, b).
-    Label propagation with pointer jumping, checkpointed every round."""
+    Label propagation with pointer jumping, checkpointed every round, until no label
+    moves."""
     both = cut_lineage(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     label = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")))
-    for _ in range(rounds):
+    while True:
         near = both.join(label.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(
             F.min("label").alias("seen"))
         step = label.join(near, "a").select("a", "label", F.least("label", "seen").alias("new"))
@@ -139,8 +140,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         moved = not nxt.filter(F.col("new") < F.col("label")).isEmpty()
         label = nxt.select("a", F.col("new").alias("label"))
         if not moved:
-            break
-    return label
+            return label
 
 
 def cluster_keywords_graph(keywords: DataFrame, longest: int = 10) -> DataFrame:

@@ -73,21 +73,26 @@ def header_disclosure(pages: DataFrame) -> DataFrame:
         F.col("h.value").rlike(r"\d+\.\d+").alias("versioned"))
 
 
+def html_pages(pages: DataFrame) -> DataFrame:
+    """What the site-wide views judge: pages served with success as HTML."""
+    return pages.filter((F.col("status") == 200) & F.col("content_type").rlike("(?i)html"))
+
+
 def cookie_issues(pages: DataFrame) -> DataFrame:
-    """Missing cookie flags, one row per cookie name and site. Several cookies in
-    one header arrive separated by newlines."""
-    raw = pages.select(*KEY, "url", F.explode(F.split(_h("set-cookie"), "\n")).alias("c"))
+    """Missing cookie flags, one row per cookie name and site: whatever a flag lacks on
+    any page. Several cookies in one header arrive separated by newlines."""
+    raw = html_pages(pages).select(*KEY, "url", F.explode(F.split(_h("set-cookie"), "\n")).alias("c"))
     flags = F.array_compact(F.array(*[F.when(~F.col("c").rlike(rf"(?i);\s*{f}"), f)
                                       for f in ("Secure", "HttpOnly", "SameSite")]))
     rows = raw.select(*KEY, "url", F.trim(F.substring_index("c", "=", 1)).alias("name"), flags.alias("missing"))
     return rows.filter(F.size("missing") > 0).groupBy(*KEY, "name").agg(
-        F.max_by("missing", "url").alias("missing"))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("missing")))).alias("missing"))
 
 
 def security_rollup(graded: DataFrame) -> DataFrame:
     """Mean score, worst page and its grade, and whether all pages agree."""
     worst = F.struct("score", "url")
-    return graded.groupBy(*KEY).agg(
+    return html_pages(graded).groupBy(*KEY).agg(
         F.count("*").alias("pages"), X.half_up(F.avg("score")).alias("score"),
         F.min_by("grade", worst).alias("grade"), F.min_by("url", worst).alias("worst_url"),
         (F.min("score") == F.max("score")).alias("consistent"))
@@ -95,6 +100,7 @@ def security_rollup(graded: DataFrame) -> DataFrame:
 
 def failing_checks(graded: DataFrame) -> DataFrame:
     """Per check: pages that fail or warn, heaviest checks first when ordered."""
+    graded = html_pages(graded)
     rows = graded.select(*KEY, "url", F.explode("checks").alias("c")).filter(
         F.col("c.level").isin("fail", "warn"))
     per = rows.groupBy(*KEY, F.col("c.id").alias("check"), F.col("c.weight").alias("weight")).agg(

@@ -79,7 +79,7 @@ def suggest_assignee(findings: DataFrame, people: DataFrame) -> DataFrame:
 
 def slug(text: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), "['’]", ""), "&", "and")
-    return F.left(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]+", "-"), "^-|-$", ""), F.lit(60))
+    return F.regexp_replace(F.regexp_replace(s, "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
 def cluster_template(label: Column, intent: Column) -> Column:
@@ -100,7 +100,7 @@ def cluster_url_plan(clusters: DataFrame, origin: str = "https://example.com") -
                     F.when(F.lit(False), "")).otherwise("")
     c = clusters.withColumn("template", cluster_template(F.col("label"), F.col("intent"))).withColumns({
         "base": base, "schema": schema,
-        "n": F.greatest(F.lit(1), F.least(F.coalesce("pages", F.lit(1)), F.lit(40))).cast("int")})
+        "n": F.greatest(F.lit(1), F.coalesce("pages", F.lit(1))).cast("int")})
     prefix = F.concat(F.lit(origin), F.when(F.col("base") == "", F.lit("")).otherwise(
         F.concat(F.lit("/"), F.col("base"))), F.lit("/"), slug(F.col("label")), F.lit("/"))
     depth = F.when(F.col("base") == "", 1).otherwise(2)

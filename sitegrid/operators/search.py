@@ -153,15 +153,18 @@ def period_deltas(before: DataFrame, after: DataFrame, dim: str, by: list[str] =
     return out.withColumn("delta", F.col("clicks_after") - F.col("clicks_before"))
 
 
-def cluster_by_landing_page(perf: DataFrame, by: list[str] = (), least: int = 10, k: int = 40) -> DataFrame:
-    """Queries grouped by the page they land on: totals, primary query and the
-    top ``k`` queries."""
+def cluster_by_landing_page(perf: DataFrame, by: list[str] = (), least: int = 10, k: int | None = None) -> DataFrame:
+    """Queries grouped by the page they land on: totals, primary query and its
+    queries in order; the top ``k`` if given. A page has no more queries than people ask."""
     rows = perf.filter(F.col("impressions") >= least)
     keys = [*by, "page"]
     totals = rows.groupBy(*keys).agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"),
                                      F.count("*").alias("query_count"))
-    top = top_per_key(rows, keys, [F.desc("impressions"), F.col("query")], k).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("rank", "query", "clicks", "impressions", "position"))).alias("queries"))
+    listed = rows if k is None else top_per_key(rows, keys, [F.desc("impressions"), F.col("query")], k).drop("rank")
+    top = listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        (-F.col("impressions")).alias("order"), "query", "clicks", "impressions", "position"))).alias("q")).select(
+        *keys, F.transform("q", lambda x, i: F.struct(
+            (i + 1).alias("rank"), *[x[c].alias(c) for c in ("query", "clicks", "impressions", "position")])).alias("queries"))
     return totals.join(top, keys).withColumn("primary_query", F.col("queries")[0]["query"])
 
 

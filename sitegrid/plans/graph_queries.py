@@ -328,7 +328,7 @@ def render_gap(spark, sf):
 # --- duplicates over documents ---------------------------------------------------------------------
 
 _DOCS = r"""dd AS (SELECT doc_id, 'doc' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS url, lang AS site, text, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '') AS w,
-  sha1(substr(regexp_replace(lower(trim(regexp_replace(text, '[\s\x{00a0}]+', ' ', 'g'))), '[^a-z0-9 ]+', '', 'g'), 1, 20000)) AS chash FROM documents)"""
+  sha1(regexp_replace(lower(trim(regexp_replace(text, '[\s\x{00a0}]+', ' ', 'g'))), '[^a-z0-9 ]+', '', 'g')) AS chash FROM documents)"""
 
 
 def docs(spark, sf):

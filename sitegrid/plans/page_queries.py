@@ -323,13 +323,16 @@ def header_grades(spark, sf):
     return M.grade_headers(A.pages(spark, sf)).select("url", "score", "grade")
 
 
-@query("failing_checks", f"""WITH {PAGES}, {_LEVELS} SELECT site, "check", CAST(weight AS INTEGER) AS weight, count(*) AS failing, min(url) AS example_url,
+_HTML_LEVELS = _LEVELS.replace("FROM pg)", "FROM pg WHERE is_html)", 1)
+
+
+@query("failing_checks", f"""WITH {PAGES}, {_HTML_LEVELS} SELECT site, "check", CAST(weight AS INTEGER) AS weight, count(*) AS failing, min(url) AS example_url,
   count(*) = max(total) AS all_pages FROM ck JOIN (SELECT site, count(*) AS total FROM lv GROUP BY site) USING (site) WHERE level IN ('fail', 'warn') GROUP BY site, "check", weight""")
 def failing_checks(spark, sf):
     return M.failing_checks(M.grade_headers(A.pages(spark, sf))).drop("run_id")
 
 
-@query("security_rollup", f"""WITH {PAGES}, {_LEVELS} SELECT site, count(*) AS pages, CAST(floor(avg(score) + 0.5) AS BIGINT) AS score,
+@query("security_rollup", f"""WITH {PAGES}, {_HTML_LEVELS} SELECT site, count(*) AS pages, CAST(floor(avg(score) + 0.5) AS BIGINT) AS score,
   arg_min(grade, (score, url)) AS grade, arg_min(url, (score, url)) AS worst_url, min(score) = max(score) AS consistent FROM gd GROUP BY site""")
 def security_rollup(spark, sf):
     return M.security_rollup(M.grade_headers(A.pages(spark, sf))).drop("run_id")
@@ -340,7 +343,7 @@ def header_disclosure(spark, sf):
     return M.header_disclosure(A.pages(spark, sf)).select("url", "header", "value", "versioned")
 
 
-@query("cookie_issues", f"WITH {PAGES} SELECT site, 'sid' AS name, 'HttpOnly,SameSite' AS missing FROM pg WHERE i % 4 = 0 GROUP BY site")
+@query("cookie_issues", f"WITH {PAGES} SELECT site, 'sid' AS name, 'HttpOnly,SameSite' AS missing FROM pg WHERE i % 4 = 0 AND is_html GROUP BY site")
 def cookie_issues(spark, sf):
     return M.cookie_issues(A.pages(spark, sf)).select("site", "name", F.array_join("missing", ",").alias("missing"))
 
@@ -416,7 +419,7 @@ def truncation_warning(spark, sf):
 
 
 @query("site_sections", f"""WITH {PAGES}, s AS (SELECT site, regexp_extract(path, '^/*([^/]*)', 1) AS name, count(*) AS n FROM pg WHERE is_html GROUP BY ALL)
-  SELECT site, name, n FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY n DESC, name) AS r FROM s WHERE name <> '') WHERE r <= 12""")
+  SELECT site, name, n FROM s WHERE name <> ''""")
 def site_sections(spark, sf):
     return K.site_sections(A.pages(spark, sf)).drop("run_id")
 

@@ -138,10 +138,10 @@ def suggest_assignee(spark, sf):
 _TPL = "CASE " + " ".join(
     f"WHEN regexp_matches(lower(label || ' ' || intent), {rx(p)})" + (f" OR intent = '{i}'" if i else "") + f" THEN '{t}'"
     for t, p, i in V.CLUSTER_TEMPLATES) + " ELSE 'article' END"
-_SLUG = "left(regexp_replace(regexp_replace(replace(lower(trim(label)), '&', 'and'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 60)"
+_SLUG = "regexp_replace(regexp_replace(replace(lower(trim(label)), '&', 'and'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
 
 
-@query("cluster_url_plan", f"""WITH {CLUSTERS}, c AS (SELECT label, {_TPL} AS template, greatest(1, least(pages, 40)) AS n, {_SLUG} AS slug FROM dc),
+@query("cluster_url_plan", f"""WITH {CLUSTERS}, c AS (SELECT label, {_TPL} AS template, greatest(1, pages) AS n, {_SLUG} AS slug FROM dc),
   b AS (SELECT *, CASE template WHEN 'location' THEN 'locations' WHEN 'article' THEN 'guides' ELSE '' END AS base FROM c),
   r AS (SELECT *, 'https://example.com' || CASE WHEN base = '' THEN '' ELSE '/' || base END || '/' || slug || '/' AS root FROM b)
   SELECT CASE WHEN i = 0 THEN root ELSE root || 'subtopic-' || i || '/' END AS url, template, CASE WHEN i > 0 THEN 'spoke' WHEN n > 1 THEN 'pillar' ELSE 'standalone' END AS role,
@@ -242,7 +242,7 @@ def field_rating(spark, sf):
     return R.field_rating(c).select("k", "good", "rating")
 
 
-@query("lab_series", "SELECT 'u' || (o_custkey % 100) AS url, count(*) AS runs, least(400, count(*)) AS points FROM orders GROUP BY ALL")
+@query("lab_series", "SELECT 'u' || (o_custkey % 100) AS url, count(*) AS runs, count(*) AS points FROM orders GROUP BY ALL")
 def lab_series(spark, sf):
     o = A.table(spark, sf, "orders").select(
         F.concat(F.lit("u"), (F.col("o_custkey") % 100).cast("string")).alias("url"), F.col("o_orderdate").alias("at"),

@@ -113,10 +113,11 @@ def period_deltas(spark, sf):
 
 
 @query("landing_clusters", f"""WITH {PERF}, r AS (SELECT * FROM perf WHERE impressions >= 10) SELECT page, CAST(sum(clicks) AS BIGINT) AS clicks, CAST(sum(impressions) AS BIGINT) AS impressions,
-  count(*) AS query_count, arg_min(query, (-impressions, query)) AS primary_query, least(40, count(*)) AS listed FROM r GROUP BY page""")
+  count(*) AS query_count, arg_min(query, (-impressions, query)) AS primary_query, count(*) AS listed, string_agg(query, ',' ORDER BY impressions DESC, query) AS names FROM r GROUP BY page""")
 def landing_clusters(spark, sf):
     c = H.cluster_by_landing_page(A.search_perf(spark, sf))
-    return c.select("page", "clicks", "impressions", "query_count", "primary_query", F.size("queries").cast("bigint").alias("listed"))
+    return c.select("page", "clicks", "impressions", "query_count", "primary_query", F.size("queries").cast("bigint").alias("listed"),
+                    F.array_join(F.transform("queries", lambda q: q["query"]), ",").alias("names"))
 
 
 @query("trend_read", f"""WITH {DAILY}, p AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY date) AS rn, count(*) OVER (PARTITION BY site) AS n FROM daily),

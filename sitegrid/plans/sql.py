@@ -62,7 +62,7 @@ p0 AS (SELECT page_id AS i, url, html, {SITE} AS site, {HOST} AS host, {PATH} AS
   CASE WHEN page_id % 41 <> 0 THEN {text_of("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} END AS h1,
   CASE WHEN page_id % 41 <> 0 THEN {text_of("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} END AS body
   FROM pages),
-pg AS (SELECT *, {words_of('body')} AS words, sha1(substr(regexp_replace(lower(body), '[^a-z0-9 ]+', '', 'g'), 1, 20000)) AS chash,
+pg AS (SELECT *, {words_of('body')} AS words, sha1(regexp_replace(lower(body), '[^a-z0-9 ]+', '', 'g')) AS chash,
   {px('title')} AS px, status = 200 AND html_type AS is_html,
   status = 200 AND html_type AND NOT noindex AND robots_allowed AS idx,
   {long_words("regexp_extract(title, '^([^|–—-]*)', 1)")} AS tw, {long_words('h1')} AS hw,

@@ -17,7 +17,7 @@ _SQ = squash("text")
 
 
 @query("text_measures", f"""WITH t AS (SELECT doc_id, {_SQ} AS s FROM documents) SELECT doc_id, {words_of('s')} AS words, {px('s')} AS px,
-  sha1(substr(regexp_replace(lower(s), '[^a-z0-9 ]+', '', 'g'), 1, 20000)) AS hash FROM t""")
+  sha1(regexp_replace(lower(s), '[^a-z0-9 ]+', '', 'g')) AS hash FROM t""")
 def text_measures(spark, sf):
     s = X.squash(F.col("text"))
     return A.table(spark, sf, "documents").select(

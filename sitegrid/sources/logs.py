@@ -125,19 +125,23 @@ def parse_log_lines(lines: DataFrame, formats: DataFrame | str, tz: str = "ignor
     """Every content line with its parsed hit (NULL when malformed).
 
     ``formats`` is one format for all files or the table of ``detect_log_format``
-    (one row per file). IIS headers are read per file and joined back; a file
-    has one header.
+    (one row per file). An IIS line is read under the nearest ``#Fields:`` line before
+    it, by block and place; a file has a new one at each restart of the server.
     """
+    needs_header = not isinstance(formats, str) or formats == "iis"
+    if needs_header and "i" not in lines.columns:
+        lines = lines.withColumn("i", F.monotonically_increasing_id())
     if isinstance(formats, str):
         tagged = lines.withColumn("format", F.lit(formats))
     else:
         tagged = lines.join(formats, "file")
-    header = lines.filter(F.col("line").rlike("(?i)^#Fields:")).groupBy("file").agg(
-        F.min_by("line", "at_block").alias("h")).select("file", F.split(F.trim(
-            F.regexp_replace("h", "(?i)^#Fields:", "")), r"\s+").alias("fields"))
-    needs_header = not isinstance(formats, str) or formats == "iis"
     if needs_header:
-        tagged = tagged.join(header, "file", "left")
+        names = F.split(F.trim(F.regexp_replace("line", "(?i)^#Fields:", "")), r"\s+")
+        header = lines.filter(F.col("line").rlike("(?i)^#Fields:")).groupBy("file").agg(F.array_sort(F.collect_list(
+            F.struct("at_block", "i", names.alias("fields")))).alias("headers"))
+        above = F.filter("headers", lambda h: (h["at_block"] < F.col("at_block")) | (
+            (h["at_block"] == F.col("at_block")) & (h["i"] < F.col("i"))))
+        tagged = tagged.join(header, "file", "left").withColumn("fields", F.element_at(above, -1)["fields"])
     else:
         tagged = tagged.withColumn("fields", F.array().cast("array<string>"))
     line = F.col("line")

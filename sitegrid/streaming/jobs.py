@@ -46,7 +46,8 @@ ALERT_SCHEMA = "site string, run_id string, change string, rule string, severity
 class RunDiff(StatefulProcessor):
     """Keeps a site's last two runs and emits what got worse in the newer one.
 
-    One finding per rule bounds the state of a site. Rows of one run may arrive
+    One finding per rule bounds the state of a site. A run older than the current one
+    is dropped. Rows of one run may arrive
     in several micro-batches.
     """
 
@@ -56,7 +57,7 @@ class RunDiff(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.earlier = handle.getMapState("earlier", "rule string", "severity string")
         self.current = handle.getMapState("current", "rule string", "severity string")
-        self.run = handle.getValueState("run", "run_id string, baseline boolean")
+        self.run = handle.getValueState("run", "run_id string, run_at timestamp, baseline boolean")
 
     def _turn_over(self) -> None:
         old = {k[0]: v[0] for k, v in self.current.iterator()}
@@ -68,12 +69,14 @@ class RunDiff(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         frame = pd.concat(list(rows), ignore_index=True)
         out = []
-        for (_, run_id), run in frame.groupby(["run_at", "run_id"], sort=True):
+        for (run_at, run_id), run in frame.groupby(["run_at", "run_id"], sort=True):
             seen = self.run.get() if self.run.exists() else None
-            baseline = seen is None or (seen[0] == run_id and seen[1])
+            if seen is not None and seen[0] != run_id and run_at < pd.Timestamp(seen[1]):
+                continue  # a late older run never becomes the current one
+            baseline = seen is None or (seen[0] == run_id and seen[2])
             if seen is not None and seen[0] != run_id:
                 self._turn_over()
-            self.run.update((run_id, baseline))
+            self.run.update((run_id, run_at, baseline))
             for rule, severity in zip(run["rule"], run["severity"]):
                 self.current.updateValue((rule,), (severity,))
                 if baseline or severity not in self.alert_on:

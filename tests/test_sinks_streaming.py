@@ -1,3 +1,4 @@
+import os
 import csv
 import datetime as dt
 import glob
@@ -76,6 +77,7 @@ def test_stream_waste_drops_late_rows(spark, tmp_path):
     batches = [[log(1, 5), log(1, 10, 404), "broken"], [log(9, 0)], [log(9, 10)], [log(1, 20), log(9, 30)], [log(20, 0)]]
     for i, b in enumerate(batches):
         (src / f"{i}.log").write_text("\n".join(b))
+        os.utime(src / f"{i}.log", (1000 + i, 1000 + i))  # files are read in order of their time
     lines = jobs.stream_log_lines(spark, str(src), files_per_batch=1)
     q = (jobs.stream_crawl_waste(lines, "1 hour", watermark="1 hour").writeStream.outputMode("append").format("memory")
          .queryName("waste").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
