@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import text as X
+from ..session import spread
 from .ranking import top_per_key
 
 _WORD = r"[a-z][a-z'-]+"
@@ -24,39 +28,59 @@ def _word_set(text: Column) -> Column:
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, i, n, sentence. The text is laid out by document once; every later
-    grouping and join has the document in its key and needs no further shuffle."""
-    s = docs.select(key, text).repartition(key).select(key, X.split_sentences(F.col(text)).alias("s"))
+    """key, i, n, sentence; each row is split where it is."""
+    s = spread(docs.select(key, text)).select(key, X.split_sentences(F.col(text)).alias("s"))
     return s.select(key, F.size("s").alias("n"), F.posexplode("s").alias("i", "sentence"))
 
 
-def _tokens(sents: DataFrame, key: str) -> DataFrame:
-    words = F.regexp_extract_all(F.lower("sentence"), F.lit(_WORD), F.lit(0))
-    return sents.select(key, "i", F.explode(words).alias("word")).filter(
-        (F.length("word") > 2) & ~F.col("word").isin(_stop()))
+def _informative(sentence: Column) -> Column:
+    words = F.regexp_extract_all(F.lower(sentence), F.lit(_WORD), F.lit(0))
+    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(_stop()))
 
 
 def term_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = 12) -> DataFrame:
-    """Counts of informative words per document; top ``k`` or, with None, all."""
-    tf = _tokens(sentences(docs, key, text), key).groupBy(key, "word").agg(F.count("*").alias("n"))
+    """Counts of informative words per document; top ``k`` or, with None, all. Only
+    counts are shuffled."""
+    words = sentences(docs, key, text).select(key, F.explode(_informative(F.col("sentence"))).alias("word"))
+    tf = words.groupBy(key, "word").agg(F.count("*").alias("n"))
     return tf if k is None else top_per_key(tf, [key], [F.desc("n"), F.col("word")], k)
 
 
+def _weights(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Per sentence: sum of its words' counts in the document, words, largest count."""
+    for batch in documents:
+        out = []
+        for tokens in batch:
+            count = Counter(w for ws in tokens for w in ws)
+            out.append([{"mass": sum(f), "words": len(f), "most": max(f, default=0)} for f in ([count[w] for w in ws] for ws in tokens)])
+        yield pd.Series(out)
+
+
+def _scored_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, n, scored: every sentence of a document with its score, in order. A
+    document is a row from beginning to end, so a table with as many splits as cores is
+    not shuffled."""
+    weights = F.pandas_udf(_weights, "array<struct<mass:long,words:int,most:int>>")
+    split = spread(docs.select(key, text)).select(key, X.split_sentences(F.col(text)).alias("s")).filter(F.size("s") > 0)
+    weighed = split.withColumn("w", weights(F.transform("s", _informative))).withColumn(
+        "peak", F.array_max(F.transform("w", lambda w: w["most"])))
+    n = F.size("s")
+
+    def score(sentence: Column, i: Column) -> Column:
+        w = F.get("w", i)
+        place = (F.when(i == 0, 1.35).when(i == 1, 1.15).when(i < n * 0.3, 1.05).otherwise(1.0))
+        size = F.when(F.length(sentence) > 260, 0.8).when(F.length(sentence) < 60, 0.85).otherwise(1.0)
+        share = F.when(w["words"] > 0, w["mass"] / w["words"] / F.col("peak")).otherwise(F.lit(0.0))
+        return share * place * size
+
+    return weighed.select(key, n.alias("n"), F.transform("s", lambda x, i: F.struct(
+        i.alias("i"), x.alias("sentence"), score(x, i).alias("score"))).alias("scored"))
+
+
 def score_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Mean relative term frequency, times position and length factors."""
-    sents = sentences(docs, key, text)
-    counted = _tokens(sents, key).groupBy(key, "word", "i").agg(F.count("*").alias("c"))
-    whole = W.partitionBy(key, "word")
-    freq = counted.withColumn("f", F.sum("c").over(whole))
-    tf = freq.groupBy(key, "i").agg(F.sum(F.col("c") * F.col("f")).alias("mass"), F.sum("c").alias("m"),
-                                    F.max("f").alias("most"))
-    tf = tf.withColumn("peak", F.max("most").over(W.partitionBy(key)))
-    j = sents.join(tf, [key, "i"], "left")
-    place = (F.when(F.col("i") == 0, 1.35).when(F.col("i") == 1, 1.15)
-             .when(F.col("i") < F.col("n") * 0.3, 1.05).otherwise(1.0))
-    size = F.when(F.length("sentence") > 260, 0.8).when(F.length("sentence") < 60, 0.85).otherwise(1.0)
-    score = F.coalesce(F.col("mass") / F.col("m") / F.col("peak"), F.lit(0.0)) * place * size
-    return j.select(key, "i", "n", "sentence", score.alias("score"))
+    return _scored_rows(docs, key, text).select(key, "n", F.explode("scored").alias("x")).select(
+        key, "x.i", "n", "x.sentence", "x.score")
 
 
 def summarize(docs: DataFrame, k: int = 3, max_chars: int = 0, key: str = "doc_id",
@@ -64,10 +88,8 @@ def summarize(docs: DataFrame, k: int = 3, max_chars: int = 0, key: str = "doc_i
     """Best ``k`` sentences in their order, skipping one that shares over 70
     percent of the smaller word set with one already chosen, within a character
     budget. Choosing is a fold over one document's scored sentences."""
-    scored = score_sentences(docs, key, text)
-    bag = _word_set(F.col("sentence"))
-    ranked = scored.groupBy(key).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct(
-        (-F.col("score")).alias("o"), "i", "sentence", bag.alias("bag")))).alias("c"))
+    ranked = _scored_rows(docs, key, text).select(key, "n", F.array_sort(F.transform("scored", lambda x: F.struct(
+        (-x["score"]).alias("o"), x["i"].alias("i"), x["sentence"].alias("sentence"), _word_set(x["sentence"]).alias("bag")))).alias("c"))
 
     def overlaps(a: Column, b: Column) -> Column:
         least = F.least(F.size(a), F.size(b))
