@@ -47,12 +47,13 @@ def term_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
 
 
 def _weights(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Per sentence: sum of its words' counts in the document, words, largest count."""
+    """Per sentence: sum of its words' counts in the document, words, largest count of any word."""
     for batch in documents:
         out = []
         for tokens in batch:
             count = Counter(w for ws in tokens for w in ws)
-            out.append([{"mass": sum(f), "words": len(f), "most": max(f, default=0)} for f in ([count[w] for w in ws] for ws in tokens)])
+            peak = max(count.values(), default=0)
+            out.append([{"mass": sum(count[w] for w in ws), "words": len(ws), "peak": peak} for ws in tokens])
         yield pd.Series(out)
 
 
@@ -60,17 +61,16 @@ def _scored_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, n, scored: every sentence of a document with its score, in order. A
     document is a row from beginning to end, so a table with as many splits as cores is
     not shuffled."""
-    weights = F.pandas_udf(_weights, "array<struct<mass:long,words:int,most:int>>")
-    split = spread(docs.select(key, text)).select(key, X.split_sentences(F.col(text)).alias("s")).filter(F.size("s") > 0)
-    weighed = split.withColumn("w", weights(F.transform("s", _informative))).withColumn(
-        "peak", F.array_max(F.transform("w", lambda w: w["most"])))
+    weights = F.pandas_udf(_weights, "array<struct<mass:long,words:int,peak:int>>")
+    split = spread(docs.select(key, text)).select(key, X.split_sentences(F.col(text)).alias("s"))
+    weighed = split.withColumn("w", weights(F.transform("s", _informative)))
     n = F.size("s")
 
     def score(sentence: Column, i: Column) -> Column:
         w = F.get("w", i)
         place = (F.when(i == 0, 1.35).when(i == 1, 1.15).when(i < n * 0.3, 1.05).otherwise(1.0))
         size = F.when(F.length(sentence) > 260, 0.8).when(F.length(sentence) < 60, 0.85).otherwise(1.0)
-        share = F.when(w["words"] > 0, w["mass"] / w["words"] / F.col("peak")).otherwise(F.lit(0.0))
+        share = F.when(w["words"] > 0, w["mass"] / w["words"] / w["peak"]).otherwise(F.lit(0.0))
         return share * place * size
 
     return weighed.select(key, n.alias("n"), F.transform("s", lambda x, i: F.struct(
@@ -79,7 +79,8 @@ def _scored_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def score_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Mean relative term frequency, times position and length factors."""
-    return _scored_rows(docs, key, text).select(key, "n", F.explode("scored").alias("x")).select(
+    # outer: else a filter on the array's size is inferred and the array computed twice
+    return _scored_rows(docs, key, text).select(key, "n", F.explode_outer("scored").alias("x")).filter("x is not null").select(
         key, "x.i", "n", "x.sentence", "x.score")
 
 
@@ -88,7 +89,7 @@ def summarize(docs: DataFrame, k: int = 3, max_chars: int = 0, key: str = "doc_i
     """Best ``k`` sentences in their order, skipping one that shares over 70
     percent of the smaller word set with one already chosen, within a character
     budget. Choosing is a fold over one document's scored sentences."""
-    ranked = _scored_rows(docs, key, text).select(key, "n", F.array_sort(F.transform("scored", lambda x: F.struct(
+    ranked = _scored_rows(docs, key, text).filter("n > 0").select(key, "n", F.array_sort(F.transform("scored", lambda x: F.struct(
         (-x["score"]).alias("o"), x["i"].alias("i"), x["sentence"].alias("sentence"), _word_set(x["sentence"]).alias("bag")))).alias("c"))
 
     def overlaps(a: Column, b: Column) -> Column:
