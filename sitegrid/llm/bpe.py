@@ -71,12 +71,13 @@ class _Block:
         words = all_.dictionary
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in words.to_pylist()), np.int64, len(words))
         order = pc.sort_indices(pa.table({"b": bucket, "w": words}), [("b", "ascending"), ("w", "ascending")]).to_numpy()
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), np.int32)  # a block has far fewer words than 2^31
+        place[order] = np.arange(len(order), dtype=np.int32)
         at = np.cumsum([0] + [len(w) for w in self.words])
         first = place[all_.indices.to_numpy(zero_copy_only=False)] if len(words) else place
-        uses = [first[a + u] for a, u in zip(at, self.uses, strict=False)]
-        return words.take(pa.array(order)), bucket[order], np.concatenate(uses) if uses else np.zeros(0, np.int64)
+        uses = np.concatenate([first[a:][u] for a, u in zip(at, self.uses, strict=False)] or [place[:0]])
+        self.words, self.uses = [], []
+        return words.take(pa.array(order)), bucket[order], uses
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, _Block]]:
@@ -95,7 +96,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[i
         for k in np.unique(blocks):
             mine = pa.array(np.nonzero(blocks == k)[0])
             out.setdefault(int(k), _Block()).add(tokens.take(mine) if len(mine) < len(blocks) else tokens, b.column("doc_id").take(mine))
-    yield from out.items()
+        del b, tokens
+    while out:
+        yield out.popitem()
 
 
 def _scanned(docs: DataFrame, doc_id: str, text: str, pattern: str) -> DataFrame:
@@ -174,8 +177,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
             words, _, uses = block.close(n)
             # frequent words get small numbers
             often = np.argsort(-np.bincount(uses, minlength=len(words)), kind="stable")
-            number = np.empty(len(often), np.int64)
-            number[often] = np.arange(len(often))
+            number = np.empty(len(often), np.int32)
+            number[often] = np.arange(len(often), dtype=np.int32)
             uses, sizes = number[uses], np.concatenate(block.sizes) if block.sizes else np.zeros(0, np.int64)
             ids = pa.chunked_array(block.ids).combine_chunks()
             known = np.asarray(ids.is_valid())

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,6 +19,9 @@ SHINGLE, LEAST, BANDS, ROWS = 8, 0.8, 10, 4
 _BINS = BANDS * ROWS
 _CHUNK = 1 << 19
 _EMPTY = np.uint64(1 << 32)
+#: Where empty bins look for a full one: random bins, so that the bins of a band borrow
+#: independently (neighbours would all take one value); at last every bin in turn.
+_BORROW = [*np.random.default_rng(5).integers(0, _BINS, (64, _BINS)), *((np.arange(_BINS) + d) % _BINS for d in range(1, _BINS))]
 _P = 0x9E3779B97F4A7C15
 
 
@@ -35,7 +37,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def signatures(text: str) -> tuple[np.ndarray, np.ndarray]:
     """One-permutation MinHash of every line of ``text``: least hash of the shingles of
     each bin (lines, bins), and which lines have a shingle. Long texts are read in
-    chunks; empty bins borrow from the next full one."""
+    chunks; empty bins borrow from full ones."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     n_lines = int((c == 10).sum()) + 1
     out = np.full(n_lines * _BINS, _EMPTY, np.uint64)
@@ -60,12 +62,11 @@ def signatures(text: str) -> tuple[np.ndarray, np.ndarray]:
     todo = np.nonzero(some & ~full.all(axis=1))[0]
     part, known = out[todo], full[todo]
     filled, done = part.copy(), known.copy()
-    for d in range(1, _BINS):
+    for d, other in enumerate(_BORROW, 1):
         if done.all():
             break
-        source, has = np.roll(part, -d, axis=1), np.roll(known, -d, axis=1)
-        take = has & ~done
-        filled[take] = source[take] + np.uint64(d) * np.uint64(0x1000003D)
+        take = known[:, other] & ~done
+        filled[take] = part[:, other][take] + np.uint64(d) * np.uint64(0x1000003D)
         done |= take
     out[todo] = filled
     return out, some
@@ -140,14 +141,14 @@ def dedupe_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
                         .select(F.split("lowered", "\n").alias("s"), F.explode("lines").alias("w"))
                         .select("w.node", F.get("s", F.col("w.line")).alias("s")).dropDuplicates(["node"]), compression="zstd")
 
-    @F.pandas_udf("boolean")
-    def near(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([jaccard(x, y) >= least - 1e-12 for x, y in zip(a, b, strict=True)])
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [jaccard(x, y) >= least - 1e-12 for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-        return both.filter(near("ta", "tb")).select("a", "b")
+        return both.select("a", "b", "ta", "tb").mapInArrow(near, "a long, b long")
 
     roots = link_buckets(members, large=64, verify=verify)
     first = lines.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("k1", "line", "k2")).alias("at"))
