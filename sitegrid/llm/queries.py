@@ -85,7 +85,23 @@ def _digest(spans: Column, kinds: list[str], at: str = "kind") -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s[at]), s["start"], s["end"])), ",")
 
 
-@query("op4_blob_ledger")
+def _secret_sql() -> str:
+    def found(no: int, rule: str) -> str:
+        _, pattern, group, least = secrets.RULES[rule]
+        p = pattern.replace("'", "''")
+        return f"""SELECT doc_id, {no} AS no, '{rule}' AS rule, unnest(range(1, len(f) + 1)) AS i, unnest(gaps) AS gap, unnest(f) AS len, unnest(g) AS size, {least} AS least
+          FROM (SELECT doc_id, list_transform(string_split_regex(t, '{p}'), lambda x: length(x))[:-2] AS gaps, list_transform(regexp_extract_all(t, '{p}'), lambda x: length(x)) AS f,
+            list_transform(regexp_extract_all(t, '{p}', {group}), lambda x: length(x)) AS g FROM d WHERE regexp_matches(t, '{p}'))"""
+    parts = " UNION ALL ".join(found(no, r) for no, r in enumerate(secrets.RULES))
+    counts = ", ".join(f"count(*) FILTER (rule = '{r}') AS n_{r}" for r in secrets.BASE)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({parts}),
+      s AS (SELECT *, sum(gap + len) OVER (PARTITION BY doc_id, no ORDER BY i) AS stop FROM m),
+      k AS (SELECT doc_id, rule, no, CAST(stop - len AS BIGINT) AS a, rule || ':' || CAST(stop - len AS BIGINT) || ':' || CAST(stop AS BIGINT) AS said FROM s WHERE size >= least),
+      g AS (SELECT doc_id, {counts}, string_agg(said, ',' ORDER BY a, no) AS spans, string_agg(said, ',' ORDER BY a, no) FILTER (no < {len(secrets.BASE)}) AS base FROM k GROUP BY doc_id)
+      SELECT doc_id, {", ".join(f"coalesce(n_{r}, 0) AS n_{r}" for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"""
+
+
+@query("op4_blob_ledger", _secret_sql())
 def op4_blob_ledger(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.find(table(spark, folder, "documents", "doc_id", "text"))
     base = F.filter("found", lambda s: s["kind"] < len(secrets.BASE))
