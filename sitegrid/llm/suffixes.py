@@ -22,8 +22,9 @@ _CHUNK = 1 << 20
 _END = 255  # never a byte of UTF-8
 
 
-def suffix_array(t: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Suffixes of the bytes ``t`` in order of at least their first ``depth`` bytes.
+def suffix_array(t: np.ndarray, depth: int = LENGTH, due: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of the bytes ``t`` in order of at least their first ``depth`` bytes; if
+    ``due`` marks places, of these and of what inducing them takes only.
 
     Stage one sorts only the suffixes that are smaller than their successors. Stage
     two scans the buckets of first bytes upwards: the suffix before each placed one,
@@ -38,12 +39,20 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     where = np.where(step != 0, np.arange(n), n)
     turn = np.minimum.accumulate(where[::-1])[::-1]  # an equal run compares as its end does
     small = step[turn] > 0
+    wanted = np.ones(n, bool) if due is None else due.copy()
+    while True:  # a larger suffix is induced from its successor
+        more = wanted[:-1] & ~small[:-1] & ~wanted[1:]
+        if not more.any():
+            break
+        wanted[1:] |= more
     raw = t.tobytes()
-    first = sorted(np.nonzero(small)[0].tolist(), key=lambda p: raw[p:p + depth])
+    first = sorted(np.nonzero(small & wanted)[0].tolist(), key=lambda p: raw[p:p + depth])
     first = np.array(first, np.int64)
     heads = t[first]
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
-    waiting[t[-1]].append(np.array([n - 1]))
+    induced = wanted & ~small
+    if induced[-1]:
+        waiting[t[-1]].append(np.array([n - 1]))
     out = []
     for c in np.unique(t):
         level = np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
@@ -51,12 +60,12 @@ def suffix_array(t: np.ndarray, depth: int = LENGTH) -> np.ndarray:
         while len(level):
             bucket.append(level)
             before = level[level > 0] - 1
-            level = before[(t[before] == c) & ~small[before]]
+            level = before[(t[before] == c) & induced[before]]
         bucket.append(first[np.searchsorted(heads, c, "left"):np.searchsorted(heads, c, "right")])
         done = np.concatenate(bucket)
         out.append(done)
         before = done[done > 0] - 1
-        before = before[(t[before] > c) & ~small[before]]
+        before = before[(t[before] > c) & induced[before]]
         order = np.argsort(t[before], kind="stable")
         before = before[order]
         keys = t[before]
@@ -77,7 +86,7 @@ def repeated_starts(contexts: list[bytes], length: int = LENGTH) -> list[np.ndar
     np.add.at(valid, begin[fits], 1)
     np.add.at(valid, (begin + sizes - length + 1)[fits], -1)
     valid = np.cumsum(valid)[:-1] > 0
-    order = suffix_array(t, length)
+    order = suffix_array(t, length, valid)
     order = order[valid[order]].tolist()
     hit = np.zeros(len(t), bool)
     for a, b in zip(order, order[1:], strict=False):
@@ -180,12 +189,50 @@ def _sorted_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield solve()
 
 
-def _hashed_starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _hashed_starts(buckets: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """bucket, body: the strings of a batch of contexts, one packed row per bucket of
+        their hash: two words of hash, name, ctx and place of each."""
+        for b in batches:
+            if not len(b):
+                continue
+            digest, size = xxhash.xxh3_128_digest, []
+            parts = []
+            for body in b["body"]:
+                body = bytes(body)
+                size.append(len(body) - LENGTH + 1)
+                parts += [digest(body[p:p + LENGTH]) for p in range(size[-1])]
+            d = np.frombuffer(b"".join(parts), "<i8").reshape(-1, 2)
+            size = np.array(size)
+            lo = np.arange(len(d)) - np.repeat(np.cumsum(size) - size, size)
+            rows = np.stack([d[:, 0], d[:, 1], np.repeat(b["name"].to_numpy(np.int64), size), np.repeat(b["ctx"].to_numpy(np.int64), size), lo], axis=1)
+            bucket = (d[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            full, at = np.unique(bucket[order], return_index=True)
+            yield pd.DataFrame({"bucket": full, "body": [x.tobytes() for x in np.split(rows[order], at[1:])]})
+    return run
+
+
+def _equal_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Name, ctx, lo, hi of the strings of each bucket that occur twice."""
+    def solve(held: list[bytes]) -> pd.DataFrame:
+        rows = np.frombuffer(b"".join(held), "<i8").reshape(-1, 5)
+        order = np.lexsort((rows[:, 1], rows[:, 0]))
+        rows = rows[order]
+        same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
+        twice = rows[np.append(same, False) | np.insert(same, 0, False)]
+        return pd.DataFrame({"name": twice[:, 2], "ctx": twice[:, 3], "lo": twice[:, 4].astype(np.int32), "hi": twice[:, 4].astype(np.int32) + 1})
+
+    held, now = [], None
     for b in batches:
-        for name, key, body in zip(b["name"].tolist(), b["ctx"].tolist(), b["body"].tolist(), strict=True):
-            body, n = bytes(body), len(body) - LENGTH + 1
-            d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(body[p:p + LENGTH]) for p in range(n)]), "<i8").reshape(n, 2)
-            yield pd.DataFrame({"name": name, "ctx": key, "lo": np.arange(n, dtype=np.int32), "d1": d[:, 0], "d2": d[:, 1]})
+        for bucket, body in zip(b["bucket"], b["body"], strict=True):
+            if bucket != now and held:
+                yield solve(held)
+                held = []
+            now = bucket
+            held.append(bytes(body))
+    if held:
+        yield solve(held)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -209,10 +256,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     ranges = "name long, ctx long, lo int, hi int"
     sorted_ = (bodies.filter("not crowded").select("name", "ctx", "body").repartition(n, "name").sortWithinPartitions("name")
                .mapInPandas(_sorted_groups, ranges))
-    # names with more contexts than one task should hold: their strings meet by hash
-    strings = bodies.filter("crowded").select("name", "ctx", "body").mapInPandas(_hashed_starts, "name long, ctx long, lo int, d1 long, d2 long")
-    twice = strings.groupBy("d1", "d2").agg(F.count("*").alias("c")).filter("c > 1").select("d1", "d2")
-    crowded = strings.join(twice, ["d1", "d2"], "left_semi").select("name", "ctx", "lo", (F.col("lo") + 1).alias("hi"))
+    # names with more contexts than one task should hold: their strings meet by hash, in
+    # buckets that are several to a task and solved one at a time
+    strings = bodies.filter("crowded").select("name", "ctx", "body").mapInPandas(_hashed_starts(16 * n), "bucket long, body binary")
+    crowded = strings.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_equal_strings, ranges)
     copies = kinds.filter("uses > 1").select("name", "ctx", F.lit(0).alias("lo"), F.col("first.n").alias("hi"))
     found = sorted_.union(crowded).union(copies).groupBy("name", "ctx").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
     placed = again.filter("not alike").join(found, ["name", "ctx"]).select("k1", "k2", "at", F.explode("r").alias("r")).select(

@@ -31,6 +31,8 @@ def test_suffix_order():
         t = r.integers(1, k + 1, n).astype(np.uint8)
         raw = t.tobytes()
         assert suffixes.suffix_array(t).tolist() == sorted(range(n), key=lambda p: raw[p:])
+        due = r.random(n) < 0.2
+        assert [p for p in suffixes.suffix_array(t, due=due).tolist() if due[p]] == sorted(np.nonzero(due)[0].tolist(), key=lambda p: raw[p:])
 
 
 def test_table(spark):
