@@ -248,6 +248,17 @@ def link_hits(pages: DataFrame, links: DataFrame) -> DataFrame:
     ])
 
 
+def broken_links(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """Every URL that answers with an error: its status, how many HTML pages link to it
+    and the first of them, NULL where none does."""
+    broken = pages.filter((F.col("status") >= 400) | (F.col("status") == 0)).select(*KEY, "url", "status")
+    html = pages.filter(is_html()).select(*KEY, F.col("url").alias("from_url"))
+    held = (links.filter(F.col("resolved").isNotNull()).select(*KEY, "from_url", F.col("resolved").alias("url"))
+            .join(broken.select(*KEY, "url").distinct(), [*KEY, "url"], "left_semi").join(html, [*KEY, "from_url"], "left_semi")
+            .distinct().groupBy(*KEY, "url").agg(F.count("*").alias("referrers"), F.min("from_url").alias("first_referrer")))
+    return broken.join(held, [*KEY, "url"], "left").fillna(0, ["referrers"])
+
+
 def canonical_hits(pages: DataFrame) -> DataFrame:
     """Pages whose canonical names another URL, joined once with the page it names."""
     cross = pages.filter(F.col("canonical").isNotNull() & (F.col("canonical") != F.col("url"))).select(

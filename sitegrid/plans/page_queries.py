@@ -206,6 +206,14 @@ def finding_urls(spark, sf):
     return _findings(spark, sf)[1].select("site", "rule", "url")
 
 
+@query("broken_links", f"""WITH {PAGES}, {LINKS}, h AS (SELECT l.resolved AS url, count(DISTINCT l.from_url) AS n, min(l.from_url) AS first FROM pagelinks l
+  JOIN pg f ON f.url = l.from_url AND f.is_html GROUP BY l.resolved)
+  SELECT site, pg.url, CAST(status AS INTEGER) AS status, coalesce(n, 0) AS referrers, first AS first_referrer FROM pg LEFT JOIN h ON h.url = pg.url WHERE status >= 400""")
+def broken_links(spark, sf):
+    p = A.pages(spark, sf)
+    return D.broken_links(p, links_of(p)).drop("run_id")
+
+
 @query("site_stats", f"""WITH {PAGES}, {LINKS} SELECT site, count(*) AS crawled, count(*) FILTER (WHERE is_html) AS html, count(*) FILTER (WHERE idx) AS indexable,
   count(*) FILTER (WHERE is_html AND noindex) AS noindex, count(*) FILTER (WHERE status >= 400) AS errors, count(*) FILTER (WHERE hops > 0) AS redirects,
   max(depth) AS max_depth,
