@@ -94,8 +94,8 @@ def visibility_score(scored: DataFrame, by: list[str] = ("run_id",)) -> DataFram
         n.alias("answered"), F.count("*").alias("attempted"))
 
 
-def share_of_voice(scored: DataFrame, brand: str, by: list[str] = ("run_id",), k: int = 10) -> DataFrame:
-    """Mentions per name over all mentions in the same answers, top ``k``."""
+def share_of_voice(scored: DataFrame, brand: str, by: list[str] = ("run_id",), k: int | None = None) -> DataFrame:
+    """Mentions per name over all mentions in the same answers; the top ``k`` if given."""
     by = list(by)
     names = scored.filter(F.col("error").isNull()).select(*by, F.explode("brands").alias("brand"))
     per = names.groupBy(*by, "brand").agg(F.count("*").alias("mentions"))

@@ -240,7 +240,7 @@ def heading_bigrams(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(X.bind(words, pairs)).alias("topic"))
 
 
-def topic_gap(ours: DataFrame, theirs: DataFrame, least: int = 2, k: int | None = 80) -> DataFrame:
+def topic_gap(ours: DataFrame, theirs: DataFrame, least: int = 2, k: int | None = None) -> DataFrame:
     """Topics they use at least twice and we never do. Both sides need a column
     ``text`` with title and headings."""
     per = heading_bigrams(theirs).groupBy("topic").agg(F.count("*").alias("their_pages")).filter(

@@ -99,8 +99,9 @@ def findings_by_stage(findings: DataFrame) -> DataFrame:
     return per.join(first, KEY, "left")
 
 
-def schema_coverage(pages: DataFrame, k: int = 8) -> DataFrame:
-    """Most used structured-data types with the share of pages carrying any."""
+def schema_coverage(pages: DataFrame, k: int | None = None) -> DataFrame:
+    """Structured-data types by use, the ``k`` most used if given, with the share of
+    pages carrying any."""
     ok = ok_pages(pages)
     cover = ok.groupBy(*KEY).agg(X.percent(F.count_if(F.size("schema_types") > 0), F.count("*")).alias("coverage"))
     types = ok.select(*KEY, F.explode("schema_types").alias("type")).groupBy(*KEY, "type").agg(

@@ -71,9 +71,9 @@ def crawl_by_status(hits: DataFrame, bot: str = "googlebot", by: list[str] = ())
     return bot_hits(hits, bot).groupBy(*by, "status").agg(F.count("*").alias("hits"))
 
 
-def crawl_by_section(hits: DataFrame, bot: str = "googlebot", by: list[str] = (), k: int | None = 12) -> DataFrame:
+def crawl_by_section(hits: DataFrame, bot: str = "googlebot", by: list[str] = (), k: int | None = None) -> DataFrame:
     per = bot_hits(hits, bot).groupBy(*by, U.section(F.col("clean")).alias("section")).agg(F.count("*").alias("hits"))
-    return per if k is None else top_per_key(per, list(by), [F.desc("hits"), F.col("section")], k)
+    return top_per_key(per, list(by), [F.desc("hits"), F.col("section")], k)
 
 
 def crawl_budget_sets(hits: DataFrame, bot: str = "googlebot") -> DataFrame:

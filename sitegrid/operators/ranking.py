@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 
-def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
-    """First ``k`` rows of each key. The rank filter is pushed below the shuffle
+def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """First ``k`` rows of each key with their rank; with None all rows, unranked. The rank filter is pushed below the shuffle
     as a group limit, so each task ships at most ``k`` rows of a key."""
+    if k is None:
+        return df
     w = W.partitionBy(*keys).orderBy(*order) if keys else W.partitionBy(F.lit(1)).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
 

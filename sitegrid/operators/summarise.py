@@ -38,12 +38,12 @@ def _informative(sentence: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(_stop()))
 
 
-def term_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = 12) -> DataFrame:
-    """Counts of informative words per document; top ``k`` or, with None, all. Only
+def term_frequency(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = None) -> DataFrame:
+    """Counts of informative words per document; the top ``k`` if given. Only
     counts are shuffled."""
     words = sentences(docs, key, text).select(key, F.explode(_informative(F.col("sentence"))).alias("word"))
     tf = words.groupBy(key, "word").agg(F.count("*").alias("n"))
-    return tf if k is None else top_per_key(tf, [key], [F.desc("n"), F.col("word")], k)
+    return top_per_key(tf, [key], [F.desc("n"), F.col("word")], k)
 
 
 def _weights(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:

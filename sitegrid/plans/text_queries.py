@@ -73,7 +73,7 @@ def term_frequency(spark, sf):
 
 @query("top_terms", f"WITH {_TF} SELECT doc_id, word, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word) AS INTEGER) AS rank FROM fr) WHERE rank <= 12")
 def top_terms(spark, sf):
-    return N.term_frequency(A.table(spark, sf, "documents"))
+    return N.term_frequency(A.table(spark, sf, "documents"), k=12)
 
 
 @query("sentence_scores", f"""WITH {_TF}, pk AS (SELECT doc_id, max(n) AS peak FROM fr GROUP BY doc_id),
