@@ -53,7 +53,8 @@ def grade_headers(pages: DataFrame) -> DataFrame:
     levels = check_levels()
     checks = F.array(*[F.struct(F.lit(i).alias("id"), levels[i].alias("level"), _h(h).alias("value"),
                                 F.lit(w).alias("weight")) for i, h, w in V.HEADER_CHECKS])
-    out = pages.select(*KEY, "url", checks.alias("checks"))
+    served = [c for c in ("status", "content_type") if c in pages.columns]
+    out = pages.select(*KEY, "url", *served, checks.alias("checks"))
 
     def total(value) -> Column:
         return F.aggregate("checks", F.lit(0.0), lambda acc, c: acc + value(c))
@@ -73,8 +74,14 @@ def header_disclosure(pages: DataFrame) -> DataFrame:
         F.col("h.value").rlike(r"\d+\.\d+").alias("versioned"))
 
 
+_FLAGS = ["Secure", "HttpOnly", "SameSite"]
+
+
 def html_pages(pages: DataFrame) -> DataFrame:
-    """What the site-wide views judge: pages served with success as HTML."""
+    """What the site-wide views judge: pages served with success as HTML. A table
+    without these columns has been chosen already."""
+    if not {"status", "content_type"} <= set(pages.columns):
+        return pages
     return pages.filter((F.col("status") == 200) & F.col("content_type").rlike("(?i)html"))
 
 
@@ -82,11 +89,11 @@ def cookie_issues(pages: DataFrame) -> DataFrame:
     """Missing cookie flags, one row per cookie name and site: whatever a flag lacks on
     any page. Several cookies in one header arrive separated by newlines."""
     raw = html_pages(pages).select(*KEY, "url", F.explode(F.split(_h("set-cookie"), "\n")).alias("c"))
-    flags = F.array_compact(F.array(*[F.when(~F.col("c").rlike(rf"(?i);\s*{f}"), f)
-                                      for f in ("Secure", "HttpOnly", "SameSite")]))
+    flags = F.array_compact(F.array(*[F.when(~F.col("c").rlike(rf"(?i);\s*{f}"), f) for f in _FLAGS]))
     rows = raw.select(*KEY, "url", F.trim(F.substring_index("c", "=", 1)).alias("name"), flags.alias("missing"))
     return rows.filter(F.size("missing") > 0).groupBy(*KEY, "name").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("missing")))).alias("missing"))
+        F.flatten(F.collect_set("missing")).alias("any")).select(
+        *KEY, "name", F.filter(F.array(*[F.lit(f) for f in _FLAGS]), lambda f: F.array_contains("any", f)).alias("missing"))
 
 
 def security_rollup(graded: DataFrame) -> DataFrame:

@@ -39,5 +39,5 @@ def test_header_views_judge_html_pages(spark):
     rows = [("r", "a", "https://a/x", 200, "text/html", {"set-cookie": "sid=1; Secure"}), ("r", "a", "https://a/y", 200, "text/html", {"set-cookie": "sid=1; HttpOnly"}),
             ("r", "a", "https://a/z", 404, "text/html", {"set-cookie": "bad=1"}), ("r", "a", "https://a/p", 200, "application/pdf", {})]
     pages = spark.createDataFrame(rows, "run_id string, site string, url string, status int, content_type string, headers map<string,string>")
-    assert [(r.name, r.missing) for r in headers.cookie_issues(pages).collect()] == [("sid", ["HttpOnly", "SameSite", "Secure"])]
+    assert [(r.name, r.missing) for r in headers.cookie_issues(pages).collect()] == [("sid", ["Secure", "HttpOnly", "SameSite"])]
     assert headers.security_rollup(headers.grade_headers(pages)).first().pages == 2
