@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -80,9 +81,19 @@ def _bands(minima: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _shingles(s: str) -> frozenset[str]:
+    return frozenset([s[i:i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))])
+
+
+@lru_cache(maxsize=256)
+def _recent(s: str) -> frozenset[str]:
+    """Pairs arrive sorted by one side, so a line's set serves many of them."""
+    return _shingles(s)
+
+
 def jaccard(a: str, b: str) -> float:
     """Exact similarity of two lines: sets of shingles, or equality for short lines."""
-    x, y = ({s[i:i + SHINGLE] for i in range(max(1, len(s) - SHINGLE + 1))} for s in (a, b))
+    x, y = (_recent(s) if len(s) < 4096 else _shingles(s) for s in (a, b))
     both = len(x & y)
     return both / (len(x) + len(y) - both)
 
