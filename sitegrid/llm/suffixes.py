@@ -206,33 +206,50 @@ def _hashed_starts(buckets: int):
             size = np.array(size)
             lo = np.arange(len(d)) - np.repeat(np.cumsum(size) - size, size)
             rows = np.stack([d[:, 0], d[:, 1], np.repeat(b["name"].to_numpy(np.int64), size), np.repeat(b["ctx"].to_numpy(np.int64), size), lo], axis=1)
-            bucket = (d[:, 0].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            full, at = np.unique(bucket[order], return_index=True)
-            yield pd.DataFrame({"bucket": full, "body": [x.tobytes() for x in np.split(rows[order], at[1:])]})
+            yield _packed(rows, (np.ascontiguousarray(d[:, 0]).view(np.uint64) % np.uint64(buckets)).astype(np.int64))
     return run
 
 
-def _equal_strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Name, ctx, lo, hi of the strings of each bucket that occur twice."""
-    def solve(held: list[bytes]) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(held), "<i8").reshape(-1, 5)
-        order = np.lexsort((rows[:, 1], rows[:, 0]))
-        rows = rows[order]
-        same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
-        twice = rows[np.append(same, False) | np.insert(same, 0, False)]
-        return pd.DataFrame({"name": twice[:, 2], "ctx": twice[:, 3], "lo": twice[:, 4].astype(np.int32), "hi": twice[:, 4].astype(np.int32) + 1})
+def _packed(rows: np.ndarray, bucket: np.ndarray) -> pd.DataFrame:
+    """Rows of numbers as one binary row per bucket."""
+    order = np.argsort(bucket, kind="stable")
+    full, at = np.unique(bucket[order], return_index=True)
+    return pd.DataFrame({"bucket": full, "body": [x.tobytes() for x in np.split(rows[order], at[1:])] if len(full) else []})
 
+
+def _by_bucket(batches: Iterator[pd.DataFrame], width: int) -> Iterator[np.ndarray]:
+    """The rows of each bucket of sorted packed rows."""
     held, now = [], None
     for b in batches:
         for bucket, body in zip(b["bucket"], b["body"], strict=True):
             if bucket != now and held:
-                yield solve(held)
+                yield np.frombuffer(b"".join(held), "<i8").reshape(-1, width)
                 held = []
             now = bucket
             held.append(bytes(body))
     if held:
-        yield solve(held)
+        yield np.frombuffer(b"".join(held), "<i8").reshape(-1, width)
+
+
+def _equal_strings(buckets: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Name, ctx and place of the strings of each bucket that occur twice, packed by context."""
+        for rows in _by_bucket(batches, 5):
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            same = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)
+            twice = rows[np.append(same, False) | np.insert(same, 0, False)][:, 2:]
+            yield _packed(twice, (np.ascontiguousarray(twice[:, 1]).view(np.uint64) % np.uint64(buckets)).astype(np.int64) if len(twice) else np.zeros(0, np.int64))
+    return run
+
+
+def _as_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Name, ctx, lo, hi of the runs of repeated starts of each context."""
+    for rows in _by_bucket(batches, 3):
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        new = np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1) | (rows[1:, 2] > rows[:-1, 2] + 1))
+        first = np.nonzero(new)[0]
+        last = np.append(first[1:], len(rows)) - 1
+        yield pd.DataFrame({"name": rows[first, 0], "ctx": rows[first, 1], "lo": rows[first, 2].astype(np.int32), "hi": rows[last, 2].astype(np.int32) + 1})
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -259,7 +276,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     # names with more contexts than one task should hold: their strings meet by hash, in
     # buckets that are several to a task and solved one at a time
     strings = bodies.filter("crowded").select("name", "ctx", "body").mapInPandas(_hashed_starts(16 * n), "bucket long, body binary")
-    crowded = strings.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_equal_strings, ranges)
+    equal = strings.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_equal_strings(16 * n), "bucket long, body binary")
+    crowded = equal.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_as_ranges, ranges)
     copies = kinds.filter("uses > 1").select("name", "ctx", F.lit(0).alias("lo"), F.col("first.n").alias("hi"))
     found = sorted_.union(crowded).union(copies).groupBy("name", "ctx").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
     placed = again.filter("not alike").join(found, ["name", "ctx"]).select("k1", "k2", "at", F.explode("r").alias("r")).select(
