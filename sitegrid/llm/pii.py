@@ -30,14 +30,19 @@ _LOOKALIKE |= {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}
 _LOOKALIKE |= {c: 48 + unicodedata.decimal(chr(c)) for c in range(128, sys.maxunicode + 1) if unicodedata.decimal(chr(c), None) is not None}
 _DIGITS = {w: str(d) for d, w in enumerate("zero one two three four five six seven eight nine".split())}
 
-_WORD = "|".join(_DIGITS)
-#: One pass of rewrites: bracketed and spaced at / dot, and runs of four or more spelled digits.
+# Only ASCII letters, whatever the case rules of other scripts take for them.
+_WORD = f"(?a:{'|'.join(_DIGITS)})"
+_BOXED_DOT, _SPACED_DOT = r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*", r"(?<=[a-z0-9])\x20+dot\x20+(?=[a-z0-9])"
+#: One pass of rewrites: bracketed and spaced at / dot, and spelled digits (see ``normalise``).
 _REWRITE = re.compile(
-    rf"(?P<at>\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*)|(?P<dot>\s*[\[({{<]\s*(?:dot|\.)\s*[\])}}>]\s*)"
-    rf"|(?P<bare>(?<=[a-z0-9])\x20+at\x20+(?=[a-z0-9-]+(?:(?:\x20+dot\x20+|\.)[a-z0-9-]+)+))|(?P<sdot>(?<=[a-z0-9])\x20+dot\x20+(?=[a-z0-9]))"
-    rf"|(?P<digits>\b(?:{_WORD})(?:[\x20-]+(?:{_WORD})){{3,}}\b)", re.I)
-#: Without one of these nothing can be rewritten.
-_HINT = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\x20dot\x20|\b(?:{_WORD})[\x20-]+(?:{_WORD})[\x20-]+(?:{_WORD})[\x20-]", re.I)
+    rf"(?P<at>\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*)|(?P<dot>{_BOXED_DOT})"
+    rf"|(?P<bare>(?<=[a-z0-9])\x20+at\x20+(?=[a-z0-9-]+(?:(?:\x20+dot\x20+|\.)[a-z0-9-]+)+))|(?P<sdot>{_SPACED_DOT})"
+    rf"|(?P<digits>\b{_WORD}(?:[\x20-]+{_WORD})*\b)", re.I)
+_DOT_NEXT = re.compile(rf"{_BOXED_DOT}|{_SPACED_DOT}|\.(?=[a-z0-9])", re.I)
+_DOT_BEFORE = re.compile(r"(?<=[a-z0-9]\.)", re.I)
+#: Without one of these nothing is rewritten: each case of the rewrites has its own here.
+_HINT = re.compile(rf"[\[({{<]\s*(?:at|dot|@|\.)\s*[\])}}>]|\x20dot\x20|\x20at\x20+[a-z0-9-]+\.[a-z0-9-]"
+                   rf"|\b{_WORD}(?:\.[a-z0-9]|[\x20-]+{_WORD}[\x20-]+{_WORD}[\x20-])|[a-z0-9]\.{_WORD}\b", re.I)
 
 
 def _luhn(digits: str) -> bool:
@@ -81,12 +86,13 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[int]] | None:
 
     The letter transducer keeps lengths; the phrase transducer rewrites runs. The
     alignment is three lists: where a segment starts in the result, where in the
-    source, and its source length (-1: copied character by character).
+    source, and its source length (-1: copied character by character). Spelled digits
+    are rewritten in runs of four or more, and in any run next to a dot or its disguise.
     """
     plain = text if text.isascii() else text.translate(_LOOKALIKE)
     if not _HINT.search(plain):
         return None if plain is text or plain == text else (plain, [0], [0], [-1])
-    pieces, to, source, size, at, n = [], [], [], [], 0, 0
+    pieces, to, source, size, at, n, dot = [], [], [], [], 0, 0, -1
 
     def put(piece: str, a: int, length: int) -> None:
         nonlocal n
@@ -98,13 +104,17 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[int]] | None:
             n += len(piece)
 
     for m in _REWRITE.finditer(plain):
-        put(plain[at:m.start()], at, -1)
         kind = m.lastgroup
-        if kind == "digits":
-            for w in re.finditer(r"[A-Za-z]+", m[0]):
+        words = list(re.finditer(r"[A-Za-z]+", m[0])) if kind == "digits" else []
+        if 0 < len(words) < 4 and m.start() != dot and not _DOT_NEXT.match(plain, m.end()) and not _DOT_BEFORE.match(plain, m.start()):
+            continue
+        put(plain[at:m.start()], at, -1)
+        if words:
+            for w in words:
                 put(_DIGITS[w[0].lower()], m.start() + w.start(), len(w[0]))
         else:
             put("@" if kind in ("at", "bare") else ".", m.start(), len(m[0]))
+            dot = m.end() if kind in ("dot", "sdot") else dot
         at = m.end()
     put(plain[at:], at, -1)
     return "".join(pieces), to, source, size

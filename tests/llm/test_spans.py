@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -96,6 +97,32 @@ def test_disguises():
         assert pii.disguised(clean, pii.detect(clean)) == []
 
 
+def found(text):
+    return [(k, text[a:b]) for a, k, b in pii.disguised(text, pii.detect(text))]
+
+
+def test_each_disguise_alone():
+    ip = "one nine two dot one six eight dot zero dot one"
+    for text, kind, inside in [
+            ("write to jane.doe at example.com today", 0, "jane.doe at example.com"), ("jane at example dot com", 0, "jane at example dot com"),
+            ("jane [at] example.com", 0, "jane [at] example.com"), ("jane@example (dot) com", 0, "jane@example (dot) com"), ("jane@example dot com", 0, "jane@example dot com"),
+            ("+four four two zero seven nine four six zero", 3, "+four four two zero seven nine four six zero"), (f"host {ip} up", 1, ip),
+            ("host one nine two.one-six-eight.zero.one up", 1, "one nine two.one-six-eight.zero.one"), ("host 10.0.0.one up", 1, "10.0.0.one"),
+            ("host one.0.0.10 up", 1, "one.0.0.10"), ("host ten 10 [dot] two  dot  three (dot) four.", 1, "10 [dot] two  dot  three (dot) four")]:
+        assert found(text) == [(kind, inside)], text
+    for clean in ["Take one. Two or three will do. At one point", "one dot two", "\u017fix dot f\u0131ve dot one dot two", "\u017fix \u017fix \u017fix \u017fix"]:
+        assert found(clean) == [], clean
+
+
+def test_gate_loses_nothing(monkeypatch):
+    r = random.Random(5)
+    parts = ["jane", "at", "dot", "[at]", "(dot)", "one", "two", "six", "example", "com", "10", ".", "@", " ", " ", " ", "  ", "-", "+", "<", ">", "\n"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(20000)]
+    gated = [found(t) for t in texts]
+    monkeypatch.setattr(pii, "_HINT", re.compile(""))
+    assert gated == [found(t) for t in texts] and sum(map(bool, gated)) > 50
+
+
 def test_tables(spark):
     folder = "/root/testdata/sf0.01"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
