@@ -12,10 +12,11 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.ranking import numbered
-from ..session import stage_table
+from ..session import cut_lineage, stage_table
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|title)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -35,6 +36,9 @@ CHROME_NAMES = frozenset(
     "sharing sidebar social sponsor sponsored sponsors subscribe toolbar widget widgets".split())
 COMMENT_NAMES = frozenset("comment comments commentlist disqus replies".split())
 MAIN_TAGS = frozenset(["article", "main"])
+#: Mirrors: at most one part in so many of either text is its own, and lines of so many
+#: characters hold half of what is shared (menus and notices are short lines).
+OWN, LONG = 5, 80
 #: Tags that end at the next start of a block when left open.
 LOOSE = frozenset("p li dt dd option tr td th thead tbody".split())
 
@@ -181,18 +185,54 @@ def _url(c: Column) -> tuple[Column, Column]:
     return host, F.regexp_replace(rest, r"^//[^/]*", "")
 
 
+def compare(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int]) -> tuple[list[int], list[int], bool, bool]:
+    """Places in each of two pages of their common lines, and for each whether the other
+    is a mirror of it: equal in what may be content, or nearly so with long text in common,
+    or holding all of it, long text included. A size is four times the characters of a
+    line plus its kind."""
+    places = common_lines(a, b)
+    others, j = [], 0
+    for i in places:
+        while b[j] != a[i]:
+            j += 1
+        others.append(j)
+        j += 1
+    text_a, text_b = (sum(s >> 2 for s in sizes if s & 3) for sizes in (a_sizes, b_sizes))
+    shared = [a_sizes[i] >> 2 for i in places if a_sizes[i] & 3]
+    own_a, own_b = text_a - sum(shared), text_b - sum(b_sizes[k] >> 2 for k in others if b_sizes[k] & 3)
+    long = 2 * sum(n for n in shared if n >= LONG) >= sum(shared)
+    near = OWN * own_a <= text_a and OWN * own_b <= text_b and long or own_a == own_b == 0
+    return places, others, near or own_a == 0 and long, near or own_b == 0 and long
+
+
+def _beyond(starts: DataFrame) -> DataFrame:
+    """Of rows rn with a mark where a run starts: the last row before a row's run and
+    the first after it. Range partitions, each continued from its neighbours."""
+    ranged = cut_lineage(starts.select("rn", F.when(F.col("start"), F.col("rn")).alias("s")).repartitionByRange("rn")
+                         .withColumn("part", F.spark_partition_id()))
+    order = W.orderBy("part")
+    parts = ranged.groupBy("part").agg(F.max("s").alias("hi"), F.min("s").alias("lo")).select(
+        "part", F.max("hi").over(order.rowsBetween(W.unboundedPreceding, -1)).alias("hi"),
+        F.min("lo").over(W.orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)).alias("lo"))
+    w = W.partitionBy("part")
+    inside = ranged.select("rn", "part", F.max("s").over(w.orderBy("rn").rowsBetween(W.unboundedPreceding, 0)).alias("first"),
+                           F.min("s").over(w.orderBy(F.desc("rn")).rowsBetween(W.unboundedPreceding, -1)).alias("next"))
+    return inside.join(parts, "part").select("rn", (F.coalesce("first", "hi") - 1).alias("before"), F.coalesce("next", "lo").alias("after"))
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of each row.
 
     Blocks are read once per page; what the structure marks as menu, header, footer,
-    sidebar, notice, advert, form or comment goes. Pages are sorted by host and path
-    (a range sort, so a host of any size spreads) and each is aligned with the one of
+    sidebar, notice, advert, form or comment goes. Pages with text are sorted by host and
+    path (a range sort, so a host of any size spreads) and each is aligned with the one of
     its two neighbours of the same host that shares more of its path; lines in their
-    longest common subsequence are deleted, as a template repeats them. Text inside a
-    declared article is never deleted (mirrors of one article are neighbours too), and
-    a neighbour that repeats over half of a page's undeclared text is a mirror: its
-    lines stay. Null html counts as empty, a null or odd URL as a page of the empty
-    host; repeated rows repeat (identical pages are mirrors of each other).
+    longest common subsequence are deleted, as a template repeats them, whatever their
+    share of the page. Mirrors share their content too (see ``compare``): they are passed
+    over, run by run, up to the nearest page of the host that is none, and a page whose
+    host has mirrors only keeps its lines. Text inside a declared article is never
+    deleted. Null html counts as empty, a null or odd URL as a page of the empty host;
+    repeated rows repeat (identical pages are mirrors of each other).
     """
     t = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(page), F.lit("")).alias("html"))
 
@@ -203,42 +243,73 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
             yield pd.DataFrame({
                 "page_id": b["page_id"], "url": b["url"],
                 "marks": [np.array([digest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in ls], np.int64) for ls in all_lines],
-                "kinds": [np.array([k for _, k in ls], np.int32) for ls in all_lines],
+                "sizes": [np.array([4 * len(x) + k for x, k in ls], np.int64) for ls in all_lines],
                 "lines": [[x for x, k in ls if k] for ls in all_lines]})
 
     kind = pages.select(page_id).schema.fields[0].dataType.simpleString()
     host, path = _url(F.col("url"))
-    known = stage_table(t.mapInPandas(read, f"page_id {kind}, url string, marks array<long>, kinds array<int>, lines array<string>")
+    known = stage_table(t.mapInPandas(read, f"page_id {kind}, url string, marks array<long>, sizes array<long>, lines array<string>")
                         .withColumns({"host": host, "path": path, "id": F.monotonically_increasing_id()}), compression="zstd")
-    order = numbered(known.select("id", "host", "path", "marks", "kinds"), [], ["host", "path", "id"], "rn")
-    placed = stage_table(order.select("id", "rn", "host", "path", "marks", "kinds"))
-    near = placed.select("rn", F.col("host").alias("h"), F.col("path").alias("p"), F.col("marks").alias("m"))
-    sides = (placed.join(near.toDF("rn", "h0", "p0", "m0").withColumn("rn", F.col("rn") + 1), "rn", "left")
-             .join(near.toDF("rn", "h1", "p1", "m1").withColumn("rn", F.col("rn") - 1), "rn", "left"))
+    some = known.filter(F.size("marks") > 0)
+    order = numbered(some.select("id", "host", "path"), [], ["host", "path", "id"], "rn")
+    placed = stage_table(order.join(some.select("id", "marks", "sizes"), "id").select("id", "rn", "host", "path", "marks", "sizes"), compression="zstd")
+    sides = [placed.select(*[F.col(c).alias(f"{c}_{x}") for c in placed.columns]) for x in "ab"]
 
     def differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def shared(a: str, b: str) -> int:
+        def depth(a: str, b: str) -> int:
             x, y, n = a.split("/"), b.split("/"), 0
             while n < min(len(x), len(y)) and x[n] == y[n]:
                 n += 1
             return n
 
-        for b in batches:
-            ids, gone = [], []
-            for r in b.itertuples(index=False):
-                options = [(shared(r.path, p), -k, m) for k, (h, p, m) in enumerate([(r.h0, r.p0, r.m0), (r.h1, r.p1, r.m1)]) if m is not None and h == r.host]
-                if not options:
-                    continue
-                other = max(options, key=lambda o: o[:2])[2]
-                both = common_lines(list(r.marks), list(other))
-                open_ = [i for i in both if r.kinds[i] == 1]
-                place = np.cumsum(np.asarray(r.kinds) > 0) - 1
-                if open_ and 2 * len(open_) <= int((np.asarray(r.kinds) == 1).sum()):
-                    ids.append(r.id)
-                    gone.append([int(place[i]) for i in open_])
-            yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "gone": pd.Series(gone, dtype="object")})
-
-    gone = stage_table(sides.select("id", "host", "path", "marks", "kinds", "h0", "p0", "m0", "h1", "p1", "m1").mapInPandas(differ, "id long, gone array<int>"))
+        def gone(sizes: list[int], places: list[int]) -> list[int] | None:
+            """Places among the lines that are kept of the open ones; None if all is declared."""
+            if not any(s & 3 == 1 for s in sizes):
+                return None
+            place = np.cumsum([s & 3 > 0 for s in sizes]) - 1
+            return [int(place[i]) for i in places if sizes[i] & 3 == 1]
+
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                a_sizes, b_sizes = list(r.sizes_a), list(r.sizes_b)
+                places, others, mirror_a, mirror_b = compare(list(r.marks_a), a_sizes, list(r.marks_b), b_sizes)
+                out.append((r.id_a, r.rn_a, r.id_b, r.rn_b, depth(r.path_a, r.path_b), mirror_a, mirror_b, gone(a_sizes, places), gone(b_sizes, others)))
+            yield pd.DataFrame(out, columns=["id_a", "rn_a", "id_b", "rn_b", "depth", "mirror_a", "mirror_b", "gone_a", "gone_b"])
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        return stage_table(pairs.filter("host_a = host_b").drop("host_a", "host_b").mapInPandas(
+            differ, "id_a long, rn_a long, id_b long, rn_b long, depth int, mirror_a boolean, mirror_b boolean, gone_a array<int>, gone_b array<int>"))
+
+    def options(found: DataFrame, x: str, y: str) -> DataFrame:
+        return found.filter(F.col(f"gone_{x}").isNotNull()).select(
+            F.col(f"id_{x}").alias("id"), F.col(f"rn_{x}").alias("rn"), F.col(f"mirror_{x}").alias("mirror"), F.col(f"gone_{x}").alias("gone"),
+            F.struct("depth", F.col(f"rn_{x}") > F.col(f"rn_{y}")).alias("near"))
+
+    def chosen(choice: DataFrame) -> DataFrame:
+        """The lines to delete of each page, null where only mirrors were met."""
+        return stage_table(choice.groupBy("id", "rn").agg(F.max_by(F.when(~F.col("mirror"), F.col("gone")), F.when(~F.col("mirror"), F.col("near"))).alias("gone")))
+
+    first = compared(sides[0].join(sides[1], F.col("rn_a") + 1 == F.col("rn_b")))
+    done = [chosen(options(first, "a", "b").unionByName(options(first, "b", "a")))]
+    left = done[0].filter("gone is null").select("id", "rn")
+    if not left.isEmpty():
+        follows = first.filter("mirror_a and mirror_b").select(F.col("rn_b").alias("rn"), F.lit(False).alias("start"))
+        runs = stage_table(_beyond(placed.select("rn").join(follows, "rn", "left").select("rn", F.coalesce("start", F.lit(True)).alias("start"))))
+        turn = stage_table(left.join(runs, "rn"))
+        while not turn.isEmpty():
+            aims = turn.select(F.col("rn").alias("rn_a"), F.explode(F.array("before", "after")).alias("rn_b")).filter("rn_b is not null")
+            met = compared(aims.join(sides[0], "rn_a").join(sides[1], "rn_b"))
+            done.append(chosen(options(met, "a", "b")))
+            # on to the runs behind, on the sides where the host goes on
+            on = met.filter("mirror_a").select(F.col("rn_a").alias("rn"), "rn_b").join(
+                done[-1].filter("gone is null").select("id", "rn"), "rn").join(runs.withColumnRenamed("rn", "rn_b"), "rn_b")
+            turn = stage_table(on.groupBy("id", "rn").agg(F.max(F.when(F.col("rn_b") < F.col("rn"), F.col("before"))).alias("before"),
+                                                          F.max(F.when(F.col("rn_b") > F.col("rn"), F.col("after"))).alias("after")))
+    gone = done[0]
+    for more in done[1:]:
+        gone = gone.unionByName(more)
+    gone = gone.filter("gone is not null").select("id", "gone")
     kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
     out = known.select("id", "page_id", "url", "lines").join(gone, "id", "left").select("page_id", "url", F.array_join(kept, "\n").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

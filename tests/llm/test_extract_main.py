@@ -64,3 +64,30 @@ def test_template_lines_go_and_mirrors_stay(spark):
     assert got[10] == ["Top words here\nsame text\nagain\nBottom words here"] == got[11]
     assert got[20] == ["only text"] and got[21] == [""] and got[None] == [""] and len(got[0]) == 2 and got[30] == ["x"]
     assert extract.extract(df.limit(0)).collect() == []
+
+
+def test_template_goes_past_mirrors_and_at_any_share(spark):
+    menu, foot = [f"Menu {k}" for k in range(10)], [f"Foot {k}" for k in range(10)]
+
+    def text(i, n=3):
+        return [f"Paragraph {k} of article {i}, " + "with words that fill its line up to some length, " * 3 + "end." for k in range(n)]
+
+    def page(own):
+        return "<body>" + "".join(f"<div>{x}</div>" for x in [*menu, *own, *foot]) + "</body>"
+
+    own = {f"http://s.example/a/{i}": text(i) for i in range(4)}  # 20 of 23 lines are shared
+    own |= {f"http://c.example/a/{k}": text("copied") for k in range(5)}  # copies, then near copies, then another page
+    own |= {f"http://c.example/b/{k}": [*text("near", 8), f"Printed on day {k}"] for k in range(4)}
+    own |= {"http://e.example/1": text("part"), "http://e.example/2": text("part", 4), "http://e.example/3": text("more")}
+    own |= {"http://c.example/c": text("other"), "http://e.example/4": [], "http://t.example/1": text(1), "http://t.example/2": [text(2)[0][:40]]}
+    own |= {f"http://d.example/{k}": text("drift", 12)[k:k + 8] for k in range(5)}  # neighbours are mirrors, the ends are not
+    df = spark.createDataFrame([(i, u, page(x)) for i, (u, x) in enumerate(own.items())] + [(90, "http://s.example/a/1/0", "")], "page_id long, url string, html string")
+    got = {r.url: r.text for r in extract.extract(df).collect()}
+    for u, x in own.items():
+        if "d.example" not in u and u != "http://e.example/2":
+            assert got[u] == "\n".join(x), u
+    for k in range(5):
+        lines = got[f"http://d.example/{k}"].split("\n")
+        assert lines == [*menu, *own[f"http://d.example/{k}"], *foot]  # a host of mirrors only
+    a = extract.compare([1, 2, 3], [41, 401, 41], [1, 2, 4], [41, 401, 41])
+    assert a == ([0, 1], [0, 1], True, True) and extract.compare([1, 2, 3], [41, 41, 401], [1, 2, 4], [41, 41, 401])[2:] == (False, False)
