@@ -34,6 +34,11 @@ CHROME_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr "
     "masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promotion related replies respond share "
     "sharing sidebar social sponsor sponsored sponsors subscribe toolbar widget widgets".split())
+#: Compounds with one of these name a layout or a state: has-sidebar, ad-free, comments-open.
+LAYOUT_PARTS = frozenset("has no non not with without free less hide hidden open opened closed enabled disabled on off".split())
+#: Elements that may hold a whole page.
+WRAPPERS = frozenset("form fieldset object".split())
+HARD, SOFT, COMMENTS = 1, 2, 3
 COMMENT_NAMES = frozenset("comment comments commentlist disqus replies".split())
 MAIN_TAGS = frozenset(["article", "main"])
 #: Mirrors: at most one part in so many of either text is its own, and lines of so many
@@ -43,44 +48,56 @@ OWN, LONG = 5, 80
 LOOSE = frozenset("p li dt dd option tr td th thead tbody".split())
 
 
-def _chrome(tag: str, attrs: str, in_main: bool) -> bool:
-    if tag in CHROME_TAGS or (tag == "header" and not in_main):
-        return True
+def _chrome(tag: str, attrs: str, in_main: bool) -> int:
+    """HARD for what is no content wherever it stands, SOFT (COMMENTS) for what its names
+    say and its text may refute, else 0."""
+    if tag in CHROME_TAGS and tag not in WRAPPERS or (tag == "header" and not in_main):
+        return HARD
     if tag in ("html", "body", "main") or not attrs:
-        return False
+        return SOFT if tag in WRAPPERS else 0
     names: set[str] = set()
+    soft = tag in WRAPPERS
     for m in _ATTR.finditer(attrs):
         name, value = m["name"].lower(), m["a"] or m["b"] or m["c"] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
+            return HARD
         if name == "role":
-            if value.lower().strip() in CHROME_ROLES:
-                return True
+            soft |= value.lower().strip() in CHROME_ROLES
         else:
-            names.update(x.lower() for x in _PART.findall(value))
-            if not in_main and "header" in names and tag != "article":
-                return True
-    return bool(names & (COMMENT_NAMES if tag == "article" else CHROME_NAMES))
+            for compound in value.split():
+                parts = {x.lower() for x in _PART.findall(compound)}
+                if not parts & LAYOUT_PARTS:
+                    names |= parts
+            soft |= not in_main and "header" in names and tag != "article"
+    if names & COMMENT_NAMES:
+        return COMMENTS
+    return SOFT if soft or tag != "article" and names & CHROME_NAMES else 0
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
     """Text blocks in page order, each with 2 for the article, 1 for text that may be
     content, 0 for what the structure marks as none. White space inside a block is one
-    space; character references are decoded."""
-    out: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, within chrome, within main
+    space; character references are decoded.
+
+    An element that only its names mark stays if it holds a main, most of the text of
+    articles, or most of the text with hardly an article beside it (of comments: nearly
+    all). Text outside articles is measured by its long lines, by all where none is long. A declared article is all of the content unless it
+    holds under a quarter of it.
+    """
+    blocks: list[tuple[str, bool, int, bool]] = []  # text, hard, innermost soft element, within main
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, then as above
+    softs: list[list] = []  # parent, whether comments, whether a main is inside
     text: list[str] = []
 
-    def state() -> tuple[bool, bool]:
-        return stack[-1][1:] if stack else (False, False)
+    def state() -> tuple[bool, int, bool]:
+        return stack[-1][1:] if stack else (False, -1, False)
 
     def flush() -> None:
         if text:
             block = " ".join("".join(text).split())
             text.clear()
             if block:
-                chrome, main = state()
-                out.append((block, 0 if chrome else 1 + main))
+                blocks.append((block, *state()))
 
     for m in _TOKEN.finditer(page):
         if m["text"] is not None:
@@ -98,7 +115,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                 # a loose end does not close what encloses its own block
                 if tag in INLINE and any(s[0] not in INLINE for s in stack[at + 1:]):
                     continue
-                if tag not in INLINE or state() != ((stack[at - 1][1:]) if at else (False, False)):
+                if tag not in INLINE or state() != ((stack[at - 1][1:]) if at else (False, -1, False)):
                     flush()
                 del stack[at:]
             elif tag not in INLINE:
@@ -112,16 +129,46 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                 stack.pop()
         if tag in VOID or m["attrs"].endswith("/") and tag in INLINE:
             continue
-        chrome, main = state()
-        inside = main or tag in MAIN_TAGS
-        off = chrome or _chrome(tag, m["attrs"], main)
-        if off != chrome and tag in INLINE:
+        hard, soft, main = state()
+        why = 0 if hard else _chrome(tag, m["attrs"], main)
+        if why and tag in INLINE:
             flush()
-        stack.append((tag, off, inside and not off))
+        if why in (SOFT, COMMENTS):
+            softs.append([soft, why == COMMENTS, False])
+            soft = len(softs) - 1
+        hard |= why == HARD
+        if tag == "main" and not hard and soft >= 0:
+            softs[soft][2] = True
+        stack.append((tag, hard, soft, main or tag in MAIN_TAGS))
     flush()
-    if any(k == 2 for _, k in out):  # a declared article is all of it
-        return [(t, k if k == 2 else 0) for t, k in out]
-    return out
+    return _decide(blocks, softs)
+
+
+def _decide(blocks: list[tuple[str, bool, int, bool]], softs: list[list]) -> list[tuple[str, int]]:
+    """Kinds of the blocks of a page, see ``lines_of``."""
+    long = any(len(t) >= LONG for t, hard, _, _ in blocks if not hard)
+    weights = [0 if hard or long and len(t) < LONG and not main else len(t) for t, hard, _, main in blocks]
+    every, articles = sum(weights), sum(w for w, b in zip(weights, blocks, strict=True) if b[3])
+    held, told = [0] * len(softs), [0] * len(softs)
+    for w, (_, _, soft, main) in zip(weights, blocks, strict=True):
+        if soft >= 0:
+            held[soft] += w
+            told[soft] += w * main
+    for k in range(len(softs) - 1, -1, -1):  # an element comes after what encloses it
+        parent = softs[k][0]
+        if parent >= 0:
+            held[parent] += held[k]
+            told[parent] += told[k]
+            softs[parent][2] |= softs[k][2]
+    stays: list[bool] = []
+    for k, (parent, comments, has_main) in enumerate(softs):
+        most = 10 * held[k] > 9 * every if comments else (2 * held[k] > every and 10 * (articles - told[k]) <= held[k]) or (2 * told[k] > articles and 4 * told[k] > every)
+        stays.append((has_main or most) and (parent < 0 or stays[parent]))
+    kinds = [0 if hard or soft >= 0 and not stays[soft] else 1 + main for _, hard, soft, main in blocks]
+    declared, kept = (sum(w for w, k in zip(weights, kinds, strict=True) if k >= least) for least in (2, 1))
+    if 2 in kinds and 4 * declared >= kept:
+        kinds = [2 * (k == 2) for k in kinds]
+    return [(b[0], k) for b, k in zip(blocks, kinds, strict=True)]
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:

@@ -91,3 +91,17 @@ def test_template_goes_past_mirrors_and_at_any_share(spark):
         assert lines == [*menu, *own[f"http://d.example/{k}"], *foot]  # a host of mirrors only
     a = extract.compare([1, 2, 3], [41, 401, 41], [1, 2, 4], [41, 401, 41])
     assert a == ([0, 1], [0, 1], True, True) and extract.compare([1, 2, 3], [41, 41, 401], [1, 2, 4], [41, 41, 401])[2:] == (False, False)
+
+
+def test_layout_names_keep_the_article():
+    prose = "This sentence stands for a paragraph of an article and is long enough to be one, word by word. "
+    for a, b in [("<div class='layout has-sidebar'><article>", "</article></div>"), ("<div class='no-comments'>", "</div>"), ("<div id=page class=ad-free><div>", "</div></div>"),
+                 ("<article class='post comments-open'>", "</article>"), ("<div class='sidebar-right widget'><main>", "</main></div>"),
+                 ("<form method=post><div>", "</div></form>"), ("<div class=sidebar><article>", "</article></div>"), ("<div class=comments><p>", "</p></div>"),
+                 ("<article class=card>Teaser</article><div>", "</div>")]:
+        page = f"<body><nav>Menu</nav><div class=sidebar>Links</div>{a}<p>{prose}1<p>{prose}2<aside>Side</aside>{b}<div class='ad'>Buy</div><footer>End</footer>"
+        kept = [t for t, k in extract.lines_of(page) if k]
+        assert kept == ["Teaser"] * ("Teaser" in page) + [f"{prose}1", f"{prose}2"], a
+    page = f"<body><article><p>{prose}1</article><div id=comments>" + f"<article><p>{prose}2</article>" * 5 + f"</div><div class=sidebar><article>{prose}3</article></div>"
+    assert [t for t, k in extract.lines_of(page) if k] == [f"{prose}1"]
+    extract.lines_of("<div class=ad>" * 20000 + "x")
