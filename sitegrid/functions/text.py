@@ -63,8 +63,20 @@ def bind(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def whole_shingles(text: Column) -> Column:
+    """Every distinct window of five words of the whole text."""
+    n = V.SHINGLE_WORDS
+
+    def windows(w: Column) -> Column:
+        at = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
+
+    return bind(alnum_tokens(text), windows)
+
+
 def shingles(text: Column) -> Column:
-    """Overlapping word windows, distinct, capped, then evenly sampled."""
+    """Overlapping word windows, distinct, capped, then evenly sampled: the form of the
+    registered queries ``shingles`` and ``near_duplicates``, whose SQL states these cuts."""
     n, step, cap = V.SHINGLE_WORDS, V.SHINGLE_STEP, V.SHINGLE_CAP
 
     def windows(w: Column) -> Column:

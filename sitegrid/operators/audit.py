@@ -334,7 +334,7 @@ def graph_hits(pages: DataFrame, links: DataFrame, crawls: DataFrame | None, mod
 
 def near_duplicate_hits(pages: DataFrame, threshold: float = 0.85) -> DataFrame:
     rows = pages.filter(is_indexable() & (F.col("word_count") > 120)).select(
-        *KEY, "url", "content_hash", X.shingles(F.col("body_text")).alias("shingles"))
+        *KEY, "url", "content_hash", X.whole_shingles(F.col("body_text")).alias("shingles"))
     pairs = dedupe.near_duplicates(rows, threshold)
     return _hits(pairs, "near-duplicate", "url_a", F.concat_ws(" ", X.half_up(F.col("score") * 100).cast("string"),
                                                                F.col("url_b")),

@@ -56,8 +56,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.85, block: int = BLOCK
     ``rows``: run_id, site, url, content_hash, shingles. Copies are folded first,
     so a pair stands for ``copies_a * copies_b`` page pairs. Exact prefix
     filtering: shingles ordered rarest first, two sets that reach the threshold
-    share one of their first ``n - ceil(t*n) + 1``. One document holds at most a
-    few hundred shingles, which bounds its ordered list. A shingle held by many sets
+    share one of their first ``n - ceil(t*n) + 1``. The ordered list of a document
+    is as long as its own text. A shingle held by many sets
     is split into blocks that meet pairwise in separate cells, so no task holds
     it whole and no pair is lost.
     """

@@ -122,7 +122,7 @@ def extract_pages(raw: DataFrame) -> DataFrame:
 
 
 def with_shingles(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("shingles", X.shingles(F.col("body_text")))
+    return pages.withColumn("shingles", X.whole_shingles(F.col("body_text")))
 
 
 def structured_data(pages: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@ import random
 from pyspark.sql import functions as F
 
 from sitegrid.operators import artefacts as O
+from sitegrid.operators import audit as D
 from sitegrid.operators import dedupe
 from sitegrid.operators import links as L
 from sitegrid.operators.ranking import numbered, running, top_per_key
 from sitegrid.sources import robots as SR
+from sitegrid.sources.pages import with_shingles
 
 LINK = "run_id string, site string, from_url string, pos int, resolved string, anchor string, nofollow boolean, in_nav boolean, in_footer boolean"
 
@@ -83,6 +85,22 @@ def test_near_duplicates_equal_all_pairs_even_when_split(spark):
         assert len(got) == len(set(got)) and {tuple(r) for r in got} == want
 
 
+def test_near_duplicate_rule_reads_whole_texts(spark):
+    rnd = random.Random(8)
+    long = [f"w{rnd.randrange(10**6)}" for _ in range(6000)]
+    texts = {"a": long, "shifted": ["first", *long], "tail": [*long[:3600], *(f"t{i}" for i in range(2400))],
+             "longer": [*long, *(f"v{i}" for i in range(700))]}
+    rows = [("r", "s", u, f"h{u}", " ".join(w), len(w), 200, False, True, "text/html") for u, w in texts.items()]
+    df = spark.createDataFrame(rows, "run_id string, site string, url string, content_hash string, body_text string, word_count int, status int, "
+                                     "noindex boolean, robots_allowed boolean, content_type string")
+    sets = {u: {tuple(w[i:i + 5]) for i in range(len(w) - 4)} for u, w in texts.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.85}
+    assert want == {("a", "longer"), ("a", "shifted"), ("longer", "shifted")}
+    assert {(r.url, r.detail.split(" ")[1]) for r in D.near_duplicate_hits(df).collect()} == want
+    got = dedupe.near_duplicates(with_shingles(df)).select("url_a", "url_b").collect()
+    assert {tuple(r) for r in got} == want
+
+
 def test_redirect_map_equals_all_pairs_for_any_split(spark):
     rnd = random.Random(11)
     words = ["red", "blue", "shoes", "boots", "sale", "kids", "men", "guide"]
