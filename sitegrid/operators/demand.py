@@ -148,8 +148,9 @@ def cluster_keywords_graph(keywords: DataFrame, longest: int = 10) -> DataFrame:
     least half of the other's tokens, clusters are connected components.
 
     A keyword meets others at nodes for each half of its token set instead of in
-    pairs, so a token in every keyword adds one edge per keyword. A keyword with
-    more than ``longest`` tokens meets only equal token sets.
+    pairs, so a token in every keyword adds one edge per keyword. Token sets of more
+    than ``longest`` tokens have too many halves: they meet all others through the
+    rarest tokens of the shorter set, one of which the longer set must hold.
     """
     toks = F.array_sort(F.array_distinct(keyword_tokens(F.col("keyword"))))
     rows = cut_lineage(keywords.withColumn("t", toks).withColumn("n", F.size("t")))
@@ -170,6 +171,20 @@ def cluster_keywords_graph(keywords: DataFrame, longest: int = 10) -> DataFrame:
     long = rows.filter(F.col("n") > longest).select("seed", ids.alias("id"), F.array_join("t", " ").alias("half"))
     edges = holds.unionByName(long).select(
         F.concat(F.lit("k"), "id").alias("a"), F.concat(F.lit("t"), "seed", F.lit("\u0001"), "half").alias("b"))
+    node = F.when(F.col("n") <= longest, F.concat(F.lit("k"), ids)).otherwise(
+        F.concat(F.lit("t"), "seed", F.lit("\u0001"), F.array_join("t", " ")))
+    sets = rows.filter("n > 0").select("seed", node.alias("a"), "t", "n").distinct()
+    wide = sets.filter(F.col("n") > longest)
+    held = wide.select("seed", F.explode("t").alias("tok"), F.col("a").alias("b"), F.col("t").alias("u"), F.col("n").alias("m"))
+    probes = (sets.join(wide.select("seed").distinct(), "seed", "left_semi").select("*", F.explode("t").alias("tok"))
+              .join(held.groupBy("seed", "tok").agg(F.count("*").alias("df")), ["seed", "tok"], "left").fillna(0, ["df"])
+              .groupBy("seed", "a", "t", "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
+              .select("seed", "a", "t", "n", F.explode(F.slice(
+                  "o", F.lit(1), (F.col("n") - F.ceil(F.col("n") / 2) + 1).cast("int"))["tok"]).alias("tok")))
+    met = probes.join(held, ["seed", "tok"]).filter(
+        ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b"))))
+        & (F.size(F.array_intersect("t", "u")) * 2 >= F.col("n")))
+    edges = edges.unionByName(met.select("a", "b").distinct())
     comp = connected_components(edges).filter(F.col("a").startswith("k"))
     out = rows.withColumn("a", F.concat(F.lit("k"), ids)).join(comp, "a", "left")
     return out.select("seed", "keyword", "breadth", "intent",

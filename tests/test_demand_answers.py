@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from sitegrid import fixed_values as V
+from .llm.cases import roots
 from sitegrid.operators import answers as J
 from sitegrid.operators import demand as I
 from sitegrid.operators import summarise as N
@@ -51,6 +52,28 @@ def test_keyword_url_map(spark):
     assert [(r.status, r.url) for r in rows if r.cluster == "c2"] == [("gap", None)]
 
 
+def test_long_keywords_meet_in_the_graph(spark):
+    rnd = random.Random(6)
+    base = [f"tok{i:02}" for i in range(11)]
+    words = [("a", " ".join([*base, f"own{i}"])) for i in range(4)] + [("a", "tok01 other"), ("a", "none here")]
+    vocab = [f"word{i:02}" for i in range(60)]
+    words += [("b", " ".join(rnd.sample(vocab, rnd.choice((1, 2, 3, 9, 10, 11, 12, 15))))) for _ in range(60)]
+    words += [("b", "a")]
+    df = spark.createDataFrame([(s, k, 1, "x") for s, k in sorted(set(words))], "seed string, keyword string, breadth bigint, intent string")
+    for longest in (10, 3):
+        got = {}
+        for r in I.cluster_keywords_graph(df, longest).collect():
+            got.setdefault((r.seed, r.cluster), set()).add(r.keyword)
+        rows = sorted(set(words))
+        links = [((s, x), (s2, y)) for s, x in rows for s2, y in rows if s == s2 and len(x) > 1 and len(y) > 1
+                 and 2 * len(set(x.split()) & set(y.split())) >= min(len(x.split()), len(y.split()))]
+        want = {}
+        for k, root in roots(rows, links).items():
+            want.setdefault(root, set()).add(k[1])
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+        assert set(got[next(k for k in got if k[0] == "a" and len(got[k]) > 2)]) == {k for s, k in words if s == "a" and "tok" in k}
+
+
 def test_topic_gap(spark):
     ours = spark.createDataFrame([("Blue Widgets Repair",)], "text string")
     theirs = spark.createDataFrame([("Garden Sheds guide",), ("Best garden sheds",), ("Blue widgets",), ("Blue widgets",)], "text string")
