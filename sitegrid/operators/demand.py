@@ -193,8 +193,8 @@ def cluster_keywords_graph(keywords: DataFrame, longest: int = 10) -> DataFrame:
 
 # --- keyword to page ---------------------------------------------------------------------------
 
-def cluster_terms(members: DataFrame, label_of: DataFrame, first: int = 8) -> DataFrame:
-    """Terms over three letters from a cluster's label and its first members."""
+def cluster_terms(members: DataFrame, label_of: DataFrame, first: int | None = None) -> DataFrame:
+    """Terms over three letters from a cluster's label and its members, or its first ones."""
     keys = ["seed", "cluster"]
     some = top_per_key(members, keys, [F.desc("breadth"), F.col("keyword")], first).select(*keys, "keyword")
     names = some.unionByName(label_of.select(*keys, F.col("label").alias("keyword")))
@@ -205,7 +205,7 @@ def cluster_terms(members: DataFrame, label_of: DataFrame, first: int = 8) -> Da
 def page_text(pages: DataFrame) -> Column:
     return F.lower(F.concat_ws(" ", "title", F.array_join("h1s", " "),
                                F.array_join(F.transform("headings", lambda h: h["text"]), " "),
-                               F.substring("body_text", 1, 3000)))
+                               "body_text"))
 
 
 def keyword_url_map(terms: DataFrame, pages: DataFrame, threshold: float = 0.35) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
+from ..session import cut_lineage
 
 KEY = ["run_id", "site"]
 
@@ -54,9 +55,9 @@ def _tag(name: str):
                                             r"<!\[CDATA\[|\]\]>", "")), F.lit(""))
 
 
-def read_sitemaps(docs: DataFrame, roots: DataFrame | None = None, max_depth: int = 4) -> DataFrame:
-    """Entries of url sets, reached from the root documents through at most four
-    levels of index files, plus plain-text lists. One row per normalised URL."""
+def read_sitemaps(docs: DataFrame, roots: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
+    """Entries of url sets, reached from the root documents through index files of any
+    depth (or ``max_depth`` levels), plus plain-text lists. One row per normalised URL."""
     typed = docs.select(*KEY, "url", "body",
                         F.regexp_like("body", F.lit("(?i)<sitemapindex")).alias("is_index"),
                         F.regexp_extract_all("body", F.lit(_BLOCK), F.lit(0)).alias("blocks"))
@@ -66,9 +67,13 @@ def read_sitemaps(docs: DataFrame, roots: DataFrame | None = None, max_depth: in
             *KEY, "url", _tag("loc").alias("child"))
         level = roots.select(*KEY, F.col("sitemap").alias("url")).distinct()
         names = level
-        for _ in range(max_depth):      # names only; the documents are joined once
-            level = level.join(children, [*KEY, "url"]).select(*KEY, F.col("child").alias("url")).distinct()
-            names = names.unionByName(level)
+        while max_depth is None or max_depth > 0:      # names only; the documents are joined once
+            level = cut_lineage(level.join(children, [*KEY, "url"]).select(*KEY, F.col("child").alias("url")).distinct()
+                                .join(names, [*KEY, "url"], "left_anti"))
+            if level.isEmpty():
+                break
+            names = cut_lineage(names.unionByName(level))
+            max_depth = None if max_depth is None else max_depth - 1
         reached = typed.join(names.distinct(), [*KEY, "url"], "left_semi")
     sets = reached.filter(~F.col("is_index"))
     entries = sets.select(*KEY, F.col("url").alias("source"), F.posexplode("blocks").alias("pos", "block")).select(

@@ -74,6 +74,17 @@ def test_long_keywords_meet_in_the_graph(spark):
         assert set(got[next(k for k in got if k[0] == "a" and len(got[k]) > 2)]) == {k for s, k in words if s == "a" and "tok" in k}
 
 
+def test_keyword_map_reads_whole_pages_and_clusters(spark):
+    members = spark.createDataFrame([("s", "c", f"term{i:02} word", 20 - i) for i in range(12)], "seed string, cluster string, keyword string, breadth int")
+    label = spark.createDataFrame([("s", "c", "term00 word")], "seed string, cluster string, label string")
+    terms = I.cluster_terms(members, label)
+    assert {r.term for r in terms.collect()} == {f"term{i:02}" for i in range(12)} | {"word"}
+    body = "filler " * 1000 + " ".join(f"term{i:02}" for i in range(12))
+    pages = spark.createDataFrame([("u", "Title", [], [], body, 200, False)], "url string, title string, h1s array<string>, "
+                                  "headings array<struct<level:int,text:string>>, body_text string, status int, noindex boolean")
+    assert [(r.status, r.url, r.score) for r in I.keyword_url_map(terms, pages).collect()] == [("mapped", "u", 92)]
+
+
 def test_topic_gap(spark):
     ours = spark.createDataFrame([("Blue Widgets Repair",)], "text string")
     theirs = spark.createDataFrame([("Garden Sheds guide",), ("Best garden sheds",), ("Blue widgets",), ("Blue widgets",)], "text string")

@@ -130,6 +130,18 @@ def test_redirect_map_equals_all_pairs_for_any_split(spark):
         assert got == want, hot
 
 
+def test_sitemap_indexes_of_any_depth(spark):
+    def index(*names):
+        return "<sitemapindex>" + "".join(f"<sitemap><loc>https://x.com/{n}</loc></sitemap>" for n in names) + "</sitemapindex>"
+
+    docs = [("r", "s", f"https://x.com/i{k}", index(f"i{k + 1}", "i0")) for k in range(7)]
+    docs += [("r", "s", "https://x.com/i7", "<urlset><url><loc>https://x.com/page</loc></url></urlset>")]
+    df = spark.createDataFrame(docs, "run_id string, site string, url string, body string")
+    roots = spark.createDataFrame([("r", "s", "https://x.com/i0")], "run_id string, site string, sitemap string")
+    assert [r["loc"] for r in SR.read_sitemaps(df, roots).collect()] == ["https://x.com/page"]
+    assert SR.read_sitemaps(df, roots, 4).count() == 0
+
+
 def test_ranking_helpers(spark):
     df = spark.createDataFrame([("a" if i % 3 else "b", i, i % 4) for i in range(200)], "k string, i int, v int")
     for name, out in (("rn", numbered(df, ["k"], ["i"])), ("total", running(df, ["k"], ["i"], F.col("v"), "total"))):
