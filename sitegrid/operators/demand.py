@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import text as X
-from ..session import cut_lineage
-from .ranking import top_per_key
+from ..session import Rounds, cut_lineage, stage_table
+from .ranking import numbered, top_per_key
 
 
 def keyword_probes(seeds: DataFrame) -> DataFrame:
@@ -65,46 +64,51 @@ def keyword_tokens(keyword: Column) -> Column:
 
 # --- clusters ------------------------------------------------------------------------------
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Leader clustering of one seed's keywords in their given order."""
-    n_clusters = 0
-    by_token: dict[str, set[int]] = {}
-    pdf = pdf.sort_values(["breadth", "keyword"], ascending=[False, True])
-    cluster = []
-    for tokens in pdf["tokens"]:
-        tokens = list(tokens)
-        hits: dict[int, int] = {}
-        for t in tokens:
-            for c in by_token.get(t, ()):
-                hits[c] = hits.get(c, 0) + 1
-        best = max(hits, key=lambda c: (hits[c], -c)) if hits else None
-        if best is None or hits[best] / len(tokens) < 0.5:
-            best, n_clusters = n_clusters, n_clusters + 1
-        for t in tokens:
-            by_token.setdefault(t, set()).add(best)
-        cluster.append(best)
-    return pdf.assign(cluster=[str(c) for c in cluster])[["seed", "keyword", "breadth", "intent", "cluster"]]
-
-
-def cluster_members(keywords: DataFrame, max_group: int = 20_000) -> DataFrame:
-    """Cluster id per keyword: greedy leader order (breadth descending, keyword
-    ascending), as defined, within each seed.
-
-    A seed yields at most a few hundred suggestions (52 probes, one page of
-    suggestions each). Larger seeds, which only other sources produce, are not
-    gathered: they go through ``cluster_keywords_graph``. Column ``method`` says
-    which one applied; no keyword is dropped.
+def cluster_members(keywords: DataFrame) -> DataFrame:
+    """Cluster number per keyword within each seed: leaders in order of breadth
+    (descending) and keyword. A keyword joins the cluster that holds most of its tokens
+    (ties: the first), if that is half of them or more; the cluster then holds all of
+    them. Otherwise it leads a cluster of its own; so do keywords without tokens.
+
+    The order is kept without a group per seed. A decision rests only on the earlier
+    keywords' clusters, so the true clusters are the one assignment that its own
+    decisions reproduce. Rounds start with every keyword alone and decide all undecided
+    keywords at once from the assignment of the round before; whatever stands before the
+    first change of a seed, that change included, is decided for good, and the loop ends when nothing
+    changes. A round is a few joins on (seed, token) and (seed, keyword): a keyword meets
+    the clusters at its rarest tokens only, as many as half of its tokens cannot do
+    without, and counts the others by lookup.
     """
-    sizes = keywords.groupBy("seed").agg(F.count("*").alias("n"))
-    rows = keywords.join(sizes, "seed").withColumn("tokens", keyword_tokens(F.col("keyword")))
-    small = rows.filter(F.col("n") <= max_group).drop("n")
-    greedy = small.select("seed", "keyword", "breadth", "intent", "tokens").groupBy("seed").applyInPandas(
-        _greedy, "seed string, keyword string, breadth bigint, intent string, cluster string").withColumn(
-        "method", F.lit("greedy"))
-    big = rows.filter(F.col("n") > max_group).drop("n", "tokens")
-    if big.isEmpty():
-        return greedy
-    return greedy.unionByName(cluster_keywords_graph(big).withColumn("method", F.lit("graph")))
+    order = keywords.withColumn("_order", -F.col("breadth"))
+    toks = keyword_tokens(F.col("keyword"))
+    rows = stage_table(numbered(order, ["seed"], ["_order", "keyword"], "k").select(
+        "seed", "k", "keyword", "breadth", "intent", toks.alias("tokens"), F.size(toks).alias("n")))
+    tok = stage_table(rows.select("seed", "k", "n", F.explode("tokens").alias("t")).groupBy("seed", "k", "n", "t").agg(F.count("*").alias("m")))
+    now = stage_table(rows.select("seed", "k", F.col("k").alias("c")))
+    open_ = stage_table(rows.groupBy("seed").agg(F.lit(0).cast("long").alias("done")))
+    spark = keywords.sparkSession
+    holders, decisions, left = Rounds(spark), Rounds(spark), Rounds(spark)
+    while not open_.isEmpty():
+        held = tok.join(open_, "seed").join(now, ["seed", "k"])
+        since = holders.cut(held.groupBy("seed", "t", "c").agg(F.min("k").alias("since")))
+        spread = since.groupBy("seed", "t").agg(F.count("*").alias("df"))
+        due = held.filter(F.col("k") > F.col("done")).join(spread, ["seed", "t"]).groupBy("seed", "k", "n").agg(
+            F.reverse(F.array_sort(F.collect_list(F.struct("df", "t", "m")))).alias("o"))
+        # the most common tokens that do not make half of the keyword need no probe
+        weight = F.transform("o", lambda _, i: F.aggregate(F.slice("o", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + x["m"]))
+        probes = due.withColumn("w", weight).select("seed", "k", F.explode(F.filter("o", lambda _, i: 2 * F.get("w", i) >= F.col("n"))).alias("p"))
+        met = probes.select("seed", "k", F.col("p.t").alias("t")).join(since, ["seed", "t"]).filter(F.col("since") < F.col("k"))
+        hits = met.select("seed", "k", "c").distinct().join(tok, ["seed", "k"]).join(since, ["seed", "t", "c"]).filter(
+            F.col("since") < F.col("k")).groupBy("seed", "k", "n", "c").agg(F.sum("m").alias("hits"))
+        best = hits.filter(2 * F.col("hits") >= F.col("n")).groupBy("seed", "k").agg(
+            F.min(F.struct((-F.col("hits")).alias("h"), "c")).alias("b")).select("seed", "k", F.col("b.c").alias("joins"))
+        decided = decisions.cut(now.join(open_, "seed", "left").join(best, ["seed", "k"], "left").select(
+            "seed", "k", "c", F.when(F.col("k") > F.col("done"), F.coalesce("joins", "k")).otherwise(F.col("c")).alias("new")))
+        open_ = left.cut(decided.filter(F.col("new") != F.col("c")).groupBy("seed").agg(F.min("k").alias("done")))
+        now = decided.select("seed", "k", F.col("new").alias("c"))
+    leaders = numbered(now.filter(F.col("k") == F.col("c")).select("seed", "c"), ["seed"], ["c"], "number")
+    return rows.join(now, ["seed", "k"]).join(leaders, ["seed", "c"]).select(
+        "seed", "keyword", "breadth", "intent", (F.col("number") - 1).cast("string").alias("cluster"))
 
 
 def summarise_clusters(members: DataFrame) -> DataFrame:

@@ -66,6 +66,24 @@ def stage_table(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+class Rounds:
+    """Tables of a loop. ``cut`` writes a frame and gives it back as read from disk: the
+    planner then knows its true size. (A checkpoint inherits the estimate of its plan, a
+    product over all joins, whose digits double every round until planning fills the
+    driver's memory.) The files of the round before last are overwritten, so a frame must
+    not be used for more than one further round."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.n = spark, 0
+        self.path = f"{_shared_folder(spark)}/rounds-{uuid.uuid4().hex}"
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{self.path}/{self.n % 2}"
+        self.n += 1
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows over all cores when the input has fewer splits than cores; inputs of
     cluster size have more and pass through without a shuffle."""

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from sitegrid import fixed_values as V
-from .llm.cases import roots
+from .graphs import roots
 from sitegrid.operators import answers as J
 from sitegrid.operators import demand as I
 from sitegrid.operators import summarise as N
@@ -74,6 +74,68 @@ def test_long_keywords_meet_in_the_graph(spark):
         assert set(got[next(k for k in got if k[0] == "a" and len(got[k]) > 2)]) == {k for s, k in words if s == "a" and "tok" in k}
 
 
+def leaders(rows):
+    """Greedy clusters by the plain loop: seed, keyword to cluster number."""
+    out = {}
+    for seed in {r[0] for r in rows}:
+        by, n = {}, 0
+        for _, keyword, _, _ in sorted((r for r in rows if r[0] == seed), key=lambda r: (-r[2], r[1])):
+            tokens, hits = [t for t in keyword.split() if len(t) > 2], {}
+            for t in tokens:
+                for c in by.get(t, ()):
+                    hits[c] = hits.get(c, 0) + 1
+            best = max(hits, key=lambda c: (hits[c], -c)) if hits else None
+            if best is None or hits[best] / len(tokens) < 0.5:
+                best, n = n, n + 1
+            for t in tokens:
+                by.setdefault(t, set()).add(best)
+            out[seed, keyword] = str(best)
+    return out
+
+
+def test_leader_clusters_equal_the_plain_loop(spark):
+    rnd = random.Random(5)
+    rows = []
+    for seed, size, hot, n in [("a", 200, "", 120), ("b", 60, "", 120), ("hot", 120, "hot pair ", 300), ("dense", 15, "hot ", 60)]:
+        keys = {hot + " ".join(f"tok{rnd.randrange(size):03}" for _ in range(rnd.randint(1, 5))) + rnd.choice(["", "", " x"]) for _ in range(n)}
+        rows += [(seed, k, rnd.randint(1, 4), "x") for k in sorted(keys)]
+    rows += [("none", "a b", 1, "x"), ("none", "c", 1, "x"), ("none", "tok001 tok001", 1, "x")]
+    df = spark.createDataFrame(rows, "seed string, keyword string, breadth bigint, intent string")
+    got = {(r.seed, r.keyword): r.cluster for r in I.cluster_members(df).collect()}
+    assert got == leaders(rows)
+
+
+def test_cluster_queries_equal_the_plain_loop(spark):
+    from sitegrid.plans import adapters, load_queries
+    from sitegrid.plans.registry import QUERIES
+    load_queries()
+    folder = "/root/testdata/sf0.001"
+    kw = I.keyword_breadth(adapters.suggestions(spark, folder)).collect()
+    want = {}
+    stop = set(V.KEYWORD_STOP)
+    for seed, keyword, breadth, intent in [(r.seed, r.keyword, r.breadth, r.intent) for r in kw]:
+        want.setdefault(seed, []).append((seed, keyword, breadth, intent))
+    import re
+    groups = {}
+    for seed, rows in want.items():
+        by, n = {}, 0
+        for r in sorted(rows, key=lambda r: (-r[2], r[1])):
+            tokens = [t for t in (re.sub("[^a-z0-9]", "", w) for w in r[1].split()) if len(t) > 2 and t not in stop]
+            hits = {}
+            for t in tokens:
+                for c in by.get(t, ()):
+                    hits[c] = hits.get(c, 0) + 1
+            best = max(hits, key=lambda c: (hits[c], -c)) if hits else None
+            if best is None or hits[best] / len(tokens) < 0.5:
+                best, n = n, n + 1
+            for t in tokens:
+                by.setdefault(t, set()).add(best)
+            groups.setdefault((seed, str(best)), []).append(r)
+    rows = {(s, c): (min((-b, len(k), k) for _, k, b, _ in m)[2], len(m)) for (s, c), m in groups.items()}
+    got = {(r.seed, r.cluster): (r.label, r["size"]) for r in QUERIES["cluster_keywords"](spark, folder).collect()}
+    assert got == rows
+
+
 def test_keyword_map_reads_whole_pages_and_clusters(spark):
     members = spark.createDataFrame([("s", "c", f"term{i:02} word", 20 - i) for i in range(12)], "seed string, cluster string, keyword string, breadth int")
     label = spark.createDataFrame([("s", "c", "term00 word")], "seed string, cluster string, label string")
