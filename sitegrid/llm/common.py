@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..operators.components import link_buckets, star_components
+
+__all__ = ["SPACE", "let", "link_buckets", "row_key", "star_components", "whole", "words_of"]
 
 #: White space of the word rule, and its complement, in Java and Python regex.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -31,87 +33,3 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """``k1, k2``: identifier and hash of the text. Neither is null; rows equal in
     both columns share a key and so share every verdict."""
     return [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("k1"), F.xxhash64(whole(text)).alias("k2")]
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Distributed union-find: ``node, root`` for every end of an edge, root being
-    the least node of its component.
-
-    Alternates the large-star and small-star steps (each an aggregate by node, a
-    join and a distinct, linear in the edges) until the edge set stands still. A
-    hub is never gathered: stars are joins of edges with one minimum per node, and
-    the adaptive planner splits a hub's rows. Lineage is cut by reliable
-    checkpoints each round.
-    """
-    def canonical(df: DataFrame) -> DataFrame:
-        return df.filter("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct()
-
-    def digest(df: DataFrame) -> tuple:
-        r = df.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(hi, lo))").alias("x"), F.sum(F.xxhash64("lo", "hi") % 1000003).alias("s")).first()
-        return tuple(r)
-
-    now = cut_lineage(canonical(edges.select(F.col(a).alias("hi"), F.col(b).alias("lo"))))
-    seen = digest(now)
-    while seen[0]:
-        both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo"))).toDF("node", "next")
-        least = both.groupBy("node").agg(F.min("next").alias("m")).withColumn("m", F.least("m", "node"))
-        # large star: larger neighbours go to the least of the neighbourhood
-        large = canonical(both.filter("next > node").join(least, "node").select(F.col("next").alias("hi"), F.col("m").alias("lo")))
-        down = large.toDF("node", "next")
-        small = down.groupBy("node").agg(F.min("next").alias("m"))
-        # small star: smaller neighbours and the node go to the least of them
-        moved = down.join(small, "node")
-        now = cut_lineage(canonical(moved.select(F.col("next").alias("hi"), F.col("m").alias("lo")).union(
-            moved.select(F.col("node").alias("hi"), F.col("m").alias("lo")))))
-        after = digest(now)
-        if after == seen:
-            break
-        seen = after
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
-        now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
-
-
-def link_buckets(members: DataFrame, linked: Column | None = None, rounds: int = 3, large: int = 1000,
-                 verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Components of nodes that share a bucket and satisfy ``linked``.
-
-    ``members``: bucket, node, home (boolean) and what ``linked`` compares, as
-    columns of aliases ``x`` (a home member) and ``y``; a written table. ``verify``
-    keeps the pairs (a, b) that link where that takes more than the columns. Only pairs
-    with a home member are due. Buckets of up to ``large`` members are compared pair
-    by pair. In larger ones the pairs of a large family are not all visited: in each
-    round, each bucket tries one member as a centre against the rest, and buckets
-    that lie in one component are done; what is left after the rounds is compared
-    pair by pair across components. Either way every due pair that links ends in one
-    component. Returns ``node, root`` for linked nodes only.
-    """
-    same = F.col("x.bucket") == F.col("y.bucket")
-    if linked is not None:
-        same = same & linked
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        a, b = F.col("x.node"), F.col("y.node")
-        found = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-        return found if verify is None else verify(found)
-
-    hot = cut_lineage(members.groupBy("bucket").agg(F.count("*").alias("_n")).filter(F.col("_n") > large).select("bucket"))
-    some = not hot.isEmpty()
-    few = members.join(hot, "bucket", "left_anti") if some else members
-    edges = cut_lineage(ends(few.filter("home").alias("x").join(few.alias("y"), same & (F.col("x.node") != F.col("y.node")))))
-    if not some:
-        return components(edges)
-    many = cut_lineage(members.join(hot, "bucket", "left_semi"))
-    for r in range(rounds + 1):
-        roots = components(edges)
-        at = many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        live = at.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"),
-                                        F.max("home").alias("_home")).filter("_lo <> _hi and _home").select("bucket")
-        at = cut_lineage(at.join(live, "bucket", "left_semi"))
-        if at.isEmpty():
-            return roots
-        x = at.filter("home")
-        if r < rounds:
-            centre = x.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(r))).alias("node"))
-            x = x.join(centre, ["bucket", "node"], "left_semi").distinct()
-        edges = cut_lineage(edges.union(ends(x.alias("x").join(at.alias("y"), same & (F.col("x.root") != F.col("y.root"))))))
-    return components(edges)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage_table
-from .common import components
+from .common import star_components
 
 LEAST = 0.98
 TABLES, PROBES = 10, 3
@@ -184,7 +184,7 @@ def group(vectors: DataFrame, least: float = LEAST, vec_id: str = "vec_id", embe
     found = stage_table(met.select("cell", "sub", "tab", "me", "cross", "label", "node", "copies", "unit", "cells")
                         .mapInPandas(_compare(least), "node long, links long, root long"))
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = components(found.select("node", "root"), "node", "root")
+    roots = star_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     label_of = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = (named.join(label_of, "root").join(counted, "node", "left")

@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, stage_table
@@ -98,10 +98,18 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, n, tok: the distinct shingles of each line, hashed, and their number."""
+    for b in batches:
+        for node, s in zip(b.column("node").to_pylist(), b.column("s").to_pylist(), strict=True):
+            h = np.unique(np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) for x in _shingles(s)], np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), node)), pa.array(np.full(len(h), len(h), np.int32)), pa.array(h)], ["node", "n", "tok"])
+
+
 def _banded(docs: DataFrame) -> DataFrame:
     """bucket, node for the lines of ``docs`` (lowered): each task sends a line once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent = np.zeros(0, np.int64)
+        sent: set[int] = set()
         for b in batches:
             texts, held, size = [], [], 0
             column = b.column("lowered")
@@ -117,9 +125,9 @@ def _banded(docs: DataFrame) -> DataFrame:
                 minima, some = signatures(t)
                 _, first = np.unique(name, return_index=True)
                 first = first[some[first]]
-                first = first[~np.isin(name[first], sent)]
-                if len(sent) < 1 << 22:  # beyond, lines may be sent again
-                    sent = np.concatenate([sent, name[first]])
+                first = first[[x not in sent for x in name[first].tolist()]] if len(first) else first
+                if len(sent) < 1 << 20:  # beyond, lines may be sent again
+                    sent.update(name[first].tolist())
                 band = _bands(minima[first])
                 yield pa.RecordBatch.from_arrays([pa.array(band.reshape(-1)), pa.array(np.repeat(name[first], BANDS))], ["bucket", "node"])
     return docs.mapInArrow(run, "bucket long, node long")
@@ -133,7 +141,8 @@ def dedupe_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     the line) before anything is compared, and a task sends a line's bands once. The
     texts of lines that share a band with another are fetched by key and verified by
     exact Jaccard similarity; a large family is linked through centres, so its pairs
-    are not all visited. ``kept`` is true for the first line, by doc_id and place, of
+    are not all visited, and lines that share a band without being alike are parted by
+    their rarest shingles. ``kept`` is true for the first line, by doc_id and place, of
     each component. Null text has no lines and blank lines are no members; documents
     that repeat in doc_id and text share their verdict.
     """
@@ -161,7 +170,20 @@ def dedupe_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         return both.select("a", "b", "ta", "tb").mapInArrow(near, "a long, b long")
 
-    roots = link_buckets(members, large=64, verify=verify)
+    def refine(nodes: DataFrame) -> tuple[DataFrame, Column]:
+        """Buckets of the lines left in crowded bands, by exact prefix filtering: of two
+        lines at the threshold, one of the rarest shingles of each, more than 1 - least of
+        them, is common to both. A passage that many lines share is not among these."""
+        tok = stage_table(texts.join(nodes, "node").mapInArrow(_listed, "node long, n int, tok long"))
+        shared = tok.groupBy("tok").agg(F.count("*").alias("df")).filter("df > 1")
+        keep = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1
+        own = F.col("n") - F.size("o")  # held by no other line: first in order, met by none
+        rare = tok.join(shared, "tok").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"), F.max("n").alias("n"))
+        narrow = rare.select("node", "n", F.explode(F.slice("o", F.lit(1), F.greatest(keep - own, F.lit(0)).cast("int"))).alias("t"))
+        alike = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least) - F.lit(1e-9)
+        return stage_table(narrow.select(F.col("t.tok").alias("bucket"), "node", F.lit(True).alias("home"), "n")), alike
+
+    roots = link_buckets(members, large=64, verify=verify, refine=refine)
     first = lines.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("k1", "line", "k2")).alias("at"))
     named = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = named.groupBy("root").agg(F.min("at").alias("keep"), F.sum("n").alias("total")).filter("total > 1")

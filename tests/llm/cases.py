@@ -1,7 +1,10 @@
 """Small documents with every awkward case, and plain definitions to hold results against."""
 
 import random
-from collections import defaultdict
+
+from tests.graphs import roots
+
+__all__ = ["awkward", "frame", "roots"]
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k1 string, node string"
 
@@ -26,23 +29,3 @@ def awkward(seed=3, n=60):
 
 def frame(spark, rows=None):
     return spark.createDataFrame(awkward() if rows is None else rows, SCHEMA)
-
-
-def roots(nodes, links):
-    """Least reachable node of each node."""
-    near = defaultdict(set)
-    for a, b in links:
-        near[a].add(b)
-        near[b].add(a)
-    out = {}
-    for n in sorted(nodes):
-        if n in out:
-            continue
-        todo, seen = [n], {n}
-        while todo:
-            for m in near[todo.pop()] - seen:
-                seen.add(m)
-                todo.append(m)
-        for m in seen:
-            out[m] = n
-    return out
