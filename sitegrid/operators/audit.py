@@ -332,10 +332,21 @@ def graph_hits(pages: DataFrame, links: DataFrame, crawls: DataFrame | None, mod
         _hits(full.filter(nav_only), "nav-only-links", weight=F.col("inbound_count")))
 
 
-def near_duplicate_hits(pages: DataFrame, threshold: float = 0.85) -> DataFrame:
-    rows = pages.filter(is_indexable() & (F.col("word_count") > 120)).select(
+def near_duplicate_rows(pages: DataFrame) -> DataFrame:
+    return pages.filter(is_indexable() & (F.col("word_count") > 120)).select(
         *KEY, "url", "content_hash", X.whole_shingles(F.col("body_text")).alias("shingles"))
-    pairs = dedupe.near_duplicates(rows, threshold)
+
+
+def near_duplicate_families(pages: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Hits of the rule: one per content but the representative of its family."""
+    found = dedupe.near_duplicate_families(near_duplicate_rows(pages), threshold).filter(F.col("url") != F.col("representative"))
+    return _hits(found, "near-duplicate", "url", F.concat_ws(" ", X.half_up(F.col("score") * 100).cast("string"),
+                                                             F.col("representative")), F.col("copies"))
+
+
+def near_duplicate_hits(pages: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Hits by pair, for sites whose families are small."""
+    pairs = dedupe.near_duplicates(near_duplicate_rows(pages), threshold)
     return _hits(pairs, "near-duplicate", "url_a", F.concat_ws(" ", X.half_up(F.col("score") * 100).cast("string"),
                                                                F.col("url_b")),
                  F.col("copies_a") * F.col("copies_b"))
@@ -384,7 +395,7 @@ def rule_hits(t: AuditInput, extra: list[PageRule] = (), near_duplicates: bool =
               link_hits(pages, links), canonical_hits(pages), hreflang_hits(pages),
               graph_hits(pages, links, t.crawls, t.orphan_mode)]
     if near_duplicates:
-        single.append(near_duplicate_hits(pages))
+        single.append(near_duplicate_families(pages))
     if t.sitemap is not None:
         single.append(sitemap_hits(pages, t.sitemap))
     if t.crawls is not None:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import urls as U
-from ..session import cut_lineage
+from ..session import cut_lineage, stage_table
+from .components import link_buckets
 
 KEY = ["run_id", "site"]
 BLOCK = 512
@@ -50,6 +51,55 @@ def content_groups(rows: DataFrame) -> DataFrame:
                 F.min_by("sh", "url").alias("sh"), F.count("*").alias("copies"), F.min("url").alias("url")))
 
 
+def _prefixes(groups: DataFrame, threshold: float) -> DataFrame:
+    """run_id, site, content_hash, n, p, t (df, tok): the shingles of each content at its
+    first places in order of rarity, of which two sets that reach the threshold share one."""
+    tokens = groups.select(*KEY, "content_hash", "n", F.explode("sh").alias("tok"))
+    # a shingle held once ranks before all others and matches nothing, so it only
+    # counts towards the prefix; shared shingles alone are joined and ordered
+    shared = tokens.groupBy(*KEY, "tok").agg(F.count("*").alias("df")).filter("df > 1")
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
+    own = F.col("n") - F.size("o")
+    return (tokens.join(shared, [*KEY, "tok"])
+            .groupBy(*KEY, "content_hash").agg(
+                F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"), F.max("n").alias("n"))
+            .select(*KEY, "content_hash", "n", own.alias("own"), F.posexplode(F.slice(
+                F.col("o"), F.lit(1), F.greatest(keep - own, F.lit(0)).cast("int"))).alias("q", "t"))
+            .withColumn("p", F.col("own") + F.col("q")))
+
+
+def near_duplicate_families(rows: DataFrame, threshold: float = 0.85, large: int = 64) -> DataFrame:
+    """run_id, site, url, content_hash, copies, representative, score, family_size: every
+    content that reaches the threshold with another, in families joined by such pairs.
+
+    One row per content, however large the family: the representative is the content
+    with the least address, ``score`` the Jaccard similarity with it (below the
+    threshold where a chain of pairs leads to it), ``family_size`` the number of
+    contents. The same exact prefix filter as for pairs brings contents together; a
+    shingle held by more than ``large`` contents compares them with a few centres first,
+    and what those centres join is not compared again. ``rows`` as for
+    ``near_duplicates``, which lists the pairs themselves.
+    """
+    node = F.concat_ws("\u0001", "run_id", "site", "content_hash")
+    groups = stage_table(content_groups(rows).withColumns({"n": F.size("sh"), "node": node}))
+    members = stage_table(_prefixes(groups, threshold).select(
+        F.xxhash64(*KEY, "t.tok").alias("bucket"), node.alias("node"), F.lit(True).alias("home"), "n", "p"))
+    lo, hi = F.least("x.n", "y.n"), F.greatest("x.n", "y.n")
+    sets = groups.select("node", "sh")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        return both.filter(X.jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b")
+
+    roots = link_buckets(members, lo >= hi * F.lit(threshold) - F.lit(1e-9), large=large, verify=verify)
+    named = stage_table(groups.select("node", *KEY, "url", "content_hash", "copies").join(roots, "node"))
+    heads = named.groupBy("root").agg(F.min(F.struct("url", "node")).alias("head"), F.count("*").alias("family_size"))
+    placed = (named.join(heads, "root").join(sets, "node")
+              .join(sets.select(F.col("node").alias("_head"), F.col("sh").alias("_sh")), F.col("head.node") == F.col("_head")))
+    return placed.select(*KEY, "url", "content_hash", "copies", F.col("head.url").alias("representative"),
+                         X.jaccard(F.col("sh"), F.col("_sh")).alias("score"), "family_size")
+
+
 def near_duplicates(rows: DataFrame, threshold: float = 0.85, block: int = BLOCK) -> DataFrame:
     """Pairs of distinct contents whose shingle sets reach the Jaccard threshold.
 
@@ -62,18 +112,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.85, block: int = BLOCK
     it whole and no pair is lost.
     """
     groups = cut_lineage(content_groups(rows).withColumn("n", F.size("sh")))
-    tokens = groups.select(*KEY, "content_hash", "n", F.explode("sh").alias("tok"))
-    # a shingle held once ranks before all others and matches nothing, so it only
-    # counts towards the prefix; shared shingles alone are joined and ordered
-    shared = tokens.groupBy(*KEY, "tok").agg(F.count("*").alias("df")).filter("df > 1")
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1
-    own = F.col("n") - F.size("o")
-    ordered = (tokens.join(shared, [*KEY, "tok"])
-               .groupBy(*KEY, "content_hash").agg(
-                   F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"), F.max("n").alias("n"))
-               .select(*KEY, "content_hash", "n", own.alias("own"), F.posexplode(F.slice(
-                   F.col("o"), F.lit(1), F.greatest(keep - own, F.lit(0)).cast("int"))).alias("q", "t"))
-               .withColumn("p", F.col("own") + F.col("q")))
+    ordered = _prefixes(groups, threshold)
     blocks = F.ceil(F.col("t.df") / F.lit(block)).cast("int")
     mine = F.pmod(F.xxhash64("content_hash"), blocks).cast("int")
     cells = F.when(F.col("b") == 1, F.array(F.lit(0))).otherwise(F.transform(
@@ -108,17 +147,3 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.85, block: int = BLOCK
         *KEY, F.least("url_a", "url_b").alias("url_a"), F.greatest("url_a", "url_b").alias("url_b"), "score",
         F.when(first, F.col("copies_a")).otherwise(F.col("copies_b")).alias("copies_a"),
         F.when(second, F.col("copies_a")).otherwise(F.col("copies_b")).alias("copies_b"))
-
-
-def near_duplicates_minhash(rows: DataFrame, threshold: float = 0.85, hashes: int = 64) -> DataFrame:
-    """Approximate mode for cross-site scale: MinHash bands, then the exact score."""
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-    docs = rows.filter(F.size("shingles") > 0).select("url", "shingles")
-    tf = HashingTF(inputCol="shingles", outputCol="features", numFeatures=1 << 20, binary=True).transform(docs)
-    model = MinHashLSH(inputCol="features", outputCol="bands", numHashTables=hashes, seed=7).fit(tf)
-    near = model.approxSimilarityJoin(tf, tf, 1 - threshold, distCol="gap")
-    return near.filter(F.col("datasetA.url") < F.col("datasetB.url")).select(
-        F.col("datasetA.url").alias("url_a"), F.col("datasetB.url").alias("url_b"),
-        X.jaccard(F.col("datasetA.shingles"), F.col("datasetB.shingles")).alias("score")).filter(
-        F.col("score") >= threshold)
-

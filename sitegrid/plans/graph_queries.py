@@ -14,7 +14,7 @@ from ..sources import robots as SR
 from ..sources import sinks
 from . import adapters as A
 from .registry import query
-from .sql import GRAPH, rx, text_of
+from .sql import GRAPH, families, rx, text_of
 
 
 @query("inbound_links", f"""WITH {GRAPH} SELECT site, resolved AS url, count(*) AS inbound_count, count(*) FILTER (WHERE NOT in_nav AND NOT in_footer) AS inbound_body_count,
@@ -369,3 +369,10 @@ def shingles(spark, sf):
 def near_duplicates(spark, sf):
     rows = docs(spark, sf).withColumn("shingles", X.shingles(F.col("text")))
     return dedupe.near_duplicates(rows).select("site", "url_a", "url_b", F.round("score", 6).alias("score"), "copies_a", "copies_b")
+
+
+@query("near_duplicate_families", f"""WITH RECURSIVE {_DOCS}, {families("SELECT site, url, chash, w FROM dd")}
+  SELECT site, url, copies, representative, family_size, round(score, 6) AS score FROM ndf""")
+def near_duplicate_families(spark, sf):
+    rows = docs(spark, sf).withColumn("shingles", X.whole_shingles(F.col("text")))
+    return dedupe.near_duplicate_families(rows).select("site", "url", "copies", "representative", "family_size", F.round("score", 6).alias("score"))

@@ -127,6 +127,7 @@ ph AS (SELECT site, phone, count(*) AS n, min(url) AS url FROM (SELECT DISTINCT
 al AS ({_RULE_HITS.replace(', i FROM', ', status >= 500 AS esc FROM')}
   UNION ALL SELECT site, rule, url, FALSE FROM gs
   UNION ALL SELECT site, rule, url, FALSE FROM smh
+  UNION ALL SELECT site, 'near-duplicate', url, FALSE FROM ndf WHERE url <> representative
   UNION ALL SELECT site, 'nap-inconsistent', url, FALSE FROM ph
   UNION ALL SELECT site, 'no-preconnect', min(url), FALSE FROM pg WHERE is_html GROUP BY site HAVING count(*) > 2
   UNION ALL SELECT site, 'canonical-cross', url, FALSE FROM pg WHERE idx AND canonical IS NOT NULL AND canonical <> url AND NOT bloat
@@ -152,7 +153,8 @@ fd AS (SELECT a.site, a.rule, CASE WHEN a.rule = 'noindex-present' AND count(*)
 def _audit_sql(tail: str) -> str:
     from .rule_catalog import rows
     values = ", ".join(f"('{r[0]}', '{r[1]}', '{r[2]}', {r[3]})" for r in rows())
-    return f"WITH {PAGES}, {LINKS}, {CRAWLS}, {SITEMAP}, {_GROUPS}, {_SM}, " + _AUDIT.replace(
+    near = S.families("SELECT site, url, chash, list_filter(string_split(regexp_replace(lower(body), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM pg WHERE idx AND words > 120")
+    return f"WITH RECURSIVE {PAGES}, {LINKS}, {CRAWLS}, {SITEMAP}, {_GROUPS}, {_SM}, {near}, " + _AUDIT.replace(
         "__CATALOG__", values).strip() + " " + tail
 
 
@@ -161,7 +163,7 @@ def audit_input(spark, sf) -> D.AuditInput:
 
 
 def _findings(spark, sf):
-    return D.run_audit(audit_input(spark, sf), near_duplicates=False)
+    return D.run_audit(audit_input(spark, sf))
 
 
 @query("audit_findings", _audit_sql("SELECT site, rule, severity, stage, n_urls, example_url FROM fd"))

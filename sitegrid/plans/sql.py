@@ -160,3 +160,19 @@ dc AS (SELECT lower(p_brand) AS site, (CASE p_partkey % 9 WHEN 0 THEN 'best ' WH
 def intent_case(x: str) -> str:
     whens = " ".join(f"WHEN regexp_matches(' ' || lower({x}) || ' ', {rx(p)}) THEN '{i}'" for i, p in V.KEYWORD_INTENTS)
     return f"CASE {whens} ELSE 'unclear' END"
+
+
+def families(rows: str, least: float = 0.85) -> str:
+    """CTEs over ``rows`` (site, url, chash, w: words): ``ndf`` with one row per content
+    that has a near copy. Needs WITH RECURSIVE."""
+    return f"""nr AS ({rows}),
+nw AS (SELECT site, chash, min(url) AS url, count(*) AS copies, min_by(w, url) AS w FROM nr WHERE len(w) >= 5 AND site IS NOT NULL GROUP BY site, chash),
+ns AS (SELECT site, chash, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))) AS x FROM nw),
+nz AS (SELECT site, chash, count(*) AS n FROM ns GROUP BY site, chash),
+nv AS (SELECT a.site, a.chash AS a, b.chash AS b, count(*) AS i FROM ns a JOIN ns b ON a.site = b.site AND a.x = b.x AND a.chash <> b.chash GROUP BY ALL),
+nj AS (SELECT nv.site, a, b, i::DOUBLE / (p.n + q.n - i) AS score FROM nv JOIN nz p ON p.site = nv.site AND p.chash = a JOIN nz q ON q.site = nv.site AND q.chash = b),
+nc AS (SELECT site, a AS chash, a AS seen FROM nj WHERE score >= {least}::DOUBLE UNION SELECT nc.site, nc.chash, nj.b FROM nc JOIN nj ON nj.site = nc.site AND nj.a = nc.seen AND score >= {least}::DOUBLE),
+nf AS (SELECT nc.site, nc.chash, min(nw.url) AS representative, count(*) AS family_size FROM nc JOIN nw ON nw.site = nc.site AND nw.chash = nc.seen GROUP BY nc.site, nc.chash),
+ndf AS (SELECT nf.site, nw.url, nw.chash, nw.copies, representative, family_size, CASE WHEN nw.url = representative THEN 1.0::DOUBLE ELSE coalesce(nj.score, 0) END AS score
+  FROM nf JOIN nw ON nw.site = nf.site AND nw.chash = nf.chash JOIN nw AS h ON h.site = nf.site AND h.url = representative
+  LEFT JOIN nj ON nj.site = nf.site AND nj.a = nf.chash AND nj.b = h.chash)"""

@@ -10,6 +10,8 @@ from sitegrid.operators.ranking import numbered, running, top_per_key
 from sitegrid.sources import robots as SR
 from sitegrid.sources.pages import with_shingles
 
+from .graphs import roots
+
 LINK = "run_id string, site string, from_url string, pos int, resolved string, anchor string, nofollow boolean, in_nav boolean, in_footer boolean"
 
 
@@ -101,6 +103,44 @@ def test_near_duplicate_rule_reads_whole_texts(spark):
     assert {tuple(r) for r in got} == want
 
 
+def test_near_duplicate_families_are_linear(spark):
+    rnd = random.Random(5)
+    base = [f"s{i}" for i in range(60)]
+    rows, sets = [], {}
+    for d in range(400):  # one family around a base, a chain, copies, strays
+        s = list(base)
+        if d >= 300:
+            s = [f"c{(d - 300) * 4 + i}" for i in range(60)] if d < 360 else [f"z{d}_{i}" for i in range(20)] + base[:20]
+        elif d:
+            s[rnd.randrange(60)] = f"x{d}"
+        rows.append(("r", "s" if d % 50 else "other", f"u{d:03}", f"h{d if d % 9 else 0}", s))
+    rows += [("r", "s", "v1", "e1", []), ("r", None, "v2", "e2", base), (None, "s", "v3", "e3", base)]
+    df = spark.createDataFrame(rows, "run_id string, site string, url string, content_hash string, shingles array<string>")
+    for r, site, u, h, s in rows:
+        if s and site and r:
+            sets.setdefault((site, h), (u, set(s), []))[2].append(u)
+    keys = sorted(sets)
+
+    def score(a, b):
+        return len(sets[a][1] & sets[b][1]) / len(sets[a][1] | sets[b][1])
+
+    links = [(a, b) for a in keys for b in keys if a < b and a[0] == b[0] and score(a, b) >= 0.85]
+    root = roots({n for e in links for n in e}, links)
+    families = {}
+    for n, k in root.items():
+        families.setdefault(k, []).append(n)
+    want = {}
+    for members in families.values():
+        head = min(members, key=lambda n: sets[n][0])
+        for n in members:
+            want[n[0], sets[n][0]] = (len(sets[n][2]), sets[head][0], round(score(n, head), 9), len(members))
+    assert len(links) > 5000 and max(len(m) for m in families.values()) > 200
+    for large in (4, 1000):
+        got = dedupe.near_duplicate_families(df, 0.85, large).collect()
+        assert {(r.site, r.url): (r.copies, r.representative, round(r.score, 9), r.family_size) for r in got} == want and len(got) == len(want)
+    assert dedupe.near_duplicate_families(df.limit(0)).count() == 0
+
+
 def test_redirect_map_equals_all_pairs_for_any_split(spark):
     rnd = random.Random(11)
     words = ["red", "blue", "shoes", "boots", "sale", "kids", "men", "guide"]
