@@ -145,7 +145,8 @@ def log_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def log_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """The hits as raw log lines: one file per format, some lines broken."""
+    """The hits as raw log lines: one file per format in splits of a thousand events, some
+    lines broken, the first one of them included."""
     e = table(spark, sf, "events")
     n = F.col("event_id")
     fmt = _when((n % 4 == 0, "combined"), (n % 4 == 1, "combined-vhost"), (n % 4 == 2, "json"), otherwise="iis")
@@ -163,9 +164,9 @@ def log_lines(spark: SparkSession, sf: str) -> DataFrame:
     line = (F.when(n % 50 == 0, F.lit("broken line")).when(fmt == "combined", combined)
             .when(fmt == "combined-vhost", F.concat(F.lit("www.example.com "), combined)).when(fmt == "json", js)
             .otherwise(iis))
-    rows = e.select(fmt.alias("file"), n.alias("at_block"), line.alias("line"))
-    head = e.filter(n % 4 == 3).groupBy(F.lit("iis").alias("file")).agg(F.lit(-1).cast("bigint").alias("at_block")).select(
-        "file", "at_block", F.lit("#Fields: date time c-ip cs-method cs-uri-stem cs-uri-query sc-status sc-bytes "
+    rows = e.select(fmt.alias("file"), (n - n % 1000).alias("at_block"), n.alias("i"), line.alias("line"))
+    head = e.filter(n % 4 == 3).groupBy(F.lit("iis").alias("file")).agg(F.lit(-1).cast("bigint").alias("i")).select(
+        "file", F.col("i").alias("at_block"), "i", F.lit("#Fields: date time c-ip cs-method cs-uri-stem cs-uri-query sc-status sc-bytes "
                                   "cs(User-Agent)").alias("line"))
     return rows.unionByName(head)
 

@@ -106,18 +106,14 @@ _FILES = "(['combined', 'combined-vhost', 'json', 'iis'])[event_id % 4 + 1]"
 
 @query("detect_log_format", f"SELECT DISTINCT {_FILES} AS file, {_FILES} AS format FROM events")
 def detect_log_format(spark, sf):
-    lines = A.log_lines(spark, sf)
-    # the very first combined line is broken on purpose; a real head is intact
-    return SL.detect_log_format(lines.filter(F.col("line") != "broken line"))
+    return SL.detect_log_format(A.log_lines(spark, sf))
 
 
 @query("parse_access_log", f"""SELECT {_FILES} AS file, '10.0.0.' || user_id AS ip, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "at", 'GET' AS method,
   '/a/' || json_extract_string(props, '$.k') AS url, 200 AS status, CAST(floor(value) AS BIGINT) AS bytes, 'Googlebot/2.1' AS ua FROM events WHERE event_id % 50 <> 0""")
 def parse_access_log(spark, sf):
     lines = A.log_lines(spark, sf)
-    formats = spark.createDataFrame([(f, f) for f in ("combined", "combined-vhost", "json", "iis")],
-                                    "file string, format string")
-    h = SL.hits_of(SL.parse_log_lines(lines, F.broadcast(formats)))
+    h = SL.hits_of(SL.parse_log_lines(lines, SL.detect_log_format(lines)))
     return h.select("file", "ip", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"), "method", "url", "status",
                     "bytes", "ua")
 
@@ -126,6 +122,4 @@ def parse_access_log(spark, sf):
   count(*) FILTER (WHERE event_id % 50 = 0) AS skipped FROM events GROUP BY ALL""")
 def parse_totals(spark, sf):
     lines = A.log_lines(spark, sf)
-    formats = spark.createDataFrame([(f, f) for f in ("combined", "combined-vhost", "json", "iis")],
-                                    "file string, format string")
-    return SL.parse_totals(SL.parse_log_lines(lines, F.broadcast(formats))).drop("format")
+    return SL.parse_totals(SL.parse_log_lines(lines, SL.detect_log_format(lines))).drop("format")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions.text import bind
+from ..session import stage_table
 
 _JSON = ("url string, uri string, request string, ClientRequestURI string, path string, ip string, "
          "remote_addr string, ClientIP string, time string, timestamp string, "
@@ -29,20 +36,60 @@ def looks_combined(line: Column) -> Column:
     return line.rlike(V.COMBINED_LINE)
 
 
-def detect_log_format(lines: DataFrame, sample: int = 40) -> DataFrame:
-    """file, format: from the shape of its first non-empty lines."""
-    ordered = lines.withColumn("i", F.monotonically_increasing_id())
-    first = ordered.withColumn("n", F.row_number().over(
-        W.partitionBy("file").orderBy("at_block", "i"))).filter(F.col("n") <= sample)
-    plain = F.when(~F.col("line").startswith("#"), F.struct("n", "line"))
-    per = first.groupBy("file").agg(
-        F.bool_or(F.col("line").rlike("(?i)^#Fields:|^#Software: Microsoft")).alias("iis"),
-        F.min(plain)["line"].alias("head"))
-    return per.select("file", F.when(F.col("iis"), "iis").when(F.col("head").isNull(), "empty")
-                      .when(F.col("head").startswith("{"), "json")
-                      .when(looks_combined(F.col("head")), "combined")
-                      .when(looks_combined(F.regexp_replace("head", r"^\S+\s+", "")), "combined-vhost")
-                      .otherwise("unknown").alias("format"))
+#: Shapes by which a content line tells its format, in the order they are tried.
+SHAPES = ("json", "combined", "combined-vhost")
+_HEADER = "(?i)^#Fields:"
+
+
+def line_shape(line: Column) -> Column:
+    return (F.when(line.startswith("{"), "json").when(looks_combined(line), "combined")
+            .when(looks_combined(F.regexp_replace(line, r"^\S+\s+", "")), "combined-vhost"))
+
+
+def shape_of(line: str) -> str | None:
+    """``line_shape`` of one line."""
+    if line.startswith("{"):
+        return "json"
+    if re.match(V.COMBINED_LINE, line):
+        return "combined"
+    return "combined-vhost" if re.match(V.COMBINED_LINE, re.sub(r"^\S+\s+", "", line)) else None
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` with their order within a split as column i."""
+    return lines if "i" in lines.columns else lines.withColumn("i", F.monotonically_increasing_id())
+
+
+def split_heads(lines: DataFrame) -> DataFrame:
+    """One row per split (file, at_block): its first content line, its last ``#Fields:``
+    line and whether a line marks it as IIS. All partial aggregates of one scan, which
+    reads no line twice and sends one row per split and task."""
+    at = F.struct("i", "line")
+    line = F.col("line")
+    return numbered_lines(lines).groupBy("file", "at_block").agg(
+        F.min(F.when(~line.startswith("#"), at)).alias("first"),
+        F.max(F.when(line.rlike(_HEADER), at))["line"].alias("header"),
+        F.bool_or(line.rlike("(?i)^#Fields:|^#Software: Microsoft")).alias("iis"))
+
+
+def _formats(heads: DataFrame, lines: DataFrame) -> DataFrame:
+    plain = F.when(F.col("first").isNotNull(), F.struct("at_block", "first"))
+    per = heads.groupBy("file").agg(F.bool_or("iis").alias("iis"), F.min(plain)["first"]["line"].alias("head"))
+    known = per.select("file", F.when(F.col("iis"), "iis").when(F.col("head").isNull(), "empty")
+                       .otherwise(line_shape(F.col("head"))).alias("format"))
+    odd = known.filter(F.col("format").isNull()).select("file")
+    # files whose first line fits nothing: the shape that most of their lines have
+    seen = lines.join(odd, "file", "left_semi").filter(~F.col("line").startswith("#")).groupBy("file").agg(
+        *[F.count_if(line_shape(F.col("line")) == s).alias(s) for s in SHAPES])
+    most = F.greatest(*[F.col(f"`{s}`") for s in SHAPES])
+    voted = seen.select("file", F.coalesce(*[F.when((most > 0) & (F.col(f"`{s}`") == most), s) for s in SHAPES]).alias("voted"))
+    return known.join(voted, "file", "left").select("file", F.coalesce("format", "voted", F.lit("unknown")).alias("format"))
+
+
+def detect_log_format(lines: DataFrame) -> DataFrame:
+    """file, format: IIS where any line says so, else the shape of the first content
+    line; where that is broken, the shape of most lines."""
+    return _formats(stage_table(split_heads(lines)), lines)
 
 
 def _clf_time(stamp: Column, tz: str) -> Column:
@@ -121,35 +168,80 @@ def _iis_fields(parts: Column, fields: Column) -> Column:
         ms=F.nullif(_number(get("time-taken")), F.lit(0).cast("bigint"))))
 
 
-def parse_log_lines(lines: DataFrame, formats: DataFrame | str, tz: str = "ignore") -> DataFrame:
+def carried_headers(heads: DataFrame) -> DataFrame:
+    """file, at_block, before: the nearest ``#Fields:`` line above each split. The last
+    header of every split is carried on over the splits of its file, of which there is
+    one row each."""
+    above = W.partitionBy("file").orderBy("at_block").rowsBetween(W.unboundedPreceding, -1)
+    return heads.select("file", "at_block", F.last("header", ignorenulls=True).over(above).alias("before"))
+
+
+def _within_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``header``: the nearest header line above within the split. Lines of a split
+    come in order, in one task; only headers and changes of split are looked at singly."""
+    split, header = None, None
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        files, blocks, lines = b.column("file"), b.column("at_block"), b.column("line")
+        mark = pc.match_substring_regex(lines, _HEADER).to_numpy(zero_copy_only=False).astype(bool)
+        new = np.ones(n, bool)
+        for c in (files, blocks):
+            new[1:] &= pc.equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False).astype(bool)
+        new[1:] = ~new[1:]
+        event = np.nonzero(mark | new)[0]
+        in_force = []
+        for i in event.tolist():
+            at = (files[i].as_py(), blocks[i].as_py())
+            if at != split:
+                split, header = at, None
+            if mark[i]:
+                header = lines[i].as_py()
+            in_force.append(header)
+        which = np.cumsum(mark | new) - 1
+        yield pa.RecordBatch.from_arrays([files, blocks, lines, pa.array(in_force, pa.string()).take(pa.array(which))],
+                                         ["file", "at_block", "line", "header"])
+
+
+def with_headers(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """``lines`` with the columns of ``splits`` (file, at_block, before, ...) and ``fields``,
+    the column names in force: those of the nearest header above in the split, else those
+    carried from the splits before. Work is linear in the lines, however often a file
+    repeats its header, and no key holds more than a split. Lines that come with a place
+    ``i`` are put in that order first; those of ``read_log_lines`` are read in order."""
+    if "i" in lines.columns:
+        lines = lines.repartition("file", "at_block").sortWithinPartitions("file", "at_block", "i")
+    near = lines.select("file", F.col("at_block").cast("long").alias("at_block"), "line").mapInArrow(
+        _within_splits, "file string, at_block long, line string, header string")
+    names = F.split(F.trim(F.regexp_replace(F.coalesce("header", "before"), _HEADER, "")), r"\s+")
+    return near.join(splits, ["file", "at_block"]).withColumn("fields", names).drop("header", "before", "at_block")
+
+
+def parse_log_lines(lines: DataFrame, formats: DataFrame | str, tz: str = "ignore", heads: DataFrame | None = None) -> DataFrame:
     """Every content line with its parsed hit (NULL when malformed).
 
     ``formats`` is one format for all files or the table of ``detect_log_format``
     (one row per file). An IIS line is read under the nearest ``#Fields:`` line before
     it, by block and place; a file has a new one at each restart of the server.
+    ``heads`` is the table of ``split_heads`` where it is known already.
     """
-    needs_header = not isinstance(formats, str) or formats == "iis"
-    if needs_header and "i" not in lines.columns:
-        lines = lines.withColumn("i", F.monotonically_increasing_id())
-    if isinstance(formats, str):
-        tagged = lines.withColumn("format", F.lit(formats))
+    if isinstance(formats, str) and formats != "iis":
+        tagged = lines.select("file", "line", F.lit(formats).alias("format"), F.array().cast("array<string>").alias("fields"))
     else:
-        tagged = lines.join(formats, "file")
-    if needs_header:
-        names = F.split(F.trim(F.regexp_replace("line", "(?i)^#Fields:", "")), r"\s+")
-        header = lines.filter(F.col("line").rlike("(?i)^#Fields:")).groupBy("file").agg(F.array_sort(F.collect_list(
-            F.struct("at_block", "i", names.alias("fields")))).alias("headers"))
-        above = F.filter("headers", lambda h: (h["at_block"] < F.col("at_block")) | (
-            (h["at_block"] == F.col("at_block")) & (h["i"] < F.col("i"))))
-        tagged = tagged.join(header, "file", "left").withColumn("fields", F.element_at(above, -1)["fields"])
-    else:
-        tagged = tagged.withColumn("fields", F.array().cast("array<string>"))
-    line = F.col("line")
-    hit = (F.when(F.col("format") == "iis", iis_hit(line, F.col("fields")))
-           .when(F.col("format") == "json", json_hit(line))
-           .when(F.col("format") == "combined-vhost", combined_hit(F.regexp_replace(line, r"^\S+\s+", ""), tz))
+        splits = carried_headers(stage_table(split_heads(lines)) if heads is None else heads).withColumn("at_block", F.col("at_block").cast("long"))
+        named = splits.withColumn("format", F.lit("iis")) if isinstance(formats, str) else splits.join(formats, "file")
+        tagged = with_headers(lines, named)
+    return parse_tagged(tagged, tz)
+
+
+def parse_tagged(tagged: DataFrame, tz: str) -> DataFrame:
+    """Hits of lines with ``format`` and ``fields`` (file, format, line, hit; NULL when malformed)."""
+    line, format = F.col("line"), F.col("format")
+    hit = (F.when(format == "iis", iis_hit(line, F.col("fields"))).when(format == "json", json_hit(line))
+           .when(format == "combined-vhost", combined_hit(F.regexp_replace(line, r"^\S+\s+", ""), tz))
            .otherwise(combined_hit(line, tz)))
-    content = ~((F.col("format") == "iis") & line.startswith("#"))
+    content = ~((format == "iis") & line.startswith("#"))
     return tagged.filter(content).select("file", "format", "line", hit.alias("hit"))
 
 
@@ -167,5 +259,6 @@ def read_access_logs(spark: SparkSession, paths: str | list[str], format: str |
                      tz: str = "ignore") -> tuple[DataFrame, DataFrame]:
     """(hits, totals per file)."""
     lines = read_log_lines(spark, paths)
-    parsed = parse_log_lines(lines, format or detect_log_format(lines), tz)
+    heads = stage_table(split_heads(lines))
+    parsed = parse_log_lines(lines, format or _formats(heads, lines), tz, heads)
     return hits_of(parsed), parse_totals(parsed)

@@ -5,26 +5,101 @@ from __future__ import annotations
 from typing import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators import logs as G
-from ..sources.logs import parse_log_lines
+from ..sources.logs import parse_log_lines, parse_tagged, shape_of
 
 
 def stream_log_lines(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
+    """file, at_block, line of the files that arrive in ``folder``."""
     return (spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
-            .select(F.lit("stream").alias("file"), F.lit(0).alias("at_block"), F.trim("value").alias("line"))
+            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at_block"),
+                    F.trim("value").alias("line"))
             .filter(F.col("line") != ""))
 
 
+TAGGED = "file string, format string, line string, header string"
+
+
+class FileHead(StatefulProcessor):
+    """Keeps the format of a file and its last ``#Fields:`` line, and hands them to its
+    lines. ``days``: how long a silent file is remembered, without end if None.
+
+    Lines of one micro-batch are put in order of block and place. A file without a
+    header so far has the shape of its first content line for a format; one that fits
+    nothing is left open until a later line tells.
+    """
+
+    def __init__(self, days: float | None):
+        self.ttl = None if days is None else int(days * 86_400_000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "format string, header string", self.ttl)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        format, header = self.head.get() if self.head.exists() else (None, None)
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["at_block", "place"], kind="stable")
+        headers, formats = [], []
+        for line in frame["line"]:
+            if line[:8].lower() == "#fields:":
+                format, header = "iis", line
+            elif line[:19].lower() == "#software: microsoft":
+                format = "iis"
+            elif format is None and not line.startswith("#"):
+                format = shape_of(line)
+            headers.append(header)
+            formats.append(format or "unknown")
+        self.head.update((format, header))
+        yield pd.DataFrame({"file": key[0], "format": formats, "line": frame["line"].to_numpy(), "header": headers})
+
+    def close(self) -> None:
+        pass
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the place of each line in its task, which reads a split in order."""
+    n = 0
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(range(n, n + b.num_rows), pa.int64())], [*b.schema.names, "place"])
+        n += b.num_rows
+
+
+def stream_tagged_lines(lines: DataFrame, days: float | None = None) -> DataFrame:
+    """file, format, line, fields of a stream of lines: state per file holds its format and
+    header, so a header change or a batch that starts amid a file is read as in one
+    piece. With ``days``, files silent for so long are forgotten; such a query runs batches
+    all the time, so it suits a continuous trigger only. Needs the RocksDB state store."""
+    placed = lines.select("file", F.col("at_block").cast("long").alias("at_block"), "line").mapInArrow(
+        _placed, "file string, at_block long, line string, place long")
+    tagged = placed.groupBy("file").transformWithStateInPandas(
+        FileHead(days), outputStructType=TAGGED, outputMode="Append", timeMode="None" if days is None else "ProcessingTime")
+    names = F.split(F.trim(F.regexp_replace("header", "(?i)^#Fields:", "")), r"\s+")
+    return tagged.select("file", "format", "line", names.alias("fields"))
+
+
+def stream_hits(lines: DataFrame, format: str | None = None, days: float | None = None, tz: str = "ignore") -> DataFrame:
+    """Hits of a stream of lines: of one format, or by file with ``stream_tagged_lines``.
+    The latter is a query of its own: write its rows, and aggregate the table as a stream."""
+    parsed = parse_log_lines(lines, format, tz) if format not in (None, "iis") else parse_tagged(stream_tagged_lines(lines, days), tz)
+    return parsed.filter(F.col("hit").isNotNull()).select("file", "hit.*")
+
+
 def stream_crawl_waste(lines: DataFrame, window: str = "1 hour", slide: str | None = None,
                        watermark: str = "1 hour", format: str = "combined") -> DataFrame:
-    """Waste shares per bot and event-time window; rows later than the watermark
-    are dropped. State holds counters per open window and bot only."""
-    parsed = parse_log_lines(lines, format)
-    return windowed_waste(parsed.filter(F.col("hit").isNotNull()).select("hit.*"), window, slide, watermark)
+    """Waste shares per bot and event-time window of lines of one format; rows later than
+    the watermark are dropped and counted (``late_rows``). State holds counters per open
+    window and bot only."""
+    return windowed_waste(stream_hits(lines, format), window, slide, watermark)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """What came after its window had closed, over the batches that the query still reports:
+    rows of one task, window and bot are summed before they are found late, and count once."""
+    return sum(op.numRowsDroppedByWatermark for p in query.recentProgress for op in p.stateOperators)
 
 
 def windowed_waste(hits: DataFrame, window: str = "1 hour", slide: str | None = None,

@@ -94,3 +94,42 @@ def test_trend_and_triage(spark):
     assert H.trend_read(daily.limit(10)).first().reading is None
     t = H.traffic_triage(daily, ("2026-01-16", "2026-01-30"), ("2026-01-01", "2026-01-15")).first()
     assert (t.click_change, t.layout_change, t.seasonality) == (-40.0, "likely", "unlikely")
+
+
+def test_headers_are_carried_over_splits(spark, tmp_path):
+    """A large file with a new header every few lines, read in many small splits, equals
+    the plain loop; so does a table of lines in any order."""
+    import random
+    rnd = random.Random(3)
+    names = ["date", "time", "cs-uri-stem", "sc-status", "c-ip"]
+    lines, want, cols = ["#Software: Microsoft IIS"], [], None
+    for n in range(3000):
+        if n == 5 or rnd.random() < (0.05 if n < 1500 else 0.0005):
+            cols = rnd.sample(names, 5)
+            lines.append("#Fields: " + " ".join(cols))
+        values = {"date": "2026-01-01", "time": "10:00:00", "cs-uri-stem": f"/p{n}", "sc-status": str(200 + n % 5), "c-ip": "9.9.9.9"}
+        lines.append(" ".join(values[c] for c in (cols or names)))
+        want.append((f"/p{n}", 200 + n % 5) if cols else None)
+    (tmp_path / "w3c.log").write_text("\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        hits, totals = SL.read_access_logs(spark, str(tmp_path))
+        got = {(r.url, r.status) for r in hits.collect()}
+        assert SL.read_log_lines(spark, str(tmp_path)).select("at_block").distinct().count() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {w for w in want if w}
+    assert [(t.format, t.total, t.skipped) for t in totals.collect()] == [("iis", 3000, want.count(None))]
+    rows = [("f", i // 100, i, x) for i, x in enumerate(lines)]
+    rnd.shuffle(rows)
+    table = spark.createDataFrame(rows, "file string, at_block int, i long, line string")
+    again = SL.hits_of(SL.parse_log_lines(table, SL.detect_log_format(table)))
+    assert {(r.url, r.status) for r in again.collect()} == got
+
+
+def test_format_where_the_first_line_is_broken(spark):
+    rows = [("a", 0, "rubbish"), ("a", 0, line()), ("a", 0, line(url="/b")), ("b", 0, "# note"), ("c", 0, "what"), ("c", 0, "is this"),
+            ("d", 0, "torn {"), ("d", 64, '{"url":"/x"}'), ("e", 0, line()), ("e", 0, '{"url":"/x"}'), ("e", 0, '{"url":"/y"}')]
+    got = SL.detect_log_format(spark.createDataFrame(rows, "file string, at_block int, line string"))
+    assert {r.file: r.format for r in got.collect()} == {"a": "combined", "b": "empty", "c": "unknown", "d": "json", "e": "combined"}
