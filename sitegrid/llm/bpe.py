@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from ..session import stage_table
 from .common import whole
 
-#: Input bytes that share a list of distinct words.
-BLOCK_BYTES = 16 << 20
-#: Documents in one shipped row, and words a worker remembers before it starts afresh.
-ROW_CODES, MEMORY = 200_000, 1_000_000
+#: Pre-tokens that share a list of distinct words (a longer document is a block alone).
+BLOCK_TOKENS = 3_000_000
+#: Pre-tokens in one shipped row, and bytes of words that a worker remembers before it
+#: starts afresh.
+ROW_CODES, MEMORY = 200_000, 64 << 20
 
 
 def java_pattern(pattern: str) -> str:
@@ -81,9 +82,11 @@ class _Block:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[int, _Block]]:
+    """(number, block) of a partition's documents in their order. A block is given out as
+    soon as it is full; its bounds depend on the rows alone, not on the batches."""
     import regex
     find = regex.compile(pattern).findall
-    out: dict[int, _Block] = {}
+    block, held, number = _Block(), 0, None
     for b in batches:
         tokens, odd = b.column("tokens"), b.column("odd")
         if odd.null_count < len(odd):  # letters newer than Java's tables
@@ -92,25 +95,29 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[i
                 if t is not None:
                     rows[i] = find(t)
             tokens = pa.array(rows, pa.list_(pa.string()))
-        blocks = b.column("block").to_numpy()
-        for k in np.unique(blocks):
-            mine = pa.array(np.nonzero(blocks == k)[0])
-            out.setdefault(int(k), _Block()).add(tokens.take(mine) if len(mine) < len(blocks) else tokens, b.column("doc_id").take(mine))
+        if number is None and len(tokens):
+            number = b.column("part")[0].as_py() << 32
+        ends = np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        at = sent = 0
+        while at < len(tokens):
+            to = min(len(tokens), int(np.searchsorted(ends, sent + BLOCK_TOKENS - held)) + 1)
+            block.add(tokens.slice(at, to - at), b.column("doc_id").slice(at, to - at))
+            held += int(ends[to - 1]) - sent
+            at, sent = to, int(ends[to - 1])
+            if held >= BLOCK_TOKENS:
+                yield number, block
+                block, held, number = _Block(), 0, number + 1
         del b, tokens
-    while out:
-        yield out.popitem()
+    if block.ids:
+        yield number, block
 
 
 def _scanned(docs: DataFrame, doc_id: str, text: str, pattern: str) -> DataFrame:
-    """block, doc_id, tokens, odd. A block is a partition of the table, parted
-    further by the text's hash where partitions are larger than ``BLOCK_BYTES``."""
-    spark = docs.sparkSession
-    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    parts = max(1, -(-int(split) // BLOCK_BYTES))
+    """part, doc_id, tokens, odd: pre-tokens in the order of the table's partitions."""
     t = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
-    block = F.spark_partition_id().cast("long") * parts + F.pmod(F.xxhash64("text"), F.lit(parts))
     odd = F.col("text").rlike(r"\p{Cn}")
-    return t.select(block.alias("block"), "doc_id", F.when(~odd, F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0))).alias("tokens"),
+    return t.select(F.spark_partition_id().cast("long").alias("part"), "doc_id",
+                    F.when(~odd, F.regexp_extract_all("text", F.lit(java_pattern(pattern)), F.lit(0))).alias("tokens"),
                     F.when(odd, F.col("text")).alias("odd"))
 
 
@@ -124,7 +131,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
     brings all uses of a word to one task, which encodes it once; the ids return to the
     blocks, where the documents arrive as positions in the block's word list, and each
     document is put together by position. ``docs`` is read twice and must give the same
-    partitions both times: a table on disk does; pass ``staged=False`` for a frame
+    partitions and order both times: a table on disk does; pass ``staged=False`` for a frame
     that is computed, to have it written first. A retried task rebuilds the same rows,
     as they depend on the texts of the partition alone; a mismatch raises an error.
     """
@@ -149,7 +156,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
         import tiktoken
         table = ranks_of(ranks)
         single = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})._core_bpe.encode_single_piece
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, list[int]] = {}
+        size = 0
         for b in batches:
             bodies = []
             for m, body in zip(b.column("n").to_pylist(), b.column("body").to_pylist(), strict=True):
@@ -161,10 +169,12 @@ def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", te
                     at = e
                     got = known.get(w)
                     if got is None:
-                        if len(known) >= MEMORY:
+                        if size >= MEMORY:
                             known.clear()
+                            size = 0
                         r = table.get(w)
                         got = known[w] = [r] if r is not None else single(w)
+                        size += len(w) + 40 * len(got) + 200
                     ids.append(got)
                 sizes = np.fromiter(map(len, ids), np.uint32, m)
                 flat = np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum()))

@@ -39,3 +39,12 @@ def test_awkward_rows(spark):
     for g, w in zip(got, want, strict=True):
         assert g == w, (g[0], w[2][:60], g[2][:60])
     assert bpe.decode(bpe.encode(docs.limit(0), PATH, public_tokenizers.PATTERN, staged=False), PATH).collect() == []
+
+
+def test_small_blocks_give_the_same(spark, monkeypatch):
+    docs = frame(spark).repartition(2)
+    whole = {(r.doc_id, r.n_tokens, bytes(r.ids)) for r in bpe.encode(docs, PATH, public_tokenizers.PATTERN, staged=False).collect()}
+    monkeypatch.setattr(bpe, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(bpe, "MEMORY", 5000)
+    rows = bpe.encode(docs, PATH, public_tokenizers.PATTERN, staged=False).collect()
+    assert {(r.doc_id, r.n_tokens, bytes(r.ids)) for r in rows} == whole and len(rows) == docs.count()
