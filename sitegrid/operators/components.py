@@ -48,13 +48,14 @@ def star_components(edges: DataFrame) -> DataFrame:
     return end.join(least, "to").select("node", "root")
 
 
-def add_links(stars: DataFrame, links: DataFrame) -> DataFrame:
+def add_links(stars: DataFrame, links: DataFrame, rounds: Rounds | None = None) -> DataFrame:
     """``stars`` (node, root) with the components that ``links`` (a, b) join; only the
-    roots that they touch are looked at again."""
+    roots that they touch are looked at again. In a loop, ``rounds`` holds the stars."""
     at = links.join(stars.toDF("a", "ra"), "a", "left").join(stars.toDF("b", "rb"), "b", "left")
     joined = star_components(at.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
     moved = stars.join(joined.toDF("root", "further"), "root", "left").select("node", F.coalesce("further", "root").alias("root"))
-    return stage_table(moved.union(joined.join(stars, "node", "left_anti").select("node", "root")))
+    all_ = moved.union(joined.join(stars, "node", "left_anti").select("node", "root"))
+    return stage_table(all_) if rounds is None else rounds.cut(all_)
 
 
 def link_buckets(members: DataFrame, linked: Column | None = None, rounds: int = 3, large: int = 1000,
@@ -81,10 +82,12 @@ def link_buckets(members: DataFrame, linked: Column | None = None, rounds: int =
     # both ends may be home: then once
     once = (F.col("x.node") < F.col("y.node")) | (~F.col("y.home") & (F.col("x.node") != F.col("y.node")))
 
+    edges, known, left = (Rounds(members.sparkSession) for _ in range(3))
+
     def ends(pairs: DataFrame) -> DataFrame:
         a, b = F.col("x.node"), F.col("y.node")
         found = pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-        return stage_table(found if verify is None else verify(found))
+        return edges.cut(found if verify is None else verify(found))
 
     def rooted(rows: DataFrame, stars: DataFrame) -> DataFrame:
         return rows.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -96,15 +99,15 @@ def link_buckets(members: DataFrame, linked: Column | None = None, rounds: int =
         stars = star_components(ends(few.filter("home").alias("x").join(few.alias("y"), same & once)))
     else:
         few = rooted(few, stars)
-        stars = add_links(stars, ends(few.filter("home").alias("x").join(few.alias("y"), same & once & (F.col("x.root") != F.col("y.root")))))
+        stars = add_links(stars, ends(few.filter("home").alias("x").join(few.alias("y"), same & once & (F.col("x.root") != F.col("y.root")))), known)
     if not some:
         return stars
-    at = stage_table(members.join(hot, "bucket", "left_semi"))
+    at = left.cut(members.join(hot, "bucket", "left_semi"))
     for r in range(rounds + 1):
         at = rooted(at.drop("root"), stars)
         live = at.groupBy("bucket").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"),
                                         F.max("home").alias("_home")).filter("_lo <> _hi and _home").select("bucket")
-        at = stage_table(at.join(live, "bucket", "left_semi"))
+        at = left.cut(at.join(live, "bucket", "left_semi"))
         if at.isEmpty():
             return stars
         if r == rounds and refine is not None:
@@ -112,7 +115,8 @@ def link_buckets(members: DataFrame, linked: Column | None = None, rounds: int =
             return link_buckets(narrower, alike, rounds, large, verify, None, stars)
         x, pair = at.filter("home"), once
         if r < rounds:
-            centre = x.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", F.lit(r))).alias("node"))
+            # components are drawn alike, so that a large one does not supply every centre
+            centre = x.groupBy("bucket").agg(F.min_by("node", F.struct(F.xxhash64("root", F.lit(r)), "node")).alias("node"))
             x, pair = x.join(centre, ["bucket", "node"], "left_semi").distinct(), F.col("x.node") != F.col("y.node")
-        stars = add_links(stars, ends(x.alias("x").join(at.alias("y"), same & pair & (F.col("x.root") != F.col("y.root")))))
+        stars = add_links(stars, ends(x.alias("x").join(at.alias("y"), same & pair & (F.col("x.root") != F.col("y.root")))), known)
     return stars

@@ -41,7 +41,7 @@ def test_buckets_link_alike_whatever_their_size(spark):
     want = roots(set(values), [(a, b) for a in values for b in values if 0 < b - a <= 6])
 
     def refine(nodes):
-        cells = nodes.select("node", F.explode(F.array((F.col("node") / 10).cast("int"), ((F.col("node") + 5) / 10).cast("int") + 1000)).alias("bucket"))
+        cells = nodes.select("node", F.explode(F.array((F.col("node") / 14).cast("int"), ((F.col("node") + 7) / 14).cast("int") + 1000)).alias("bucket"))
         return cells.select("bucket", "node", F.lit(True).alias("home")), near
 
     for large, how in [(3, None), (10_000, None), (3, refine)]:
