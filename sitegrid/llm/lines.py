@@ -179,9 +179,14 @@ def dedupe_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
         keep = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)) + 1
         own = F.col("n") - F.size("o")  # held by no other line: first in order, met by none
         rare = tok.join(shared, "tok").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"), F.max("n").alias("n"))
-        narrow = rare.select("node", "n", F.explode(F.slice("o", F.lit(1), F.greatest(keep - own, F.lit(0)).cast("int"))).alias("t"))
-        alike = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least) - F.lit(1e-9)
-        return stage_table(narrow.select(F.col("t.tok").alias("bucket"), "node", F.lit(True).alias("home"), "n")), alike
+        first = rare.select("node", "n", own.alias("own"), F.slice("o", F.lit(1), F.greatest(keep - own, F.lit(0)).cast("int"))["tok"].alias("pre"))
+        narrow = first.select("*", F.posexplode("pre").alias("q", "bucket")).select(
+            "bucket", "node", F.lit(True).alias("home"), "n", (F.col("own") + F.col("q")).alias("p"), F.slice("pre", F.lit(1), F.col("q")).alias("before"))
+        x, y = F.col("x.n"), F.col("y.n")
+        # a pair meets at its first common shingle only, from which on enough can follow
+        room = F.least(x - F.col("x.p"), y - F.col("y.p")) >= F.lit(least / (1 + least)) * (x + y) - F.lit(1e-9)
+        alike = (F.least(x, y) >= F.greatest(x, y) * F.lit(least) - F.lit(1e-9)) & room & ~F.arrays_overlap("x.before", "y.before")
+        return stage_table(narrow), alike
 
     roots = link_buckets(members, large=64, verify=verify, refine=refine)
     first = lines.groupBy("node").agg(F.count("*").alias("n"), F.min(F.struct("k1", "line", "k2")).alias("at"))
