@@ -36,6 +36,12 @@ CHROME_NAMES = frozenset(
     "sharing sidebar social sponsor sponsored sponsors subscribe toolbar widget widgets".split())
 #: Compounds with one of these name a layout or a state: has-sidebar, ad-free, comments-open.
 LAYOUT_PARTS = frozenset("has no non not with without free less hide hidden open opened closed enabled disabled on off".split())
+#: What a name of chrome may be compounded with inside an article: share-buttons,
+#: related-posts, ad-slot. With any other word (related-work, notice-period) it is a topic.
+HOLDER_PARTS = frozenset("area article articles bar block bottom box button buttons container content form holder icon icons inline inner item items "
+                         "left link links list media message panel placeholder post posts right row section signup slot stories story strip text title top "
+                         "unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Elements that may hold a whole page.
 WRAPPERS = frozenset("form fieldset object".split())
 HARD, SOFT, COMMENTS = 1, 2, 3
@@ -50,10 +56,11 @@ LOOSE = frozenset("p li dt dd option tr td th thead tbody".split())
 
 def _chrome(tag: str, attrs: str, in_main: bool) -> int:
     """HARD for what is no content wherever it stands, SOFT (COMMENTS) for what its names
-    say and its text may refute, else 0."""
+    say and its text may refute, else 0. Names of headings say nothing, as they are made of
+    the heading's words; inside an article a name counts if it consists of chrome alone."""
     if tag in CHROME_TAGS and tag not in WRAPPERS or (tag == "header" and not in_main):
         return HARD
-    if tag in ("html", "body", "main") or not attrs:
+    if tag in ("html", "body", "main") or tag in HEADINGS or not attrs:
         return SOFT if tag in WRAPPERS else 0
     names: set[str] = set()
     soft = tag in WRAPPERS
@@ -66,7 +73,8 @@ def _chrome(tag: str, attrs: str, in_main: bool) -> int:
         else:
             for compound in value.split():
                 parts = {x.lower() for x in _PART.findall(compound)}
-                if not parts & LAYOUT_PARTS:
+                topic = in_main and not parts <= CHROME_NAMES | HOLDER_PARTS
+                if not topic and not parts & LAYOUT_PARTS:
                     names |= parts
             soft |= not in_main and "header" in names and tag != "article"
     if names & COMMENT_NAMES:
@@ -279,7 +287,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     over, run by run, up to the nearest page of the host that is none, and a page whose
     host has mirrors only keeps its lines. Text inside a declared article is never
     deleted. Null html counts as empty, a null or odd URL as a page of the empty host;
-    repeated rows repeat (identical pages are mirrors of each other).
+    repeated rows repeat (identical pages are mirrors of each other). A very long page is
+    read whole; an empty table gives no rows; other columns are not read.
     """
     t = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(page), F.lit("")).alias("html"))
 

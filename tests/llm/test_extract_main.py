@@ -105,3 +105,14 @@ def test_layout_names_keep_the_article():
     page = f"<body><article><p>{prose}1</article><div id=comments>" + f"<article><p>{prose}2</article>" * 5 + f"</div><div class=sidebar><article>{prose}3</article></div>"
     assert [t for t, k in extract.lines_of(page) if k] == [f"{prose}1"]
     extract.lines_of("<div class=ad>" * 20000 + "x")
+
+
+def test_topics_inside_an_article_are_no_chrome():
+    long = "This paragraph is long enough to count as running text of the article it stands in, without doubt."
+    for part in ['<h2 id="related-work">{}</h2>', '<h2 id="social-impact">{}</h2>', '<section id="consent-and-ethics">{}</section>',
+                 '<section class="menu-design">{}</section>', '<div class="ad-hoc-tests">{}</div>', '<p class="notice-period">{}</p>', '<h3 id="comments">{}</h3>']:
+        page = f"<body><article><p>{long}</p>{part.format('The topic')}<p>{long}</p></article></body>"
+        assert [t for t, k in extract.lines_of(page) if k] == [long, "The topic", long], part
+    for part in ['<div class="ad">{}</div>', '<div class="share-buttons">{}</div>', '<div class="related-posts">{}</div>', '<ul class="social_links">{}</ul>']:
+        page = f"<body><article><p>{long}</p>{part.format('Gone')}<p>{long}</p></article></body>"
+        assert [t for t, k in extract.lines_of(page) if k] == [long, long], part
