@@ -123,7 +123,8 @@ def _scanned(docs: DataFrame, doc_id: str, text: str, pattern: str) -> DataFrame
 
 def encode(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text", staged: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) of each row's text, without
-    special tokens; null text counts as empty; repeated rows repeat.
+    special tokens; null text counts as empty; repeated rows repeat; a very long text is a
+    block alone; only doc_id and text are read; an empty table gives no rows.
 
     Words go out as rows of (block, bucket of the word's hash): one compressed row for
     the distinct words of a block that fall into a bucket, never one per occurrence, so

@@ -140,7 +140,8 @@ def group(vectors: DataFrame, least: float = LEAST, vec_id: str = "vec_id", embe
     Vectors that are null, zero, or hold null or non-finite parts, and rows without a
     label, link with nothing: they have 0 links and are their own component. Vectors of
     different lengths never meet. Rows with one vec_id are separate vectors. A null
-    vec_id comes last as a component's name.
+    vec_id comes last as a component's name. Only the three named columns are read; an
+    empty table gives no rows.
     """
     spark = vectors.sparkSession
     good = F.col("label").isNotNull() & F.col("e").isNotNull() & ~F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) & F.exists("e", lambda v: v != 0)

@@ -144,7 +144,8 @@ def dedupe_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     are not all visited, and lines that share a band without being alike are parted by
     their rarest shingles. ``kept`` is true for the first line, by doc_id and place, of
     each component. Null text has no lines and blank lines are no members; documents
-    that repeat in doc_id and text share their verdict.
+    that repeat in doc_id and text share their verdict. Long texts are hashed in chunks;
+    only doc_id and text are read; an empty table gives no rows.
     """
     t = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     keyed = t.select(*row_key(), "doc_id", F.lower(whole()).alias("lowered"))

@@ -308,5 +308,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents with their places; the written pieces are numbered."""
+    """Pieces of all documents with their places; the written pieces are numbered.
+
+    Null text counts as empty (one piece, the end mark); a document longer than
+    ``capacity`` is cut into pieces of that length; repeated rows are packed again;
+    documents of one length are interchangeable; only doc_id and text are read; an empty
+    table gives no rows.
+    """
     return pack(stage_table(pieces(docs, tokenizer, capacity)), capacity)

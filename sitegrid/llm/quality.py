@@ -91,7 +91,9 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", keep: list[
     stay, and a failure of a single rule on a good host is forgiven. ``keep`` names
     the columns of ``docs`` to return (all by default); ``row`` holds them as a
     struct, so no name can clash. Counts are written once and read by both the
-    aggregate and the join.
+    aggregate and the join. Null and empty texts have no words and fail the base rule; a
+    null host is a host of its own; repeated rows count and repeat; a very long text is one
+    row of array functions; an empty table gives no rows.
     """
     cols = docs.columns if keep is None else keep
     base = docs.select(F.struct(*[F.col(c) for c in cols]).alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))

@@ -122,7 +122,8 @@ def group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold
     together (the layouts suit
     thresholds up to 4). root names the component and component_id is the
     least doc_id reachable; a null doc_id counts as the largest value, so a component of
-    nulls has a null id. Repeated rows get equal verdicts; an empty table gives an
+    nulls has a null id. Repeated rows get equal verdicts; a very long text is one
+    fingerprint; null and empty texts have fingerprint zero; an empty table gives an
     empty result.
     """
     if threshold > THRESHOLD:

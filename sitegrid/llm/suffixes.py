@@ -297,7 +297,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ``TOGETHER`` different contexts compare hashes of their strings instead, which
     spreads over all tasks. Judged on the input: nothing is removed in between. Null
     text counts as empty; rows equal in doc_id and text are separate documents and so
-    repeats of each other.
+    repeats of each other. Very long texts are windowed like all others; only doc_id and
+    text are read; an empty table gives no rows.
     """
     t = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select(
         *row_key(), "doc_id", F.encode(whole(), "utf-8").alias("text"))
