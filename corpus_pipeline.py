@@ -14,12 +14,16 @@ from sitegrid.session import stage_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule, or a failing host's own rule, rejects go."""
+    """Documents that the base rule, or a failing host's own rule, rejects go. Null and
+    empty texts fail the base rule; repeated rows are judged alike; a null source is a
+    host of its own; an empty table stays empty."""
     return quality.judge(docs).filter("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One line of each component of near equal lines stays."""
+    """One line of each component of near equal lines stays, the first by doc_id (null
+    first) and place; rows that repeat in both columns share their verdict. Every document
+    stays, with an empty text if it loses all lines; a null text stays null."""
     return lines.without_repeats(docs)
 
 
@@ -34,7 +38,8 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark; every document stays."""
+    """Secrets are replaced by a mark; every document stays, null and empty texts and
+    repeated rows as they are."""
     found = stage_table(secrets.find(docs).filter(F.size("found") > 0).select("k1", "k2", "found").dropDuplicates(["k1", "k2"]))
     rows = docs.select(F.struct("*").alias("row"), *row_key()).join(found, ["k1", "k2"], "left")
     masked = F.when(F.col("found").isNull(), F.col("row.text")).otherwise(secrets.redact(F.col("row.text"), F.col("found")))
@@ -42,7 +47,8 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of 2048."""
+    """Token pieces and their places in sequences of 2048. A null text is one piece, the
+    end mark; repeated rows are packed again; an empty table gives no pieces."""
     packed = packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
