@@ -386,6 +386,8 @@ def with_money(pages: DataFrame, money_urls: DataFrame | None) -> DataFrame:
 def rule_hits(t: AuditInput, extra: list[PageRule] = (), near_duplicates: bool = True) -> tuple[DataFrame, DataFrame]:
     """(hits counted by the rules, members of the grouping rules' sets)."""
     pages = with_money(t.pages, t.money_urls)
+    if t.robots_rules is not None:  # the verdict of the site's own rules replaces the crawl's
+        pages = L.robots_allowed(pages, t.robots_rules)
     links = t.links
     if links is None:
         from ..sources.pages import links_of

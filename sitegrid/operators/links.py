@@ -163,8 +163,8 @@ def robots_for_agent(rules: DataFrame, agent: str = "googlebot") -> DataFrame:
     chosen = rules.join(best, [*KEY, "grp"]).filter(F.col("type").isNotNull()).dropDuplicates(
         [*KEY, "pos"])
     return chosen.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct(
-        "pos", "type", "path", R.pattern_regex(F.col("path")).alias("rx"),
-        R.is_plain(F.col("path")).alias("plain")))).alias("rules"))
+        "pos", "type", "path", R.pattern_pieces(F.col("path")).alias("pieces"),
+        R.is_anchored(F.col("path")).alias("anchored"), R.is_plain(F.col("path")).alias("plain")))).alias("rules"))
 
 
 def robots_allowed(pages: DataFrame, rules: DataFrame, agent: str = "googlebot") -> DataFrame:
@@ -173,7 +173,7 @@ def robots_allowed(pages: DataFrame, rules: DataFrame, agent: str = "googlebot")
     per_site = robots_for_agent(rules, agent)
     target = U.path_and_query(F.col("url"))
     joined = pages.drop("robots_allowed", "robots_rule").join(per_site, KEY, "left")
-    hits = X.bind(target, lambda p: F.filter("rules", lambda r: R.rule_matches(p, r)))
+    hits = X.bind(target, lambda p: F.filter("rules", lambda r: R.path_matches(p, r)))
     ranked = F.transform(hits, lambda r: F.struct(
         F.length(r["path"]).alias("n"), (-r["pos"]).alias("first"), r["type"].alias("type"), r["path"].alias("path")))
     return (joined.withColumn("_win", F.array_max(ranked))

@@ -113,3 +113,16 @@ def test_reviews_and_views(spark):
     assert {r.lead for r in D.review_pages(p).collect()} == {"none"}
     b = L.with_inbound(sites.broken(spark), links_of(sites.broken(spark)))
     assert D.page_view(b, "errors").count() == 1 and D.page_view(b, "redirects").count() == 1
+
+
+def test_robots_rules_decide_what_is_indexable(spark):
+    p = sites.broken(spark).cache()
+    site = p.select("run_id", "site").first()
+    noindex = {r.url for r in D.run_audit(D.AuditInput(p), near_duplicates=False)[1].filter("rule = 'noindex-present'").collect()}
+    assert noindex
+    rules, _ = SR.read_robots(spark.createDataFrame([(site.run_id, site.site, 200, "User-agent: *\nDisallow: /\n")],
+                                                    "run_id string, site string, status int, body string"))
+    findings, urls = D.run_audit(D.AuditInput(p, crawls=sites.crawls(spark, site.site), robots_rules=rules), near_duplicates=False)
+    found = fired(findings)
+    assert "robots-disallow-all" in found and "noindex-present" not in found and "thin-content" not in found
+    assert {r.url for r in urls.filter("rule = 'noindex-disallow-trap'").collect()} == noindex

@@ -89,3 +89,37 @@ def test_robots_patterns(spark):
     assert not match("/*.php$", "/a.php/b.php")          # the first match is kept
     assert match("/a*b", "/aXXbYY") and match("/*", "/") and match("*q", "/aq") and match("/x*$", "/xyz")
     assert match("/a.b", "/a.bc") and not match("/a.b", "/aXbc")
+
+
+def test_robots_pieces_equal_the_regex(spark):
+    import random
+    import re
+    from sitegrid.functions import robots as R
+    rnd = random.Random(7)
+    rows = []
+    for _ in range(3000):
+        pattern = "".join(rnd.choice(["/", "a", "b", "*", "a.", "$", "(", "?", "ab"]) for _ in range(rnd.randint(0, 6))) + rnd.choice(["", "", "$", "*", "*$"])
+        path = "/" + "".join(rnd.choice(["/", "a", "b", ".", "(", "?", "$"]) for _ in range(rnd.randint(0, 8)))
+        if rnd.random() < 0.6:
+            pattern = "/" + pattern
+        rows.append((pattern, path))
+
+    def plain(pattern, path):
+        if not pattern:
+            return False
+        body = pattern[:-1] if pattern.endswith("$") else pattern
+        first, *rest = body.split("*")
+        at = len(first) if path.startswith(first) else -1
+        for piece in rest:
+            if at >= 0 and piece:
+                found = path.find(piece, at)
+                at = found + len(piece) if found >= 0 else -1
+        return at == len(path) if pattern.endswith("$") and not body.endswith("*") else at >= 0
+
+    df = spark.createDataFrame(rows, "p string, u string")
+    rule = F.struct(F.col("p").alias("path"), R.pattern_pieces(F.col("p")).alias("pieces"), R.is_anchored(F.col("p")).alias("anchored"),
+                    R.is_plain(F.col("p")).alias("plain"), R.pattern_regex(F.col("p")).alias("rx"))
+    got = df.select("p", "u", R.path_matches(F.col("u"), rule).alias("m"), R.rule_matches(F.col("u"), rule).alias("by_regex")).collect()
+    assert sum(r.m for r in got) > 300
+    for r in got:
+        assert r.m == plain(r.p, r.u) == r.by_regex, r
