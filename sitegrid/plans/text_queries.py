@@ -105,19 +105,19 @@ def _scored(spark, sf):
     return J.score_answers(A.answers(spark, sf), "Acme", "https://www.acme.com/", ["Beta Works"])
 
 
-@query("score_answers", f"WITH {_SC} SELECT conv_id, turn, coalesce(named, FALSE) AS named, coalesce(cited, FALSE) AS cited, CASE WHEN ok AND named THEN sentiment ELSE -1.0::DOUBLE END AS sentiment FROM sc")
+@query("score_answers", f"""WITH {_SC} SELECT conv_id, turn, coalesce(named, FALSE) AS named, coalesce(cited, FALSE) AS cited, CASE WHEN ok AND named THEN sentiment ELSE -1.0::DOUBLE END AS sentiment,
+  CASE WHEN ok AND named THEN 1 ELSE 0 END AS position FROM sc""")
 def score_answers(spark, sf):
     no = F.lit(False)
     return _scored(spark, sf).select("conv_id", "turn", F.coalesce("named", no).alias("named"), F.coalesce("cited", no).alias("cited"),
-                                     F.coalesce("sentiment", F.lit(-1.0)).alias("sentiment"))
+                                     F.coalesce("sentiment", F.lit(-1.0)).alias("sentiment"), F.coalesce("position", F.lit(0)).alias("position"))
 
 
 @query("visibility_score", f"""WITH {_SC} SELECT run_id, CAST(floor(count(*) FILTER (WHERE named)::DOUBLE / count(*) FILTER (WHERE ok) * 60 + count(*) FILTER (WHERE cited)::DOUBLE / count(*) FILTER (WHERE ok) * 40 + 0.5::DOUBLE) AS BIGINT) AS score,
   {pct('count(*) FILTER (WHERE named)', 'count(*) FILTER (WHERE ok)')} AS named_rate, {pct('count(*) FILTER (WHERE cited)', 'count(*) FILTER (WHERE ok)')} AS cited_rate,
   count(*) FILTER (WHERE ok) AS answered, count(*) AS attempted FROM sc GROUP BY run_id""")
 def visibility_score(spark, sf):
-    # a known brand that an answer names stands first in it
-    return J.visibility_score(_scored(spark, sf).withColumn("position", F.lit(1))).drop("sentiment")
+    return J.visibility_score(_scored(spark, sf)).drop("sentiment")
 
 
 @query("visibility_by_prompt", f"""WITH {_SC}, r AS (SELECT prompt, run_id, count(*) AS n, count(*) FILTER (WHERE named) AS named, count(*) FILTER (WHERE cited) AS cited FROM sc WHERE ok GROUP BY ALL)
