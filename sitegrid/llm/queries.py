@@ -153,7 +153,8 @@ def op2_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_two_stage_suffixes")
 def op6_two_stage_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     found = suffixes.remove_repeats(table(spark, folder, "documents", "doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"),
+                        (F.col("n_removed") > 0).alias("has_repeats"))
 
 
 @query("op11_maximal_pairs")

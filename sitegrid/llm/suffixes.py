@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage_table
@@ -18,6 +18,8 @@ from .common import row_key, whole
 LENGTH, GRAM = 400, 16
 #: Bytes of one suffix array, contexts of one name sorted together.
 BUFFER, TOGETHER = 1 << 18, 2048
+#: A key with over a ``SHARE``-th of all rows is dealt over ``PARTS`` tasks.
+SHARE, PARTS = 1024, 64
 _CHUNK = 1 << 20
 _END = 255  # never a byte of UTF-8
 
@@ -252,13 +254,26 @@ def _as_ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"name": rows[first, 0], "ctx": rows[first, 1], "lo": rows[first, 2].astype(np.int32), "hi": rows[last, 2].astype(np.int32) + 1})
 
 
+def _join_split(rows: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, place: list[Column]) -> DataFrame:
+    """Inner join in which the rows of a hot key spread over ``PARTS`` parts by their
+    place and the other side's row of that key is repeated for each part. ``hot`` holds
+    keys with over a ``SHARE``-th of all rows, so ``SHARE`` rows at most: it is broadcast."""
+    hot = F.broadcast(hot.select(*keys, F.lit(True).alias("hot")))
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = rows.join(hot, keys, "left").withColumn("part", F.when(F.col("hot"), F.pmod(F.hash(*place), F.lit(PARTS))).otherwise(0))
+    return dealt.drop("hot").join(small.join(hot, keys, "left").withColumn("part", F.explode(parts)).drop("hot"), [*keys, "part"]).drop("part")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
     """k1, k2, starts: sorted array of (lo, hi), the starts of repeated strings, for the
     documents that have any. ``docs``: k1, k2, text (binary)."""
     runs = stage_table(_runs(docs), compression="zstd")
-    named = runs.groupBy("name").agg(F.count("*").alias("uses"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).filter("uses > 1")
+    named = stage_table(runs.groupBy("name").agg(F.count("*").alias("uses"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).filter("uses > 1"))
+    many = F.col("uses") * SHARE > runs.count()
+    place = [F.col(c) for c in ("k1", "k2", "at")]
     # written once: runs whose name occurs elsewhere
-    again = stage_table(runs.join(named.select("name", (F.col("c0") == F.col("c1")).alias("alike")), "name"), compression="zstd")
+    again = stage_table(_join_split(runs, named.select("name", (F.col("c0") == F.col("c1")).alias("alike")), ["name"], named.filter(many), place),
+                        compression="zstd")
     # all contexts of the name are copies of one: each start has a twin
     alike = again.filter("alike").select("k1", "k2", F.col("at").alias("lo"), (F.col("at") + F.col("n")).alias("hi"))
     kinds = again.filter("not alike").groupBy("name", "ctx").agg(
@@ -280,7 +295,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     crowded = equal.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_as_ranges, ranges)
     copies = kinds.filter("uses > 1").select("name", "ctx", F.lit(0).alias("lo"), F.col("first.n").alias("hi"))
     found = sorted_.union(crowded).union(copies).groupBy("name", "ctx").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
-    placed = again.filter("not alike").join(found, ["name", "ctx"]).select("k1", "k2", "at", F.explode("r").alias("r")).select(
+    placed = _join_split(again.filter("not alike"), found, ["name", "ctx"], kinds.filter(many), place).select("k1", "k2", "at", F.explode("r").alias("r")).select(
         "k1", "k2", (F.col("at") + F.col("r.lo")).alias("lo"), (F.col("at") + F.col("r.hi")).alias("hi"))
     return alike.union(placed).groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("starts"))
 

@@ -39,7 +39,9 @@ def test_table(spark):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
     want = dict(zip([d.doc_id for d in docs], brute([d.text for d in docs])))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op6_two_stage_suffixes"](spark, folder).collect()}
+    rows = QUERIES["op6_two_stage_suffixes"](spark, folder).collect()
+    assert all(r.has_repeats == (r.n_removed > 0) for r in rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
     assert got == want and sum(w[1] for w in want.values()) > 0
 
 
@@ -56,8 +58,9 @@ def test_planted_repeats(spark, monkeypatch):
     rows += [rows[0], (None, long[10:900], None, None, None, None, None)]
     docs = frame(spark, rows)
     want = sorted((r[0] if r[0] is not None else -1, *w) for r, w in zip(rows, brute([r[1] for r in rows])))
-    for together in (2048, 1):  # the second compares hashes
+    for together, share in ((2048, 1024), (1, 4)):  # the second compares hashes and splits few names
         monkeypatch.setattr(suffixes, "TOGETHER", together)
+        monkeypatch.setattr(suffixes, "SHARE", share)
         got = sorted((x.doc_id if x.doc_id is not None else -1, x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest())
                      for x in suffixes.remove_repeats(docs).collect())
         assert got == want
