@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import fixed_values as V
 from ..functions import robots as R
 from ..functions import text as X
 from ..functions import urls as U
-from ..session import cut_lineage
+from ..session import cut_lineage, stage_path
 from .ranking import numbered, top_per_key
 
 KEY = ["run_id", "site"]
@@ -101,33 +99,54 @@ def crawl_reach(links: DataFrame, starts: DataFrame, sitemap: DataFrame | None =
     """Breadth-first reach over the stored edges.
 
     ``starts`` has run_id, site, url; sitemap rows are seeds at depth 1. Returns
-    run_id, site, url, depth, referrer, via. One join per level against the
-    edges laid out by source once; each level is checkpointed, and the loop ends
-    on an empty level.
+    run_id, site, url, depth, referrer, via. Edges and visited pages are written in
+    folders by the hash of the page, the same for both. A level reads only the folders
+    its pages lie in and is appended to the visited ones; nothing is united or read
+    again, so a long chain costs a folder per step, not the graph. The loop ends on an
+    empty level. Null sites and URLs are never reached.
     """
-    edges = (crawlable_links(links).select(*KEY, "from_url", F.col("resolved").alias("url")).distinct()
-             .repartition(*KEY, "from_url").persist(StorageLevel.MEMORY_AND_DISK))
-    level = starts.select(*KEY, "url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("referrer"),
-                          F.lit("start").alias("via")).dropDuplicates([*KEY, "url"])
-    levels = [cut_lineage(level)]
+    spark = links.sparkSession
+    folders = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def placed(df: DataFrame, url: str) -> DataFrame:
+        return df.withColumn("b", F.pmod(F.xxhash64(*KEY, url), F.lit(folders)).cast("int"))
+
+    def write(df: DataFrame, url: str, path: str) -> tuple[DataFrame, list[int]]:
+        """The table as read back and the folders it has rows in, ``folders`` at most."""
+        laid = placed(df, url)
+        laid.repartition("b").write.partitionBy("b").parquet(path)
+        back = spark.read.schema(laid.schema).parquet(path)
+        return back, sorted({int(f.rsplit("/b=", 1)[1].split("/", 1)[0]) for f in back.inputFiles()})
+
+    root = stage_path(spark)
+    seen_at = f"{root}/visited"
+    edges, _ = write(crawlable_links(links).select(*KEY, "from_url", F.col("resolved").alias("url")).distinct(), "from_url", f"{root}/edges")
+    level = starts.filter(F.col("url").isNotNull()).select(
+        *KEY, "url", F.lit(None).cast("string").alias("referrer"), F.lit("start").alias("via")).dropDuplicates([*KEY, "url"])
+    shape = placed(level, "url").schema
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while True:
+        fresh, touched = write(level, "url", f"{seen_at}/depth={depth}")
+        if not touched or depth == max_depth:
+            break
         depth += 1
-        found = (levels[-1].select(*KEY, F.col("url").alias("from_url")).join(edges, [*KEY, "from_url"])
+        found = (fresh.select(*KEY, F.col("url").alias("from_url"), "b")
+                 .join(edges.filter(F.col("b").isin(touched)), [*KEY, "from_url", "b"])
                  .groupBy(*KEY, "url").agg(F.min("from_url").alias("referrer"))
-                 .select(*KEY, "url", F.lit(depth).alias("depth"), "referrer", F.lit("link").alias("via")))
+                 .select(*KEY, "url", "referrer", F.lit("link").alias("via")))
         if depth == 1 and sitemap is not None:
-            seeds = sitemap.select(*KEY, F.col("loc").alias("url")).distinct()
+            seeds = sitemap.filter(F.col("loc").isNotNull()).select(*KEY, F.col("loc").alias("url")).distinct()
             found = (found.join(seeds, [*KEY, "url"], "left_anti").unionByName(seeds.select(
-                *KEY, "url", F.lit(1).alias("depth"), F.lit(None).cast("string").alias("referrer"),
-                F.lit("sitemap").alias("via"))))
-        seen = reduce(DataFrame.unionByName, [lv.select(*KEY, "url") for lv in levels])
-        fresh = cut_lineage(found.join(seen, [*KEY, "url"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        levels.append(fresh)
-    edges.unpersist()
-    return reduce(DataFrame.unionByName, levels)
+                *KEY, "url", F.lit(None).cast("string").alias("referrer"), F.lit("sitemap").alias("via"))))
+        seen = spark.read.schema(shape).parquet(seen_at)  # the files that are there now
+        if len(touched) < folders:
+            found, asked = write(found, "url", f"{root}/found-{depth}")
+            seen = seen.filter(F.col("b").isin(asked))
+        else:  # a wide level meets nearly every folder: no use in writing it to find out
+            found = placed(found, "url")
+        level = found.join(seen.select(*KEY, "url", "b"), [*KEY, "url", "b"], "left_anti").drop("b")
+    whole = spark.read.schema(StructType([*shape.fields, StructField("depth", IntegerType())])).parquet(seen_at)
+    return whole.select(*KEY, "url", "depth", "referrer", "via")
 
 
 def reach_budget(reach: DataFrame, max_pages: int = 1000) -> DataFrame:

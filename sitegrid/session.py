@@ -58,10 +58,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stage_path(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder, for tables that grow."""
+    return f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
 def stage_table(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Written columnar table in the shared folder, for wide tables that several
     later steps read by column."""
-    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = stage_path(df.sparkSession)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.parquet(path)
 

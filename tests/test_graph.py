@@ -41,6 +41,19 @@ def test_reach_equals_breadth_first_search(spark):
     assert got[0].via == "start"
 
 
+def test_reach_of_chain_loops_and_limits(spark):
+    edges = [(i, i + 1) for i in range(9)] + [(9, 3), (5, 5)]
+    starts = spark.createDataFrame([("r", "e.com", "https://e.com/0")] * 2 + [("r", "e.com", None), (None, "e.com", "https://e.com/0")],
+                                   "run_id string, site string, url string")
+    links = link_table(spark, edges)
+    got = L.crawl_reach(links, starts).filter("run_id is not null").collect()
+    assert sorted((r.depth, r.url, r.referrer) for r in got) == [
+        (i, f"https://e.com/{i}", f"https://e.com/{i - 1}" if i else None) for i in range(10)]
+    assert {r.depth for r in L.crawl_reach(links, starts, max_depth=3).collect()} == {0, 1, 2, 3}
+    assert L.crawl_reach(links, starts, max_depth=0).count() == 2
+    assert L.crawl_reach(links, starts.limit(0)).collect() == [] and L.crawl_reach(links.limit(0), starts).count() == 2
+
+
 def test_robots_groups_and_longest_match(spark):
     txt = ("Disallow: /early\nUser-agent: *\nDisallow: /\nUser-agent: google\nUser-agent: Googlebot # ours\nDisallow: /a\nAllow: /a/b\n"
            "Disallow: /a/b/c$\nUser-agent: later\nDisallow: /z")
