@@ -10,7 +10,9 @@ from ..operators import behaviour as R
 from ..operators import plan as P
 from ..operators import runs as L
 from ..operators import serp as Q
+from ..session import stage_path
 from ..sources import documents as SD
+from ..sources import sinks
 from . import adapters as A
 from .registry import query
 from .sql import CLUSTERS, RUNS, pct, rx
@@ -24,6 +26,19 @@ df AS (SELECT *, 'appeared' AS change FROM j WHERE br IS NULL UNION ALL SELECT *
   UNION ALL SELECT *, 'worsened' FROM j WHERE ar < br UNION ALL SELECT *, 'grew' FROM j WHERE bn > 0 AND an >= bn * 2)"""
 
 
+@query("snapshots", """SELECT 'run-1' AS snapshot, (SELECT count(*) FROM orders) AS n_rows, o_orderstatus AS status, count(*) AS n, count(DISTINCT o_custkey) AS customers
+  FROM orders GROUP BY o_orderstatus""")
+def snapshots(spark, sf):
+    """A run saved twice under one name, listed and read back: the last write shows."""
+    orders, root = A.table(spark, sf, "orders"), stage_path(spark)
+    sinks.save_snapshot({"orders": orders.select("o_orderkey"), "customers": A.table(spark, sf, "customer")}, root, "run 1")
+    sinks.save_snapshot({"orders": orders.select("o_orderkey", "o_custkey", "o_orderstatus")}, root, "run 1")
+    listed = sinks.list_snapshots(spark, root, "orders").select("snapshot", F.col("rows").alias("n_rows"))
+    per_status = sinks.load_snapshot(spark, root, "orders", "run 1").groupBy(F.col("o_orderstatus").alias("status")).agg(
+        F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
+    return per_status.withColumn("snapshot", F.lit("run-1")).join(listed, "snapshot").select("snapshot", "n_rows", "status", "n", "customers")
+
+
 def _diff(spark, sf):
     return L.diff_findings(A.run_findings(spark, sf), A.run_list(spark, sf))
 

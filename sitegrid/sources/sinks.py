@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,19 +176,57 @@ def write_redirect_rules(mapped: DataFrame, path: str, format: str = "csv") -> N
 
 # --- snapshots -----------------------------------------------------------------------------
 
+_MANIFEST = "snapshot string, write int, saved_at timestamp, rows map<string,bigint>"
+
+
+def _clean(name: str) -> str:
+    return "".join(c if c.isalnum() or c in "-_" else "-" for c in name)
+
+
+def _manifest(spark: SparkSession, root: str) -> DataFrame:
+    try:
+        return spark.read.schema(_MANIFEST).json(f"{root}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _MANIFEST)  # nothing published yet
+
+
+def _published(spark: SparkSession, root: str) -> DataFrame:
+    """The last published write of each snapshot."""
+    latest = F.max_by(F.struct("write", "saved_at", "rows"), "write").alias("m")
+    return _manifest(spark, root).groupBy("snapshot").agg(latest).select("snapshot", "m.*")
+
+
 def save_snapshot(tables: dict[str, DataFrame], root: str, name: str) -> None:
-    """Each table under its own folder, partitioned by snapshot name."""
-    clean = "".join(c if c.isalnum() or c in "-_" else "-" for c in name)
+    """Each table in a folder of its own; then one line of the manifest, a single file
+    that its commit renames into place, publishes all of them at once. A write that ends
+    before that stays invisible, and the next one under the name overwrites what it left.
+    A name saved again shows its last write. One writer a name at a time."""
+    if "manifest" in tables:
+        raise ValueError("no table may be called manifest")
+    spark = next(iter(tables.values())).sparkSession
+    snapshot = _clean(name)
+    write = _manifest(spark, root).filter(F.col("snapshot") == snapshot).count()
+    rows = {}
     for table, df in tables.items():
-        (df.withColumn("snapshot", F.lit(clean)).withColumn("saved_at", F.current_timestamp())
-         .write.mode("append").partitionBy("snapshot").parquet(f"{root}/{table}"))
+        path = f"{root}/{table}/snapshot={snapshot}/write={write}"
+        df.write.mode("overwrite").parquet(path)
+        rows[table] = spark.read.schema(df.schema).parquet(path).count()
+    line = spark.createDataFrame([(snapshot, write, None, rows)], _MANIFEST).withColumn("saved_at", F.current_timestamp())
+    line.coalesce(1).write.mode("append").json(f"{root}/manifest")
 
 
 def load_snapshot(spark: SparkSession, root: str, table: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{table}").filter(F.col("snapshot") == name).drop("snapshot", "saved_at")
+    """A table of the last published write of a snapshot."""
+    snapshot = _clean(name)
+    found = _published(spark, root).filter((F.col("snapshot") == snapshot) & F.map_contains_key("rows", table)).select("write").head()
+    if found is None:
+        raise LookupError(f"no snapshot {name!r} of {table!r} in {root}")
+    return spark.read.parquet(f"{root}/{table}/snapshot={snapshot}/write={found[0]}")
 
 
 def list_snapshots(spark: SparkSession, root: str, table: str = "pages") -> DataFrame:
-    """Newest first."""
-    return spark.read.parquet(f"{root}/{table}").groupBy("snapshot").agg(
-        F.max("saved_at").alias("saved_at"), F.count("*").alias("rows")).orderBy(F.desc("saved_at"), "snapshot")
+    """Published snapshots of a table with their rows, newest first."""
+    return _published(spark, root).filter(F.map_contains_key("rows", table)).select(
+        "snapshot", "saved_at", F.col("rows")[table].alias("rows")).orderBy(F.desc("saved_at"), "snapshot")

@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitegrid.functions.html import register_sql
@@ -61,6 +62,30 @@ def test_snapshots(spark, tmp_path):
     sinks.save_snapshot({"pages": p.limit(1)}, str(tmp_path), "second")
     assert [(r.snapshot, r.rows) for r in sinks.list_snapshots(spark, str(tmp_path)).collect()] == [("second", 1), ("first-run-", 3)]
     assert sinks.load_snapshot(spark, str(tmp_path), "pages", "second").count() == 1
+    assert sinks.load_snapshot(spark, str(tmp_path), "pages", "first run!").count() == 3
+
+
+def test_snapshots_are_published_last(spark, tmp_path):
+    root = str(tmp_path)
+    p = sites.good(spark).select("run_id", "site", "url", "title")
+    assert sinks.list_snapshots(spark, root).collect() == []
+    fails = p.withColumn("title", F.raise_error(F.lit("killed")).cast("string"))
+    for _ in range(2):  # the second table fails: the first one, written whole, stays invisible
+        with pytest.raises(Exception, match="killed"):
+            sinks.save_snapshot({"pages": p, "more": fails}, root, "a")
+        assert sinks.list_snapshots(spark, root).collect() == []
+    with pytest.raises(LookupError):
+        sinks.load_snapshot(spark, root, "pages", "a")
+    sinks.save_snapshot({"pages": p.limit(2), "more": p.limit(0)}, root, "a")  # overwrites what was left
+    assert sinks.load_snapshot(spark, root, "pages", "a").count() == 2 and sinks.load_snapshot(spark, root, "more", "a").count() == 0
+    with pytest.raises(Exception, match="killed"):
+        sinks.save_snapshot({"pages": p, "more": fails}, root, "a")
+    assert [(r.snapshot, r.rows) for r in sinks.list_snapshots(spark, root).collect()] == [("a", 2)]
+    sinks.save_snapshot({"pages": p}, root, "a")
+    assert sinks.load_snapshot(spark, root, "pages", "a").columns == p.columns
+    assert [(r.snapshot, r.rows) for r in sinks.list_snapshots(spark, root).collect()] == [("a", 3)]
+    with pytest.raises(ValueError):
+        sinks.save_snapshot({"manifest": p}, root, "a")
 
 
 def test_html_extract_in_sql(spark):
