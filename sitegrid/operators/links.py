@@ -10,7 +10,7 @@ from .. import fixed_values as V
 from ..functions import robots as R
 from ..functions import text as X
 from ..functions import urls as U
-from ..session import cut_lineage, stage_path
+from ..session import cut_lineage, stage_path, stage_table
 from .ranking import numbered, top_per_key
 
 KEY = ["run_id", "site"]
@@ -269,11 +269,13 @@ def text_terms(pages: DataFrame) -> DataFrame:
 
 
 def link_opportunities(pages: DataFrame, links: DataFrame, targets: DataFrame,
-                       per_target: int = 15) -> DataFrame:
+                       per_target: int | None = 15, n_terms: int | None = 4, context: int | None = 220) -> DataFrame:
     """Pages whose text mentions a chosen target's terms without linking to it.
 
     ``targets`` is a caller's choice of pages (run_id, site, url), optionally
-    with a ``term`` column. Token equi-join instead of a substring scan.
+    with a ``term`` column. Token equi-join instead of a substring scan. The report keeps
+    ``per_target`` pages a target, ``n_terms`` terms and ``context`` characters, None
+    keeps all; ``total`` and ``n_matched`` count what there was.
     """
     if "term" in targets.columns:
         terms = targets.select(*KEY, F.col("url").alias("to_url"), F.lower("term").alias("term")).filter(
@@ -288,7 +290,7 @@ def link_opportunities(pages: DataFrame, links: DataFrame, targets: DataFrame,
     inbound = inbound_counts(links).select(*KEY, F.col("url").alias("from_url"), "inbound_count")
     scored = pairs.join(inbound, [*KEY, "from_url"], "left").withColumn(
         "score", F.size("terms") + F.when(F.coalesce("inbound_count", F.lit(0)) > 3, 1).otherwise(0))
-    best = top_per_key(scored, [*KEY, "to_url"], [F.desc("score"), F.col("from_url")], per_target)
+    best = _reported(scored, [F.desc("score"), F.col("from_url")], per_target)
     longest = F.transform(F.col("terms"), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))
     body = pages.select(*KEY, F.col("url").alias("from_url"), F.col("title").alias("from_title"), "body_text")
     sentence = F.get(F.filter(
@@ -296,15 +298,25 @@ def link_opportunities(pages: DataFrame, links: DataFrame, targets: DataFrame,
         lambda s: F.contains(F.lower(s), F.col("anchor"))), F.lit(0))
     return (best.withColumn("anchor", F.array_min(longest)["t"]).join(body, [*KEY, "from_url"])
             .select(*KEY, "from_url", "from_title", "to_url",
-                    F.slice(F.array_sort("terms"), 1, 4).alias("matched_terms"),
+                    (F.array_sort("terms") if n_terms is None else F.slice(F.array_sort("terms"), 1, n_terms)).alias("matched_terms"),
                     F.col("anchor").alias("suggested_anchor"),
-                    F.substring(F.trim(sentence), 1, 220).alias("context"), "score", "rank"))
+                    (F.trim(sentence) if context is None else F.substring(F.trim(sentence), 1, context)).alias("context"),
+                    "score", "rank", F.size("terms").alias("n_matched"), "total"))
 
 
-def mention_candidates(pages: DataFrame, links: DataFrame, subjects: DataFrame, k: int = 8) -> DataFrame:
+def _reported(scored: DataFrame, order: list[Column], k: int | None) -> DataFrame:
+    """The first ``k`` rows of each target (None: all) with rank and the target's total."""
+    scored = stage_table(scored)
+    totals = scored.groupBy(*KEY, "to_url").agg(F.count("*").alias("total"))
+    best = (numbered(scored, [*KEY, "to_url"], order).withColumnRenamed("rn", "rank") if k is None
+            else top_per_key(scored, [*KEY, "to_url"], order, k))
+    return best.join(totals, [*KEY, "to_url"])
+
+
+def mention_candidates(pages: DataFrame, links: DataFrame, subjects: DataFrame, k: int | None = 8) -> DataFrame:
     """For each chosen page, the pages naming at least two of its subject words
     (one, if it has one) that do not link to it. ``subjects``: run_id, site, url,
-    subject."""
+    subject. The first ``k`` of each (None: all), with the ``total`` there was."""
     words = F.array_distinct(F.filter(F.split(F.lower("subject"), " +"), lambda w: F.length(w) > 4))
     asked = subjects.select(*KEY, F.col("url").alias("to_url"), words.alias("w")).withColumn(
         "need", F.least(F.lit(2), F.size("w")))
@@ -318,4 +330,4 @@ def mention_candidates(pages: DataFrame, links: DataFrame, subjects: DataFrame,
                  F.array_sort(F.collect_set("term")).alias("matched"))
              .filter(F.col("hits") >= F.col("need"))
              .join(linked, [*KEY, "from_url", "to_url"], "left_anti"))
-    return top_per_key(pairs, [*KEY, "to_url"], [F.desc("hits"), F.col("from_url")], k).drop("need")
+    return _reported(pairs.drop("need"), [F.desc("hits"), F.col("from_url")], k)

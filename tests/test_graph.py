@@ -218,3 +218,8 @@ def test_opportunities(spark):
         ("https://e.com/mentions", "widget repair", "We love widget repair here.")]
     asked = targets.withColumn("subject", F.lit("Widget repair"))
     assert [r.from_url for r in L.mention_candidates(pages, links, asked).collect()] == ["https://e.com/mentions"]
+    more = pages.unionByName(pages.filter("title = 'Other'").withColumn("url", F.lit("https://e.com/again")))
+    for find in (lambda k: L.link_opportunities(more, links, targets, k), lambda k: L.mention_candidates(more, links, asked, k)):
+        for k in (1, None):
+            got = sorted((r.rank, r.from_url, r.total) for r in find(k).collect())
+            assert got == [(1, "https://e.com/again", 2), (2, "https://e.com/mentions", 2)][:k]
