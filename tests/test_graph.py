@@ -223,3 +223,21 @@ def test_opportunities(spark):
         for k in (1, None):
             got = sorted((r.rank, r.from_url, r.total) for r in find(k).collect())
             assert got == [(1, "https://e.com/again", 2), (2, "https://e.com/mentions", 2)][:k]
+
+
+def test_page_text_is_never_broadcast(spark, monkeypatch):
+    pages = L.stage_table(spark.createDataFrame(
+        [("r", "e.com", f"https://e.com/{i}", "Widget repair", ["Widget repair"], "We love widget repair here.", 200, False) for i in range(4)],
+        "run_id string, site string, url string, title string, h1s array<string>, body_text string, status int, noindex boolean"))
+    links = L.stage_table(spark.createDataFrame([("r", "e.com", "https://e.com/0", "https://e.com/1", False, False)],
+                                  "run_id string, site string, from_url string, resolved string, in_nav boolean, in_footer boolean"))
+    targets = pages.filter("url = 'https://e.com/0'").select("run_id", "site", "url", F.col("title").alias("subject"))
+    staged, stage = [], L.stage_table
+    monkeypatch.setattr(L, "stage_table", lambda df: staged.append(df) or stage(df))
+    assert L.link_opportunities(pages, links, targets.drop("subject")).count() == 3
+    assert L.mention_candidates(pages, links, targets).count() == 3
+    for df in staged:
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan
+        for line in plan.splitlines():
+            assert "BroadcastHashJoin" not in line or "term" not in line and "from_url" not in line, line
