@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import text as X
-from ..session import Rounds, cut_lineage, stage_table
+from ..session import Rounds, cut_lineage, stage_path, stage_table
 from .ranking import numbered, top_per_key
 
 
@@ -64,48 +65,73 @@ def keyword_tokens(keyword: Column) -> Column:
 
 # --- clusters ------------------------------------------------------------------------------
 
-def cluster_members(keywords: DataFrame) -> DataFrame:
+def _greedy(words: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """The decisions of one block of a seed, in order, given the tokens of the clusters it may join."""
+    holders: dict[str, set] = {}
+    for t, c in zip(held["t"], held["c"]):
+        holders.setdefault(t, set()).add(c)
+    words = words.sort_values("k")
+    joined = []
+    for k, n, tokens in zip(words["k"], words["n"], words["o"]):
+        hits: dict[int, int] = {}
+        for x in tokens:
+            for c in holders.get(x["t"], ()):
+                hits[c] = hits.get(c, 0) + x["m"]
+        best = min(hits, key=lambda c: (-hits[c], c), default=k)
+        joined.append(best if 2 * hits.get(best, 0) >= n else k)
+        for x in tokens:
+            holders.setdefault(x["t"], set()).add(joined[-1])
+    return pd.DataFrame({"seed": words["seed"], "k": words["k"], "c": joined})
+
+
+def cluster_members(keywords: DataFrame, block: int = 2048) -> DataFrame:
     """Cluster number per keyword within each seed: leaders in order of breadth
     (descending) and keyword. A keyword joins the cluster that holds most of its tokens
     (ties: the first), if that is half of them or more; the cluster then holds all of
     them. Otherwise it leads a cluster of its own; so do keywords without tokens.
 
-    The order is kept without a group per seed. A decision rests only on the earlier
-    keywords' clusters, so the true clusters are the one assignment that its own
-    decisions reproduce. Rounds start with every keyword alone and decide all undecided
-    keywords at once from the assignment of the round before; whatever stands before the
-    first change of a seed, that change included, is decided for good, and the loop ends when nothing
-    changes. A round is a few joins on (seed, token) and (seed, keyword): a keyword meets
-    the clusters at its rarest tokens only, as many as half of its tokens cannot do
-    without, and counts the others by lookup.
+    Decisions depend on all earlier ones, so a seed is decided in blocks of ``block``
+    keywords, the same block of all seeds at a time, and no task holds more than a block
+    and its clusters. Joins first find for each keyword of the block the best cluster of
+    the blocks before: the keyword meets clusters at its rarest tokens only, as many as
+    half of its tokens cannot do without, and counts the others by lookup. A cluster that
+    is nobody's best gains no token within the block, and stays behind that best one
+    (which only gains) or under one half. So the block is decided in order against the
+    clusters that are somebody's best, one per keyword at most, and those it founds.
     """
     order = keywords.withColumn("_order", -F.col("breadth"))
     toks = keyword_tokens(F.col("keyword"))
     rows = stage_table(numbered(order, ["seed"], ["_order", "keyword"], "k").select(
         "seed", "k", "keyword", "breadth", "intent", toks.alias("tokens"), F.size(toks).alias("n")))
     tok = stage_table(rows.select("seed", "k", "n", F.explode("tokens").alias("t")).groupBy("seed", "k", "n", "t").agg(F.count("*").alias("m")))
-    now = stage_table(rows.select("seed", "k", F.col("k").alias("c")))
-    open_ = stage_table(rows.groupBy("seed").agg(F.lit(0).cast("long").alias("done")))
     spark = keywords.sparkSession
-    holders, decisions, left = Rounds(spark), Rounds(spark), Rounds(spark)
-    while not open_.isEmpty():
-        held = tok.join(open_, "seed").join(now, ["seed", "k"])
-        since = holders.cut(held.groupBy("seed", "t", "c").agg(F.min("k").alias("since")))
-        spread = since.groupBy("seed", "t").agg(F.count("*").alias("df"))
-        due = held.filter(F.col("k") > F.col("done")).join(spread, ["seed", "t"]).groupBy("seed", "k", "n").agg(
-            F.reverse(F.array_sort(F.collect_list(F.struct("df", "t", "m")))).alias("o"))
-        # the most common tokens that do not make half of the keyword need no probe
-        weight = F.transform("o", lambda _, i: F.aggregate(F.slice("o", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + x["m"]))
-        probes = due.withColumn("w", weight).select("seed", "k", F.explode(F.filter("o", lambda _, i: 2 * F.get("w", i) >= F.col("n"))).alias("p"))
-        met = probes.select("seed", "k", F.col("p.t").alias("t")).join(since, ["seed", "t"]).filter(F.col("since") < F.col("k"))
-        hits = met.select("seed", "k", "c").distinct().join(tok, ["seed", "k"]).join(since, ["seed", "t", "c"]).filter(
-            F.col("since") < F.col("k")).groupBy("seed", "k", "n", "c").agg(F.sum("m").alias("hits"))
-        best = hits.filter(2 * F.col("hits") >= F.col("n")).groupBy("seed", "k").agg(
-            F.min(F.struct((-F.col("hits")).alias("h"), "c")).alias("b")).select("seed", "k", F.col("b.c").alias("joins"))
-        decided = decisions.cut(now.join(open_, "seed", "left").join(best, ["seed", "k"], "left").select(
-            "seed", "k", "c", F.when(F.col("k") > F.col("done"), F.coalesce("joins", "k")).otherwise(F.col("c")).alias("new")))
-        open_ = left.cut(decided.filter(F.col("new") != F.col("c")).groupBy("seed").agg(F.min("k").alias("done")))
-        now = decided.select("seed", "k", F.col("new").alias("c"))
+    shape = "seed string, k bigint, c bigint"
+    holders = spark.createDataFrame([], "seed string, t string, c bigint")
+    kept, bests, path = Rounds(spark), Rounds(spark), stage_path(spark)
+    last = rows.agg(F.max("k")).first()[0] or 0
+    for at in range(0, last, block):
+        due = tok.filter((F.col("k") > at) & (F.col("k") <= at + block))
+        words = due.groupBy("seed", "k", "n").agg(F.collect_list(F.struct("t", "m")).alias("o"))
+        held = holders.limit(0)
+        if at:
+            spread = holders.groupBy("seed", "t").agg(F.count("*").alias("df"))
+            by_use = due.join(spread, ["seed", "t"], "left").fillna(0, ["df"]).groupBy("seed", "k", "n").agg(
+                F.reverse(F.array_sort(F.collect_list(F.struct("df", "t", "m")))).alias("o"))
+            # the most common tokens that do not make half of the keyword need no probe
+            weight = F.transform("o", lambda _, i: F.aggregate(F.slice("o", F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + x["m"]))
+            probes = by_use.withColumn("w", weight).select("seed", "k", F.explode(F.filter(
+                "o", lambda p, i: (p["df"] > 0) & (2 * F.get("w", i) >= F.col("n")))["t"]).alias("t"))
+            hits = probes.join(holders, ["seed", "t"]).select("seed", "k", "c").distinct().join(due, ["seed", "k"]).join(
+                holders, ["seed", "t", "c"]).groupBy("seed", "k", "n", "c").agg(F.sum("m").alias("hits"))
+            best = bests.cut(hits.filter(2 * F.col("hits") >= F.col("n")).groupBy("seed", "k").agg(
+                F.min(F.struct((-F.col("hits")).alias("h"), "c")).alias("b")).select("seed", F.col("b.c").alias("c")).distinct())
+            held = holders.join(best, ["seed", "c"], "left_semi").join(due.select("seed", "t"), ["seed", "t"], "left_semi")
+        words.groupBy("seed").cogroup(held.groupBy("seed")).applyInPandas(_greedy, shape).write.parquet(f"{path}/at={at}")
+        joined = spark.read.schema(shape).parquet(f"{path}/at={at}")
+        holders = kept.cut(holders.union(due.join(joined, ["seed", "k"]).select("seed", "t", "c")).distinct())
+    # one reader for all blocks, however many
+    decided = spark.read.schema(shape).parquet(*[f"{path}/at={at}" for at in range(0, last, block)]) if last else rows.select("seed", "k", F.col("k").alias("c"))
+    now = rows.select("seed", "k").join(decided, ["seed", "k"], "left").select("seed", "k", F.coalesce("c", "k").alias("c"))
     leaders = numbered(now.filter(F.col("k") == F.col("c")).select("seed", "c"), ["seed"], ["c"], "number")
     return rows.join(now, ["seed", "k"]).join(leaders, ["seed", "c"]).select(
         "seed", "keyword", "breadth", "intent", (F.col("number") - 1).cast("string").alias("cluster"))

@@ -39,6 +39,35 @@ def test_greedy_clusters_follow_the_definition(spark):
     assert m.count() == df.count() and m.columns == ["seed", "keyword", "breadth", "intent", "cluster"]
 
 
+def test_greedy_clusters_in_blocks(spark):
+    """Any block size gives the plain loop's clusters, on a chain that takes one keyword at a time too."""
+    rnd = random.Random(9)
+    vocab = [f"word{i:02}" for i in range(14)]
+    rows = {("s", " ".join(rnd.sample(vocab, rnd.randint(1, 5)))) for _ in range(60)} | {
+        ("t", f"link{i:02} link{i + 1:02}") for i in range(30)} | {("s", "a"), ("u", "b")}
+    df = spark.createDataFrame([(s, k, 1, "x") for s, k in sorted(rows)], "seed string, keyword string, breadth bigint, intent string")
+    want = {}
+    for seed in ("s", "t", "u"):
+        clusters = []
+        for k in sorted(k for s, k in rows if s == seed):
+            t = tokens(k)
+            scores = [sum(x in c for x in t) / len(t) if t else 0 for c in clusters]
+            best = scores.index(max(scores)) if scores and max(scores) >= 0.5 else len(clusters)
+            clusters[best:] = clusters[best:] or [set()]
+            clusters[best] |= set(t)
+            want[seed, k] = str(best)
+    rounds = []
+    cut = I.Rounds.cut
+    for block in (7, 2048):
+        try:
+            I.Rounds.cut = lambda self, df: rounds.append(block) or cut(self, df)
+            got = {(r.seed, r.keyword): r.cluster for r in I.cluster_members(df, block).collect()}
+        finally:
+            I.Rounds.cut = cut
+        assert got == want
+    assert rounds.count(2048) == 1
+
+
 def test_keyword_url_map(spark):
     terms = spark.createDataFrame([("s", "c1", t) for t in ("running", "shoes", "cheap")] + [("s", "c2", "umbrella")],
                                   "seed string, cluster string, term string")
