@@ -244,31 +244,34 @@ def keyword_url_map(terms: DataFrame, pages: DataFrame, threshold: float = 0.35)
 
     Token join with prefix filtering: a page above the threshold holds one of
     the cluster's rarest ``n - need + 1`` terms, so common terms never generate
-    candidates on their own.
+    candidates on their own, and it has ``need`` tokens or more. Pages with the same
+    tokens score alike, so a token set is compared once and stands for its first four pages.
     """
     keys = ["seed", "cluster"]
-    live = pages.filter((F.col("status") == 200) & ~F.col("noindex")).select(
-        "url", F.array_distinct(X.alnum_tokens(page_text(pages))).alias("tokens"))
-    tokens = live.select("url", F.explode("tokens").alias("term"))
+    tokens_of = F.array_sort(F.array_distinct(X.alnum_tokens(page_text(pages))))
+    live = pages.filter((F.col("status") == 200) & ~F.col("noindex")).select("url", tokens_of.alias("tokens"))
+    first = stage_table(top_per_key(live.withColumn("set", F.sha2(F.array_join("tokens", " "), 256)), ["set"], [F.col("url")], 4, "nth"))
+    same = first.select("set", "url")
+    sets_of = first.filter("nth = 1").select("set", "tokens", F.size("tokens").alias("size"))
+    tokens = sets_of.select("set", "size", F.explode("tokens").alias("term"))
     df = tokens.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
         F.count("*").alias("df"))
-    sets = terms.join(df, "term", "left").fillna(0, ["df"]).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("df", "term"))).alias("o"))
+    sets = stage_table(terms.join(df, "term", "left").fillna(0, ["df"]).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("df", "term"))).alias("o")))
     n = F.size("o")
     need = F.floor(n * F.lit(threshold)) + 1
-    probes = sets.select(*keys, F.transform("o", lambda s: s["term"]).alias("all"),
-                         F.explode(F.slice("o", F.lit(1), (n - need + 1).cast("int"))).alias("p"))
-    cand = probes.select(*keys, "all", F.col("p.term").alias("term")).join(tokens, "term").select(
-        *keys, "all", "url").dropDuplicates([*keys, "url"])
-    scored = cand.join(live, "url").withColumn(
+    probes = sets.select(*keys, need.alias("need"), F.explode(F.slice("o", F.lit(1), (n - need + 1).cast("int"))).alias("p"))
+    cand = probes.select(*keys, "need", F.col("p.term").alias("term")).join(tokens, "term").filter(
+        F.col("size") >= F.col("need")).select(*keys, "set").distinct()
+    scored = cand.join(sets_of, "set").join(sets.select(*keys, F.transform("o", lambda s: s["term"]).alias("all")), keys).withColumn(
         "score", F.size(F.array_intersect("all", "tokens")) / F.size("all")).filter(F.col("score") > threshold)
-    best = top_per_key(scored.select(*keys, "url", "score"), keys, [F.desc("score"), F.col("url")], 4)
-    head = best.groupBy(*keys).agg(F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("s1"),
-                                   F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("s2"))
-    status = (F.when(F.col("s1").isNull(), "gap")
-              .when(F.coalesce(F.col("s2") > F.col("s1") * 0.85, F.lit(False)), "contested").otherwise("mapped"))
-    return (sets.select(*keys).join(head, keys, "left").join(best, keys, "left")
-            .select(*keys, status.alias("status"), "rank", "url", X.half_up(F.col("score") * 100).alias("score")))
+    best = top_per_key(scored.select(*keys, "set", "score").join(same, "set").drop("set"), keys, [F.desc("score"), F.col("url")], 4)
+    head = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rank", "url", "score"))).alias("best"))
+    s1, s2 = F.get("best", F.lit(0))["score"], F.get("best", F.lit(1))["score"]
+    status = (F.when(s1.isNull(), "gap")
+              .when(F.coalesce(s2 > s1 * 0.85, F.lit(False)), "contested").otherwise("mapped"))
+    return (sets.select(*keys).join(head, keys, "left").select(*keys, status.alias("status"), F.explode_outer("best").alias("b"))
+            .select(*keys, "status", "b.rank", "b.url", X.half_up(F.col("b.score") * 100).alias("score")))
 
 
 def heading_bigrams(pages: DataFrame) -> DataFrame:

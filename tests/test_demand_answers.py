@@ -80,6 +80,19 @@ def test_keyword_url_map(spark):
     assert [(r.status, r.url) for r in rows if r.cluster == "c2"] == [("gap", None)]
 
 
+def test_pages_with_equal_tokens_are_compared_once(spark, monkeypatch):
+    terms = spark.createDataFrame([("s", "c", t) for t in ("running", "shoes", "cheap")], "seed string, cluster string, term string")
+    pages = spark.createDataFrame(
+        [(f"u{i:02}", ("Cheap running", "Running cheap", "Shoes running cheap")[i % 3], [], [], "", 200, False) for i in range(30)],
+        "url string, title string, h1s array<string>, headings array<struct<level:int,text:string>>, body_text string, status int, noindex boolean")
+    staged, stage = [], I.stage_table
+    monkeypatch.setattr(I, "stage_table", lambda df: staged.append(stage(df)) or staged[-1])
+    rows = I.keyword_url_map(terms, pages).collect()
+    assert [(r.rank, r.url, r.score, r.status) for r in sorted(rows)] == [
+        (i + 1, f"u{2 + 3 * i:02}", 100, "contested") for i in range(4)]
+    assert staged and staged[0].count() == 8 and staged[0].filter("nth = 1").count() == 2
+
+
 def test_long_keywords_meet_in_the_graph(spark):
     rnd = random.Random(6)
     base = [f"tok{i:02}" for i in range(11)]
