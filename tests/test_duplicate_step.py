@@ -19,6 +19,12 @@ def test_content_hash_is_that_of_the_plain_text(spark):
     assert df.filter(~X.content_hash(F.col("t")).eqNullSafe(plain)).count() == 0
 
 
+def test_shingle_hashes_count_as_the_shingles(spark):
+    df = spark.createDataFrame([("a b c d e f a b c d e f",), ("a b c d",), ("",), ("one two, three four five",)], "t string")
+    t = F.col("t")
+    assert df.filter(F.size(X.whole_shingles(t)) != F.size(X.whole_shingle_hashes(t))).count() == 0
+
+
 def test_texts_are_read_once(spark):
     """Counting and listing both took the key from the text: two scans of it."""
     seen = spark.sparkContext.accumulator(0)
@@ -34,7 +40,19 @@ def test_texts_are_read_once(spark):
     assert seen.value == 3
 
 
-@pytest.mark.parametrize("name", ["duplicate_members", "duplicate_docs"])
+def test_sites_and_empty_texts_stay_apart(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = spark.createDataFrame([("r", s, f"{s}{i}", t, f"{i}") for s in ("p", "q") for i, t in enumerate([text, text + " x", "short"])]
+                                 + [("r", None, "n0", text, "0"), ("r", None, "n1", text + " x", "1")],
+                                 "run_id string, site string, url string, body_text string, content_hash string")
+    rows = rows.withColumn("shingles", X.whole_shingle_hashes(F.col("body_text")))
+    pairs = dedupe.near_duplicates(rows).select("site", "url_a", "url_b").collect()
+    assert sorted(tuple(r) for r in pairs) == [("p", "p0", "p1"), ("q", "q0", "q1")]
+    families = dedupe.near_duplicate_families(rows).select("site", "url", "representative", "family_size").collect()
+    assert sorted(tuple(r) for r in families) == [(s, f"{s}{i}", f"{s}0", 2) for s in ("p", "q") for i in (0, 1)]
+
+
+@pytest.mark.parametrize("name", ["duplicate_members", "duplicate_docs", "near_duplicates", "near_duplicate_families"])
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
