@@ -30,7 +30,8 @@ def _word_set(text: Column) -> Column:
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, i, n, sentence; each row is split where it is."""
     s = spread(docs.select(key, text)).select(key, X.split_sentences(F.col(text)).alias("s"))
-    return s.select(key, F.size("s").alias("n"), F.posexplode("s").alias("i", "sentence"))
+    # outer: else a filter on the array's size is inferred and the array computed twice
+    return s.select(key, F.size("s").alias("n"), F.posexplode_outer("s").alias("i", "sentence")).filter("i is not null")
 
 
 def _informative(sentence: Column) -> Column:
@@ -51,6 +52,7 @@ def _weights(documents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in documents:
         out = []
         for tokens in batch:
+            tokens = () if tokens is None else tokens
             count = Counter(w for ws in tokens for w in ws)
             peak = max(count.values(), default=0)
             out.append([{"mass": sum(count[w] for w in ws), "words": len(ws), "peak": peak} for ws in tokens])
@@ -89,21 +91,27 @@ def summarize(docs: DataFrame, k: int = 3, max_chars: int = 0, key: str = "doc_i
     """Best ``k`` sentences in their order, skipping one that shares over 70
     percent of the smaller word set with one already chosen, within a character
     budget. Choosing is a fold over one document's scored sentences."""
-    ranked = _scored_rows(docs, key, text).filter("n > 0").select(key, "n", F.array_sort(F.transform("scored", lambda x: F.struct(
-        (-x["score"]).alias("o"), x["i"].alias("i"), x["sentence"].alias("sentence"), _word_set(x["sentence"]).alias("bag")))).alias("c"))
+    # nothing is filtered before the weights: the sentences would be split for it once more
+    ranked = _scored_rows(docs, key, text).select(key, "n", F.array_sort(F.transform("scored", lambda x: F.struct(
+        (-x["score"]).alias("o"), x["i"].alias("i"), x["sentence"].alias("sentence")))).alias("c"))
 
     def overlaps(a: Column, b: Column) -> Column:
         least = F.least(F.size(a), F.size(b))
         return (least > 0) & (F.size(F.array_intersect(a, b)) / least > 0.7)
 
-    chosen = F.aggregate(
-        "c", F.slice(F.col("c"), 1, 0),
-        lambda acc, s: F.when((F.size(acc) >= k) | F.exists(acc, lambda x: overlaps(x["bag"], s["bag"])), acc)
-        .otherwise(F.concat(acc, F.array(s))))
+    def take(acc: Column, s: Column) -> Column:
+        # word sets are made of the sentences looked at, not of all
+        bagged = F.struct(s["i"].alias("i"), s["sentence"].alias("sentence"), _word_set(s["sentence"]).alias("bag"))
+        return F.when(F.size(acc) >= k, acc).otherwise(X.bind(bagged, lambda e: F.when(
+            F.exists(acc, lambda x: overlaps(x["bag"], e["bag"])), acc).otherwise(F.concat(acc, F.array(e)))))
+
+    def placed(found: Column) -> Column:
+        return F.transform(found, lambda s: F.struct(s["i"].alias("i"), s["sentence"].alias("s")))
+
+    none = F.array().cast("array<struct<i:int,sentence:string,bag:array<string>>>")
     everything = F.col("n") <= k
-    picked = F.when(everything, F.col("c")).otherwise(chosen)
-    in_order = F.array_sort(F.transform(picked, lambda s: F.struct(s["i"].alias("i"), s["sentence"].alias("s"))))
-    out = ranked.select(key, everything.alias("_all"), F.transform(in_order, lambda s: s["s"]).alias("sentences"))
+    in_order = F.array_sort(F.when(everything, placed(F.col("c"))).otherwise(placed(F.aggregate("c", none, take))))
+    out = ranked.select(key, "n", everything.alias("_all"), F.transform(in_order, lambda s: s["s"]).alias("sentences"))
     if max_chars:
         keep = F.array_max(F.filter(F.sequence(F.lit(1), F.size("sentences")), lambda m: (m == 1) | (
             F.length(F.array_join(F.slice(F.col("sentences"), F.lit(1), m), " ")) <= max_chars)))
@@ -115,7 +123,8 @@ def summarize(docs: DataFrame, k: int = 3, max_chars: int = 0, key: str = "doc_i
         cut = F.length(head) - F.instr(F.reverse(head), " ")
         summary = F.when(~F.col("_all") & (F.length(summary) > max_chars), F.concat(
             F.left(summary, F.when(F.instr(head, " ") > 0, cut).otherwise(F.length(summary) - 1)), F.lit("…"))).otherwise(summary)
-    return out.select(key, "sentences", summary.alias("summary"))
+    made = F.when(F.col("n") > 0, F.array(F.struct("sentences", summary.alias("summary"))))
+    return out.select(key, F.explode_outer(made).alias("x")).filter("x is not null").select(key, "x.sentences", "x.summary")
 
 
 def excerpt(docs: DataFrame, max_chars: int = 155, key: str = "doc_id", text: str = "text") -> DataFrame:
