@@ -72,3 +72,47 @@ def test_chunks_give_the_same_signature(monkeypatch):
         got, has = lines.signatures(text)
         assert (got == whole).all() and (has == some).all()
     assert lines.signatures("")[1].tolist() == [False]
+
+
+def test_pairs_grow_with_the_lines_not_their_square(spark, monkeypatch):
+    """A family of near equal lines and a few strangers that share its passage."""
+    r = random.Random(11)
+    base = [f"word{r.randint(0, 999)}" for _ in range(60)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(2 if i % 20 else 18):
+            w[r.randrange(60)] = f"other{r.randint(0, 9999)}"
+        rows.append((500 + i, " ".join(w), "en", "s", 1, "x", "y"))
+    seen = []
+
+    def spy(members, verify, refine, **how):
+        def counted(pairs):
+            seen.append(pairs.count())
+            return verify(pairs)
+        return link(members, counted, refine, **how)
+    link = lines.link_families
+    monkeypatch.setattr(lines, "link_families", spy)
+    got = {(x.doc_id, x.line): x.kept for x in lines.dedupe_lines(frame(spark, rows)).collect()}
+    want, links = brute({x[0]: x[1] for x in rows})
+    assert got == want and links > 5 * sum(seen), (links, seen)
+
+
+def test_rarest_shingles(spark):
+    """The packed passes against their definition: by holders, then by hash; own ones first."""
+    r = random.Random(4)
+    parts = ["".join(r.choice("abcdef gé") for _ in range(30)) for _ in range(12)]
+    texts = {i: "".join(r.choice(parts) for _ in range(r.randint(1, 5))) + "x" * r.randint(0, 3) for i in range(80)}
+    sets = {i: lines._shingles(s).astype("int64").tolist() for i, s in texts.items()}
+    df = {}
+    for h in sets.values():
+        for x in h:
+            df[x] = df.get(x, 0) + 1
+    want = set()
+    for i, h in sets.items():
+        order = sorted(h, key=lambda x: (df[x], x))
+        keep = len(h) - -(-len(h) * 8 // 10) + 1
+        own = sum(df[x] == 1 for x in h)
+        want |= {(order[p], i, len(h), p, tuple(order[own:p])) for p in range(own, keep)}
+    got = lines._rarest_first(spark.createDataFrame(list(texts.items()), "node long, s string"), 0.8).collect()
+    assert {(x.bucket, x.node, x.n, x.p, tuple(x.before)) for x in got} == want and len(got) == len(want) > 0
